@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .quality_llr import op4_quality_llr
+from .secret_scan import op1_secret_scan
 from .source_mix import OP9_SQL, op9_source_mix
+from .url_filter import op6_url_filter
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op4_quality_llr": op4_quality_llr,
+    "op6_url_filter": op6_url_filter,
     "op9_source_mix": op9_source_mix,
 }
 
