@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .bin_packing import op10_bin_packing
+from .bpe_transducer import op8_token_counts
 from .quality_llr import op4_quality_llr
 from .secret_scan import op1_secret_scan
 from .source_mix import OP9_SQL, op9_source_mix
@@ -11,7 +13,9 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_quality_llr": op4_quality_llr,
     "op6_url_filter": op6_url_filter,
+    "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
+    "op10_bin_packing": op10_bin_packing,
 }
 
 #: Where SQL can express the query; the others are tested against brute force in tests/llm.
