@@ -8,9 +8,11 @@ from .quality_llr import op4_quality_llr
 from .secret_scan import op1_secret_scan
 from .source_mix import OP9_SQL, op9_source_mix
 from .url_filter import op6_url_filter
+from .warc_convert import OP2_SQL, op2_warc_convert
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_warc_convert": op2_warc_convert,
     "op4_quality_llr": op4_quality_llr,
     "op6_url_filter": op6_url_filter,
     "op8_token_counts": op8_token_counts,
@@ -20,5 +22,6 @@ QUERIES = {
 
 #: Where SQL can express the query; the others are tested against brute force in tests/llm.
 ORACLES = {
+    "op2_warc_convert": OP2_SQL,
     "op9_source_mix": OP9_SQL,
 }
