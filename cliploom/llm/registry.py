@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bin_packing import op10_bin_packing
 from .bpe_transducer import op8_token_counts
+from .ngram_join import op7_ngram_join
 from .quality_llr import op4_quality_llr
 from .secret_scan import op1_secret_scan
 from .source_mix import OP9_SQL, op9_source_mix
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_warc_convert": op2_warc_convert,
     "op4_quality_llr": op4_quality_llr,
     "op6_url_filter": op6_url_filter,
+    "op7_ngram_join": op7_ngram_join,
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_bin_packing": op10_bin_packing,
