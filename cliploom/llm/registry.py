@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bin_packing import op10_bin_packing
 from .bpe_transducer import op8_token_counts
+from .embedding_dedup import op5_embedding_dedup
 from .ngram_join import op7_ngram_join
 from .quality_llr import op4_quality_llr
 from .secret_scan import op1_secret_scan
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc_convert": op2_warc_convert,
     "op4_quality_llr": op4_quality_llr,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
     "op8_token_counts": op8_token_counts,
