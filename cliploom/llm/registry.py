@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bin_packing import op10_bin_packing
 from .bpe_transducer import op8_token_counts
 from .embedding_dedup import op5_embedding_dedup
+from .lm_score import op3_lm_score
 from .ngram_join import op7_ngram_join
 from .quality_llr import op4_quality_llr
 from .secret_scan import op1_secret_scan
@@ -15,6 +16,7 @@ from .warc_convert import OP2_SQL, op2_warc_convert
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc_convert": op2_warc_convert,
+    "op3_lm_score": op3_lm_score,
     "op4_quality_llr": op4_quality_llr,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_url_filter": op6_url_filter,

@@ -14,7 +14,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: A table goes to every task only up to this many rows (of a few numbers each); beyond it, a join shuffles both sides.
+BROADCAST_ROWS = 2_000_000
+
+_made: list[str] = []
 _own: str | None = None
 
 
@@ -31,7 +36,21 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/cliploom-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/cliploom-{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables made so far. Results that still read them must have been written."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def narrow(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it is of checked size."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .native_text import text_or_empty
-from .scratch import materialize
+from .scratch import materialize, narrow
 
 KINDS = ("assign", "access", "hex", "opaque")
 #: The patterns of the base kinds. Runs are maximal, so a minimal length may stand in the
@@ -114,15 +114,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *of_kind[:3], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), of_kind[3], *verdicts)
 
 
-def masked(docs: DataFrame, text_col: str = "text", mask: str = "<SECRET>", **scan_args) -> DataFrame:
-    """``docs`` with live secrets replaced by ``mask``; copied examples stay.
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<SECRET>", **scan_args) -> DataFrame:
+    """``docs`` with live and shared secrets replaced by ``mask``; copied examples stay.
 
     Overlapping spans become one. All rows and columns stay; null text stays null.
+    Rows are told apart by id and text, so repeated rows are masked alike.
     """
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)]))
     rows, spans = scan(keyed, id_col="_row", text_col=text_col, **scan_args)
-    live = spans.where("verdict <> 'example'").join(rows, "row_id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    df = keyed.join(live.withColumnRenamed("doc_id", "_row"), "_row", "left")
+    hidden = spans.where("verdict <> 'example'").join(rows, "row_id").groupBy(F.col("doc_id").alias("_row")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
+    df = keyed.join(narrow(materialize(hidden, "masks")), "_row", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
