@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from . import manifest_queries, model_queries, report_queries
+
+QUERIES = manifest_queries.QUERIES | report_queries.QUERIES | model_queries.QUERIES
+ORACLES = manifest_queries.ORACLES | report_queries.ORACLES | model_queries.ORACLES
+FLAGSHIP = manifest_queries.split_summary

@@ -1 +1 @@
-
+"""Nothing here yet: every operator of this library is bounded batch work."""
