@@ -16,10 +16,12 @@ MANIFEST_SCHEMA = "path string, label int, class_name string, source_id string,
 def discover(spark: SparkSession, real_dir: str, fake_dir: str) -> tuple[DataFrame, DataFrame]:
     """(real, fake) paths: ``*.mp4`` one level below real_dir and exactly two below fake_dir. Raises if a side is empty."""
 
-    def scan(path: str) -> DataFrame:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load(path).select("path")
+    def scan(path: str, levels: int) -> DataFrame:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.mp4").load(path + "/*" * (levels - 1)).select("path")
+        folder = path.rstrip("/").rsplit("/", 1)[-1]
+        return found.where(F.substring_index(F.col("path"), "/", -levels - 1).startswith(f"{folder}/"))
 
-    sides = scan(real_dir), scan(f"{fake_dir}/*/")
+    sides = scan(real_dir, 1), scan(fake_dir, 2)
     for side, where in zip(sides, (real_dir, fake_dir), strict=True):
         if side.isEmpty():
             raise FileNotFoundError(f"no .mp4 files under {where}")
