@@ -23,7 +23,9 @@ BUCKETS = 1 << 14
 #: At most so many trusted documents make the target multinomial.
 TARGET_ROWS = 20_000
 #: Mean log ratio per n-gram below which a document is rejected.
-THRESHOLD = -0.25
+THRESHOLD = -0.1
+#: N-grams of the raw corpus that are added to the target's.
+PRIOR = 16 * BUCKETS
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
@@ -73,8 +75,10 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def log_ratios(target: DataFrame, raw: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row with ``ratios``: BUCKETS floats, log(p_target / p_raw), each with add-one smoothing.
+    """One row with ``ratios``: BUCKETS floats, log(p_target / p_raw).
 
+    The raw counts are smoothed by one, the target's by PRIOR n-grams of the raw
+    corpus: few trusted rows say little, and then all ratios stay near 0.
     The row is of fixed size, so it may be broadcast whatever the corpus.
     """
     spark = raw.sparkSession
@@ -83,7 +87,8 @@ def log_ratios(target: DataFrame, raw: DataFrame, text_col: str = "text") -> Dat
     both = spark.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(t, "bucket", "left").join(r, "bucket", "left")
     both = both.select("bucket", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
     row = both.agg(F.sum("t").alias("tt"), F.sum("r").alias("rr"), F.sort_array(F.collect_list(F.struct("bucket", "t", "r"))).alias("all"))
-    ratio = F.transform("all", lambda x: (F.log((x["t"] + 1) / (F.col("tt") + BUCKETS)) - F.log((x["r"] + 1) / (F.col("rr") + BUCKETS))).cast("float"))
+    raw_p = lambda x: (x["r"] + 1) / (F.col("rr") + BUCKETS)
+    ratio = F.transform("all", lambda x: F.log((x["t"] + PRIOR * raw_p(x)) / ((F.col("tt") + PRIOR) * raw_p(x))).cast("float"))
     return row.select(ratio.alias("ratios"))
 
 
@@ -98,8 +103,7 @@ def score_documents(docs: DataFrame, target: DataFrame, text_col: str = "text",
 
     ``target`` holds the trusted rows (of a bounded number); all rows of ``docs``
     make the raw multinomial. Texts without words score 0 and fail by the rule.
-    An empty target leaves both multinomials smooth, so ratios say little: then
-    scores are near the raw corpus's own log probability shifts and stay defined.
+    With an empty target all ratios are 0 and only the rule rejects.
     Columns of the input are kept; those that this adds replace any of that name.
     """
     ratios = materialize(log_ratios(target, docs, text_col), "ratios")
