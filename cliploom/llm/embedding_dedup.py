@@ -34,13 +34,16 @@ BLOCK, SMALL = 1024, 24
 NO_ID = 1 << 62
 
 
-def learn_codes(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits): PCA axes, turned by as many learned rotations as the bits take."""
+def learn_codes(sample: np.ndarray, bits: int, seed: int = 11) -> np.ndarray:
+    """Projection (dimensions x bits): principal axes, turned by as many learned rotations as the bits take.
+
+    Nothing is centred: all planes pass through the origin, so the share of bits in
+    which two vectors differ follows their angle, on which the number of tables rests.
+    """
     rng = np.random.default_rng(seed)
     d = sample.shape[1]
-    mean = sample.mean(axis=0)
-    _, axes = np.linalg.eigh(np.cov((sample - mean).T).reshape(d, d))
-    v = (sample - mean) @ axes
+    _, axes = np.linalg.eigh(sample.T @ sample)
+    v = sample @ axes
     parts = []
     for _ in range(-(-bits // d)):
         rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
@@ -48,7 +51,7 @@ def learn_codes(sample: np.ndarray, bits: int, seed: int = 11) -> tuple[np.ndarr
             left, _, right = np.linalg.svd(np.where(v @ rotation >= 0, 1.0, -1.0).T @ v)
             rotation = (left @ right).T
         parts.append(axes @ rotation)
-    return mean, np.concatenate(parts, axis=1)[:, :bits]
+    return np.concatenate(parts, axis=1)[:, :bits]
 
 
 def table_plan(rows: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
@@ -68,14 +71,14 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return flat.reshape(-1, d)
 
 
-def table_keys(vectors: DataFrame, mean: np.ndarray, projection: np.ndarray, bits: int) -> DataFrame:
+def table_keys(vectors: DataFrame, projection: np.ndarray, bits: int) -> DataFrame:
     """Adds ``keys``: the vector's substring in each table."""
-    d, tables = len(mean), projection.shape[1] // bits
+    d, tables = len(projection), projection.shape[1] // bits
     place = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = (_unit(_matrix(batch.column(2), d).astype(np.float64)) - mean) @ projection >= 0
+            code = _unit(_matrix(batch.column(2), d).astype(np.float64)) @ projection >= 0
             keys = (code.reshape(-1, tables, bits) @ place).astype(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["rep", "w", "embedding", "keys"])
@@ -180,8 +183,7 @@ def near_links(vectors: DataFrame, d: int, cosine: float = COSINE, recall: float
     part = min(1.0, FIT_ROWS / max(n, 1))
     sample = vectors.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1).orderBy("rep").select("embedding").toArrow().column(0).combine_chunks()
     sample = _unit(_matrix(sample, d).astype(np.float64))
-    mean, projection = learn_codes(sample, bits * tables)
-    coded = materialize(table_keys(vectors, mean, projection, bits), "codes")
+    coded = materialize(table_keys(vectors, learn_codes(sample, bits * tables), bits), "codes")
     entries = coded.select("*", F.posexplode("keys").alias("t", "key"))
     sizes = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = materialize(sizes, "buckets").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
