@@ -229,3 +229,14 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings, whatever their labels."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP5_SQL = """
+WITH RECURSIVE parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
+sound AS (SELECT vec_id, sqrt(sum(v * v)) AS norm FROM parts GROUP BY 1 HAVING count(*) = count(v) AND bool_and(isfinite(v)) AND sum(v * v) > 0),
+unit AS (SELECT vec_id, d, v / norm AS v FROM parts JOIN sound USING (vec_id)),
+cosines AS (SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.d = b.d AND a.vec_id <> b.vec_id GROUP BY 1, 2 HAVING sum(a.v * b.v) >= 0.9e0),
+reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.y, r.c FROM reach r JOIN cosines e ON e.x = r.id)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, c.c AS component_id, e.vec_id = c.c AS kept
+FROM embeddings e LEFT JOIN (SELECT x, count(*) AS n FROM cosines GROUP BY 1) l ON l.x = e.vec_id JOIN (SELECT id, min(c) AS c FROM reach GROUP BY 1) c ON c.id = e.vec_id
+"""

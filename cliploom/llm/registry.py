@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from .bin_packing import op10_bin_packing
 from .bpe_transducer import op8_token_counts
-from .embedding_dedup import op5_embedding_dedup
+from .embedding_dedup import OP5_SQL, op5_embedding_dedup
 from .lm_score import op3_lm_score
-from .ngram_join import op7_ngram_join
+from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality_llr import op4_quality_llr
 from .secret_scan import op1_secret_scan
 from .source_mix import OP9_SQL, op9_source_mix
@@ -29,5 +29,7 @@ QUERIES = {
 #: Where SQL can express the query; the others are tested against brute force in tests/llm.
 ORACLES = {
     "op2_warc_convert": OP2_SQL,
+    "op5_embedding_dedup": OP5_SQL,
+    "op7_ngram_join": OP7_SQL,
     "op9_source_mix": OP9_SQL,
 }
