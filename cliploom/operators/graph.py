@@ -33,3 +33,23 @@ def gated_message(nodes: DataFrame, n: int, u: float = 0.5, v: float = 0.8, a: f
     gated = edges.select("graph_id", "i", "xi", "xj", softmax(F.col("z"), "graph_id", "i").alias("g"))
     sums = gated.groupBy("graph_id", "i").agg(F.first("xi").alias("xi"), F.sum(F.col("g") * F.col("xj") * v / n).alias("m"))
     return sums.select("graph_id", "i", F.greatest(F.lit(0.0), F.col("xi") + u * F.col("xi") + F.col("m")).alias("x"))
+
+
+def cross_attention(queries: DataFrame, keys: DataFrame, dim: int) -> DataFrame:
+    """graph_id, i, d, v: each query row attends to the key rows of its graph, from (graph_id, i, d, v) and (graph_id, j, d, v).
+
+    The dot products are summed over d before the softmax over j.
+    """
+    k = keys.withColumnRenamed("v", "kv")
+    z = queries.join(k, ["graph_id", "d"]).groupBy("graph_id", "i", "j").agg((F.sum(F.col("v") * F.col("kv")) / dim**0.5).alias("z"))
+    a = z.select("graph_id", "i", "j", softmax(F.col("z"), "graph_id", "i").alias("a"))
+    return a.join(k, ["graph_id", "j"]).groupBy("graph_id", "i", "d").agg(F.sum(F.col("a") * F.col("kv")).alias("v"))
+
+
+def architecture_edges(modalities: DataFrame) -> DataFrame:
+    """(source, target): input to each modality, those to the bank, the bank to fusion, fusion to its outputs."""
+    spark = modalities.sparkSession
+    fixed = spark.createDataFrame([("token_bank", "fusion"), ("fusion", "cls"), ("fusion", "fused_tokens")], "source string, target string")
+    into = modalities.select(F.lit("input").alias("source"), F.col("name").alias("target"))
+    out = modalities.select(F.col("name").alias("source"), F.lit("token_bank").alias("target"))
+    return into.unionByName(out).unionByName(fixed)
