@@ -83,16 +83,16 @@ def file_record(version: int = 1) -> Column:
     return F.to_json(F.struct(F.col("label").alias("label"), F.col("modified_ns").alias("mtime_ns"), F.col("path").alias("path"), F.col("size").alias("size"), F.lit(version).alias("version")))
 
 
-def fingerprint(files: DataFrame, config: dict, modalities: list[str], order: str = "path") -> DataFrame:
-    """(fingerprint): SHA-256 over the configuration, the ordered modalities and all file records.
+def fingerprint(files: DataFrame, config: dict, modalities: list[str]) -> DataFrame:
+    """(fingerprint): SHA-256 over the configuration, the ordered modalities and the set of file records.
 
-    Records are hashed one by one and the hashes, in order, hashed again: the list
-    that is gathered holds 64 characters a file.
+    Records are hashed one by one and the hashes are summed and xor-ed, so files may
+    come in any order and are never listed in one place.
     """
     head = json.dumps({"config": config, "modalities": modalities}, sort_keys=True, separators=(",", ":"))
-    each = files.select(F.struct(F.col(order), F.sha2(file_record(), 256).alias("h")).alias("r"))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"]), ",")
-    return each.agg(F.sha2(F.concat(F.lit(head), listed), 256).alias("fingerprint"))
+    each = files.select(file_record().alias("r"))
+    marks = (F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.lit(1), "r")), F.sum(F.xxhash64(F.lit(2), "r").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(3), "r").cast("decimal(38,0)")))
+    return each.agg(F.sha2(F.concat_ws("|", F.lit(head), *[m.cast("string") for m in marks]), 256).alias("fingerprint"))
 
 
 def write_features(items: DataFrame, path: str, mark: str) -> None:
