@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.functions.numeric import weight
-from cliploom.operators import checks, graph, subsets, token_bank, training
+from cliploom.operators import catalog, checks, graph, subsets, token_bank, training
 from cliploom.plans import model_queries as M
 from cliploom.plans import surrogates as S
 
@@ -64,7 +64,22 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M._r(f.groupBy("clip_id", "d").agg(F.avg(F.col("v") * F.col("w")).alias("v")), 8)
 
 
-QUERIES = {f.__name__: f for f in (single_detections, unequal_batches, fusion_input_problems, missing_names, cross_attention, architecture_edges, subset_runs, trained_head, mean_pool)}
+def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = S.table(spark, sf_dir, "nation")
+    names = n.select(F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("old "), F.col("n_name"))).otherwise(F.col("n_name")).alias("name"))
+    aliases = n.where("n_nationkey % 8 = 0").select(F.concat(F.lit("old "), F.col("n_name")).alias("alias"), F.col("n_name").alias("target"))
+    return catalog.resolve(names, aliases, n.select(F.col("n_name").alias("key"), "n_regionkey")).select("name", "n_regionkey", "known")
+
+
+def architecture_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.dot_lines(architecture_edges(spark, sf_dir))
+
+
+def modality_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.markdown_rows(subsets.offsets(subsets.modality_table(spark)).select("name", "offset", "slots"))
+
+
+QUERIES = {f.__name__: f for f in (single_detections, unequal_batches, fusion_input_problems, missing_names, cross_attention, architecture_edges, subset_runs, trained_head, mean_pool, alias_lookup, architecture_dot, modality_markdown)}
 ORACLES = {
     "single_detections": "WITH d AS (SELECT l_orderkey, count(*) AS n, any_value(l_quantity) AS a, any_value(l_tax) AS b FROM lineitem GROUP BY 1) SELECT o_orderkey AS clip_id, 0::INTEGER AS frame_idx, CASE WHEN n = 1 THEN a ELSE -1e0 END AS a, CASE WHEN n = 1 THEN b ELSE -1e0 END AS b FROM orders LEFT JOIN d ON l_orderkey = o_orderkey",
     "unequal_batches": "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id // 2 AS batch_id, min(n) AS shortest, max(n) AS longest FROM n GROUP BY 1 HAVING min(n) <> max(n)",
@@ -80,5 +95,8 @@ s AS (SELECT m.mask, list(n.k ORDER BY n.k) AS places, string_agg(n.modality, '_
 r AS (SELECT *, row_number() OVER (ORDER BY size, places)::INTEGER AS set_id FROM s),
 p AS (SELECT set_id, name, doc_id, avg((doc_id * (n.k + 3)) % 11 - 7.25e0) AS logit, max(toxic) AS label FROM r JOIN n ON (r.mask >> n.k) & 1 = 1, labels GROUP BY 1, 2, 3)
 SELECT set_id, name, count(*) AS clips, round(avg(((logit >= 0)::INT = label)::INT::DOUBLE), 6) AS accuracy FROM p GROUP BY 1, 2""",
+    "alias_lookup": "SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'old ' || n_name ELSE n_name END AS name, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey % 8 <> 0 THEN NULL ELSE n_regionkey END AS n_regionkey, NOT (n_nationkey % 4 = 0 AND n_nationkey % 8 <> 0) AS known FROM nation",
+    "architecture_dot": f"WITH {M.LAYOUT_SQL}, e AS (SELECT 'input' AS source, name AS target FROM lay UNION ALL SELECT name, 'token_bank' FROM lay UNION ALL SELECT * FROM (VALUES ('token_bank', 'fusion'), ('fusion', 'cls'), ('fusion', 'fused_tokens'))) SELECT '  \"' || source || '\" -> \"' || target || '\";' AS line FROM e",
+    "modality_markdown": f"WITH {M.LAYOUT_SQL} SELECT '| ' || name || ' | ' || offset_ || ' | ' || slots || ' |' AS line FROM off",
     "mean_pool": f"WITH {M.FEATURES_SQL} SELECT clip_id, d, round(avg(v * 0.02e0 * sin(12.9898e0 * d + 78.233e0)), 8) + 0e0 AS v FROM tok GROUP BY 1, 2",
 }
