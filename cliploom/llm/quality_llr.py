@@ -114,6 +114,17 @@ def score_documents(docs: DataFrame, target: DataFrame, text_col: str = "text",
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
+def keep_good(docs: DataFrame, target: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The filter reads a row number beside the verdict. That has no influence on it but
+    holds the filter above the projections: pushed below them, the nested array
+    expressions would be written out again for each use.
+    """
+    scored = score_documents(docs, target, text_col, threshold).withColumn("_row", F.monotonically_increasing_id())
+    return scored.where("kept AND _row >= 0").select(*docs.columns)
+
+
 def trusted_documents(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     """The trusted rows of ``docs``; their bounded list of ids goes to every task, the texts stay where they are."""
     return docs.join(F.broadcast(materialize(trusted_ids(labels, rows), "trusted")), "doc_id", "left_semi")

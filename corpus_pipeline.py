@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cliploom.llm import scratch
 from cliploom.llm.bin_packing import pack, pieces
 from cliploom.llm.ngram_join import similar_groups
-from cliploom.llm.quality_llr import score_documents, trusted_documents
+from cliploom.llm.quality_llr import keep_good, trusted_documents
 from cliploom.llm.secret_scan import masked
 from cliploom.llm.source_mix import fair_mix, sized_documents
 
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drop what the quality rules reject. The trusted rows are those that ``labels`` calls good."""
     scratch.release(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_documents(docs, trusted_documents(docs, labels)).where("kept").select(*docs.columns)
+    return keep_good(docs, trusted_documents(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
