@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table goes to every task only up to this many rows (of a few numbers each); beyond it, a join shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 _made: list[str] = []
 _own: str | None = None
