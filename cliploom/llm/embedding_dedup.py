@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, narrow
 
 #: Smallest cosine of a link, and the share of such pairs that meet in some table.
 COSINE, RECALL = 0.9, 0.97
@@ -185,9 +185,9 @@ def near_links(vectors: DataFrame, d: int, cosine: float = COSINE, recall: float
     sample = _unit(_matrix(sample, d).astype(np.float64))
     coded = materialize(table_keys(vectors, learn_codes(sample, bits * tables), bits), "codes")
     entries = coded.select("*", F.posexplode("keys").alias("t", "key"))
-    sizes = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = materialize(sizes, "buckets").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    met = entries.join(sizes, ["t", "key"]).withColumn("block", F.pmod(F.hash("rep"), F.col("blocks")))
+    crowded = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
+    crowded = materialize(crowded.select("t", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "crowded")
+    met = entries.join(narrow(crowded), ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.hash("rep"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = met.select("t", "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "w", "embedding", "keys")
     group = ["t", "key", "bi", "bj"]
