@@ -306,6 +306,34 @@ def test_cross_entropy_difference(spark):
     assert np.mean([out[i]["score"] for i in range(30)]) < np.mean([out[i]["score"] for i in range(30, 60)])
 
 
+def test_language_models_tell_all_words_apart(spark, monkeypatch):
+    """More words than the head has, in several blocks: each keeps counts of its own, in both models."""
+    monkeypatch.setattr(lm_score, "HEAD", 20, raising=False)
+    monkeypatch.setattr(lm_score, "BLOCK_ROWS", 16, raising=False)
+    rng = random.Random(23)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.3)), 30000)}" for _ in range(rng.randint(1, 80))) for _ in range(200)]
+    texts += ["rare pair of words", "rare pair of words", "Rare pair", "solitary oddity"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", 1), (None, texts[0], "en", "s", 0)], SCHEMA)
+    out = lm_score.cross_entropy_difference(df, spark.range(90).withColumnRenamed("id", "doc_id")).collect()
+    assert len(out) == len(texts) + 2
+    steps = lambda t: list(zip(["</s>", *t.lower().split()], [*t.lower().split(), "</s>"], strict=True))
+    every = [*texts, texts[5], texts[0]]
+    size = len({w for t in every for _, w in steps(t)})
+    assert size > 1200
+    want = {}
+    for side, group in (("target_loss", [*texts[:90], texts[5]]), ("background_loss", every)):
+        pairs = collections.Counter(s for t in group for s in steps(t))
+        left, right = (collections.Counter(s[k] for t in group for s in steps(t)) for k in range(2))
+        total = right.total()
+        loss = lambda c, w: -np.log((pairs[c, w] + 50 * (right[w] + 1) / (total + size)) / (left[c] + 50))  # noqa: B023, E731
+        for t in texts:
+            want[side, t] = np.mean([loss(*s) for s in steps(t)])
+    for r in out:
+        t = texts[r["doc_id"] or 0]
+        assert r["n_tokens"] == len(steps(t))
+        assert [r["target_loss"], r["background_loss"]] == pytest.approx([want["target_loss", t], want["background_loss", t]], rel=1e-5)
+
+
 def test_language_models_of_odd_rows(docs, none, spark):
     assert lm_score.cross_entropy_difference(docs, spark.range(3).withColumnRenamed("id", "doc_id")).count() == len(ODD)
     assert lm_score.cross_entropy_difference(none, spark.range(0).withColumnRenamed("id", "doc_id")).isEmpty()
