@@ -27,7 +27,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .quality_llr import TARGET_ROWS, trusted_ids
 from .scratch import BROADCAST_ROWS, materialize
 
 #: Words whose bigrams with each other are counted ahead; ids after them: unlisted word, end of text (also the start).
@@ -245,6 +244,6 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against the trusted ones."""
+    """Every document against all the trusted ones."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), trusted_ids(labels, TARGET_ROWS))
+    return cross_entropy_difference(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels.where("quality = 1").select("doc_id"))

@@ -334,6 +334,19 @@ def test_language_models_tell_all_words_apart(spark, monkeypatch):
         assert [r["target_loss"], r["background_loss"]] == pytest.approx([want["target_loss", t], want["background_loss", t]], rel=1e-5)
 
 
+def test_all_trusted_rows_make_the_target_model(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(lm_score, "TARGET_ROWS", 2, raising=False)
+    rows = [(i, f"one two{i} three{i % 5} four", "en", "s", 1) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 20), 0) for i in range(25)] + [(3, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    score = lambda out: {r["doc_id"]: pytest.approx(tuple(r), rel=1e-6) for r in out.collect()}
+    want = score(lm_score.cross_entropy_difference(df, spark.range(20).withColumnRenamed("id", "doc_id")))
+    monkeypatch.setattr(lm_score, "BROADCAST_ROWS", 4, raising=False)  # so both sides are shuffled
+    got = {r["doc_id"]: tuple(r) for r in lm_score.op3_lm_score(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_language_models_of_odd_rows(docs, none, spark):
     assert lm_score.cross_entropy_difference(docs, spark.range(3).withColumnRenamed("id", "doc_id")).count() == len(ODD)
     assert lm_score.cross_entropy_difference(none, spark.range(0).withColumnRenamed("id", "doc_id")).isEmpty()
