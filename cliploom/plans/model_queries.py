@@ -9,7 +9,7 @@ from cliploom.functions import numeric, pooling, signal
 from cliploom.operators import graph, heads, subsets, token_bank
 from cliploom.plans import surrogates as S
 
-DIM, SIZE = 16, 8
+DIM, SIZE, CLIP = 16, 8, 12
 W = "0.02e0 * sin(12.9898e0 * {i} + 78.233e0 * {j} + {p})"
 FEATURES_SQL = f"e AS (SELECT label AS clip_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS t, embedding FROM embeddings), tok AS (SELECT clip_id, t, (r.d)::INT AS d, embedding[r.d + 1]::DOUBLE AS v FROM e, range({DIM}) r(d))"
 PIXELS_SQL = f"px AS (SELECT * FROM (SELECT k // {SIZE * SIZE} AS frame_id, (k % {SIZE * SIZE} // {SIZE})::INT AS y, (k % {SIZE})::INT AS x, (p_size * 5)::DOUBLE AS r, (floor(p_retailprice)::BIGINT % 256)::DOUBLE AS g, (floor(p_retailprice * 7)::BIGINT % 256)::DOUBLE AS b, count(*) OVER (PARTITION BY k // {SIZE * SIZE}) AS c FROM (SELECT p_partkey AS k, p_size, p_retailprice FROM part)) WHERE c = {SIZE * SIZE})"
@@ -107,8 +107,18 @@ def two_stage_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's first embeddings as its rgb and depth tokens."""
-    f = _features(spark, sf_dir).where("t < 12").groupBy("clip_id", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda p: p["v"]).alias("token"))
+    """Each label's first embeddings as its rgb and depth tokens; the SQL of the queries on it has the same prefix."""
+    return _placed(_features(spark, sf_dir).where(F.col("t") < CLIP))
+
+
+def _clip_tokens(f: DataFrame) -> DataFrame:
+    """All embeddings of each label, cut into clips of CLIP tokens named label:number; a label's last clip may be shorter."""
+    return _placed(f.withColumn("clip_id", F.concat_ws(":", F.col("clip_id").cast("string"), F.floor(F.col("t") / CLIP).cast("string"))).withColumn("t", F.col("t") % CLIP))
+
+
+def _placed(f: DataFrame) -> DataFrame:
+    """A clip's tokens in the places of rgb and depth."""
+    f = f.groupBy("clip_id", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda p: p["v"]).alias("token"))
     return f.select("clip_id", F.when(F.col("t") < 8, "rgb").otherwise("depth").alias("modality"), F.when(F.col("t") < 8, F.col("t")).otherwise(F.col("t") - 8).alias("slot"), "token")
 
 
@@ -134,7 +144,7 @@ def bank_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tokens(spark, sf_dir)
+    t = _clip_tokens(_features(spark, sf_dir))
     cls = token_bank.fuse(token_bank.embedded(token_bank.token_bank(t, t, DIM)), DIM)
     return _r(cls.select("clip_id", F.posexplode("cls").alias("d", "v")), 5)
 

@@ -1,3 +1,5 @@
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +95,13 @@ def test_threshold_is_inclusive(spark):
 def test_gathering_points(spark):
     df = spark.createDataFrame([([[1.5, -0.5, -2.0]],)], "p array<array<double>>")
     assert df.select(heads.gather_points(F.col("p"), (0, 7))).first()[0] == [[1.0, 0.0, -2.0], [-1.0, -1.0, -1.0]]
+
+
+def test_fusion_sees_every_embedding(spark):
+    from cliploom.plans import model_queries
+
+    sizes = collections.Counter(r["label"] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("label").collect())
+    clips = {r["clip_id"] for r in model_queries.fusion_cls(spark, "/root/testdata/sf0.001").select("clip_id").distinct().collect()}
+    assert clips == {f"{label}:{k}" for label, n in sizes.items() for k in range(-(-n // 12))}
+    tokens = model_queries._clip_tokens(model_queries._features(spark, "/root/testdata/sf0.001"))
+    assert tokens.count() == tokens.select("clip_id", "modality", "slot").distinct().count() == sizes.total()
