@@ -26,6 +26,12 @@ def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.concat_ws(":", F.col("clip_id").cast("string"), "modality").alias("clip_id"), F.col("frame_idx").alias("t"), F.col("value").alias("v"))
 
 
+def _whole_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The vectors with all their components, and the number of these."""
+    dim = S.table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    return S.features(spark, sf_dir, dim), dim
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.features(spark, sf_dir, DIM)
 
@@ -89,7 +95,7 @@ def linear_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gelu_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.mlp(_features(spark, sf_dir), 32, 8, ["clip_id", "t"]), 8)
+    return _r(pooling.mlp(_whole_features(spark, sf_dir)[0], 32, 8, ["clip_id", "t"]), 8)
 
 
 def latent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,9 +107,9 @@ def temporal_latent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_stage_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir)
+    f, dim = _whole_features(spark, sf_dir)
     tokens = f.select("clip_id", F.floor(F.col("t") / 5).cast("int").alias("frame"), (F.col("t") % 5).alias("t"), "d", "v")
-    return _r(pooling.two_stage_pool(tokens, 2, 3, DIM), 4)
+    return _r(pooling.two_stage_pool(tokens, 2, 3, dim), 4)
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +150,9 @@ def bank_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _clip_tokens(_features(spark, sf_dir))
-    cls = token_bank.fuse(token_bank.embedded(token_bank.token_bank(t, t, DIM)), DIM)
+    f, dim = _whole_features(spark, sf_dir)
+    t = _clip_tokens(f)
+    cls = token_bank.fuse(token_bank.embedded(token_bank.token_bank(t, t, dim)), dim)
     return _r(cls.select("clip_id", F.posexplode("cls").alias("d", "v")), 5)
 
 

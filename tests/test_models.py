@@ -1,4 +1,5 @@
 import collections
+import math
 
 import numpy as np
 import pytest
@@ -105,3 +106,21 @@ def test_fusion_sees_every_embedding(spark):
     assert clips == {f"{label}:{k}" for label, n in sizes.items() for k in range(-(-n // 12))}
     tokens = model_queries._clip_tokens(model_queries._features(spark, "/root/testdata/sf0.001"))
     assert tokens.count() == tokens.select("clip_id", "modality", "slot").distinct().count() == sizes.total()
+
+
+def test_whole_vectors_are_read(spark, tmp_path):
+    from cliploom.plans import model_queries
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6, 20))
+    y = x.copy()
+    y[:, 16:] += 1.0  # told apart by the last components only
+    for name, z in (("x", x), ("y", y)):
+        spark.createDataFrame([(i, i % 2, z[i].tolist()) for i in range(6)], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    for query in (model_queries.gelu_mlp, model_queries.two_stage_pool, model_queries.fusion_cls):
+        assert sorted(map(tuple, query(spark, f"{tmp_path}/x").collect())) != sorted(map(tuple, query(spark, f"{tmp_path}/y").collect()))
+    got = model_queries.gelu_mlp(spark, f"{tmp_path}/x").toPandas().set_index(["clip_id", "t", "d"])["v"]
+    table = lambda a, b, p: 0.02 * np.sin(12.9898 * np.arange(a)[:, None] + 78.233 * np.arange(b) + p)
+    h = np.float32(x).astype(float) @ table(20, 32, 0)
+    want = (0.5 * h * (1 + np.vectorize(math.erf)(h / math.sqrt(2)))) @ table(32, 8, 1)
+    assert all(got[i % 2, i // 2, d] == pytest.approx(want[i, d], abs=1e-6) for i in range(6) for d in range(8))
