@@ -5,33 +5,35 @@ its last token together with the encoding of what stands before it is all that
 longer prefixes need. What can still matter is bounded by the longest live suffix
 (one that some token starts with), so the prefixes fall into finitely many
 classes: the states of a deterministic transducer. A transition reads a byte and
-emits the change of the number of tokens. States are made when a text first
-reaches them and kept.
-
-Text between two sync points - a white-space character after another character -
-tokenises on its own, whatever stands around it. A chunk of text therefore has a
-state map that is constant but for its two ends: (head, count, tail). Maps compose
-associatively, so the count of a text is a parallel prefix scan over its chunks.
+emits the change of the number of tokens. States are compiled when a text first
+reaches them and kept in a dense table.
+
+Chunks have state maps: (state before) -> (state behind, tokens emitted), which
+compose associatively. A chunk that ends a pretoken leads to the start state from
+wherever it began, so texts are cut where pretokens end and those counts add up. A
+long pretoken is cut into blocks. All chunks of a batch run side by side, a byte a
+step; blocks run from the start state and once more from the state in which the
+block before them was left, which is nearly always the true one, and the scan that
+composes their maps runs the few that are missing. One path serves every length.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from typing import NamedTuple
 
-import pyarrow as pa
+import numpy as np
 import public_tokenizers
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pretokens import pretokens
+from .pretokens import Remembering
 
-SYNC = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")
-LAST_SYNC = regex.compile(r"(?r)(?<=\P{White_Space})(?=\p{White_Space})")
-#: Characters of a chunk; pretokens and states that a worker keeps before it starts anew.
-CHUNK, REMEMBERED, STATES = 1 << 16, 250_000, 150_000
+#: Bytes of a block and of the words that run side by side; states that a worker keeps before it starts anew.
+BLOCK, BATCH_BYTES, STATES = 32, 1 << 16, 1 << 17
+#: A transition is ``state << EMIT_BITS | tokens emitted + EMIT_ZERO``.
+EMIT_BITS, EMIT_ZERO = 10, 512
 
 
 def byte_names() -> dict[str, int]:
@@ -53,8 +55,11 @@ class Vocabulary:
         self.ids = {to_bytes(t): i for t, i in model["vocab"].items() if t not in special}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {(to_bytes(a), to_bytes(b)): r for r, (a, b) in enumerate(pairs)}
+        #: The merge that makes a token; bytes are there from the start.
+        self.made = {a + b: (r, a, b) for (a, b), r in reversed(self.ranks.items())}
+        self.one_way = len(self.made) == len(self.ranks)
         self.prefixes = {t[:k] for t in self.ids for k in range(1, len(t))}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special = special
         self.longest = max(map(len, self.ids))
 
     def merge(self, word: bytes) -> list[bytes]:
@@ -67,14 +72,35 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def apart(self, left: bytes, right: bytes) -> bool:
+        """Whether BPE leaves the tokens ``left`` (nothing, at the start) and ``right`` side by side as they are.
+
+        Back in time, the two are taken apart merge by merge, the later first. What then
+        meets at the border must not merge before that.
+        """
+        if not left or not self.one_way:
+            return self.merge(left + right) == ([left, right] if left else [right])
+        none, until = (-1, b"", b""), (1 << 30, 0)
+        while True:
+            rank = self.ranks.get((left, right))
+            if rank is not None and (rank, 0) < until:
+                return False
+            (a, _, inner), (b, outer, _) = self.made.get(left, none), self.made.get(right, none)
+            if a < 0 and b < 0:
+                return True
+            # Of equal merges the one further left comes first, so the border's goes before one inside the right token.
+            if a > b:
+                left, until = inner, (a, 0)
+            else:
+                right, until = outer, (b, 1)
+
 
 class Transducer:
-    """The lazily compiled machine; ``count`` runs it over one pretoken.
+    """The lazily compiled machine; ``counts`` runs it over many pretokens.
 
     A state is (live, last, count): the live suffix of the bytes read; for each
     place in it, the token that ends there (empty at the start of the pretoken);
     and the number of tokens up to there, less that of the whole prefix.
-    ``step`` maps ``state << 8 | byte`` to (next state, tokens emitted).
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -85,118 +111,104 @@ class Transducer:
         start = (b"", (b"",), (0,))
         self.states = [start]
         self.index = {start: 0}
-        self.step: dict[int, tuple[int, int]] = {}
+        # Zero is unknown: no transition leads to the start. Pages that no state has reached take no memory.
+        self.table = np.zeros((STATES + BATCH_BYTES + 1, 256), np.int32)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
-    def may_follow(self, left: bytes, token: bytes) -> bool:
-        """Whether BPE leaves ``left`` (nothing, at the start) and ``token`` side by side as they are."""
-        known = self.pairs.get((left, token))
-        if known is None:
-            known = self.pairs[left, token] = self.v.merge(left + token) == ([left, token] if left else [token])
-        return known
-
-    def compile(self, at: int, byte: int) -> tuple[int, int]:
-        live, last, count = self.states[at]
-        read = live + bytes([byte])
-        for start in range(len(read)):
+    def compile(self, at: int, byte: int) -> None:
+        (live, last, count), ids, pairs = self.states[at], self.v.ids, self.pairs
+        read = live + bytes((byte,))
+        for start, left in enumerate(last):
             token = read[start:]
-            if token in self.v.ids and self.may_follow(last[start], token):
-                break
+            if token in ids:
+                apart = pairs.get((left, token))
+                if apart is None:
+                    apart = pairs[left, token] = self.v.apart(left, token)
+                if apart:
+                    break
         else:
             raise ValueError(f"no token ends with byte {byte}")
         emitted = count[start] + 1
-        keep = next((k for k in range(len(read)) if read[k:] in self.v.prefixes), len(read))
+        keep, prefixes = 0, self.v.prefixes
+        while keep < len(read) and read[keep:] not in prefixes:
+            keep += 1
         state = (read[keep:], (*last[keep:], token), (*(c - emitted for c in count[keep:]), 0))
         to = self.index.get(state)
         if to is None:
             to = self.index[state] = len(self.states)
             self.states.append(state)
-        done = self.step[at << 8 | byte] = (to, emitted)
-        return done
-
-    def count(self, word: bytes) -> int:
+        self.table[at, byte] = to << EMIT_BITS | emitted + EMIT_ZERO
+
+    def run(self, at: np.ndarray, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Each chunk's state map at the state given for it: the state behind it and the tokens emitted."""
+        size = np.array([len(c) for c in chunks], np.int64)
+        order = np.argsort(-size, kind="stable")
+        read = np.zeros((len(chunks), int(size.max(initial=0))), np.uint8)
+        read[np.arange(read.shape[1]) < size[:, None]] = np.frombuffer(b"".join(chunks), np.uint8)
+        read, state, total = read[order], at[order], np.zeros(len(chunks), np.int64)
+        active = np.searchsorted(-size[order], -np.arange(read.shape[1]))  # chunks that have a byte at this place
+        for k, n in enumerate(active.tolist()):
+            s, byte = state[:n], read[:n, k]
+            step = self.table[s, byte]
+            if (unknown := step == 0).any():
+                for key in np.unique(s[unknown] << 8 | byte[unknown]).tolist():
+                    self.compile(key >> 8, key & 255)
+                step = self.table[s, byte]
+            state[:n] = step >> EMIT_BITS
+            total[:n] += (step & (1 << EMIT_BITS) - 1) - EMIT_ZERO
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[back], total[back]
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        """Tokens of each word, in batches of bounded bytes."""
+        out, some, size = [], [], 0
+        for word in words:
+            if size + len(word) > BATCH_BYTES and some:
+                out += self._counts(some)
+                some, size = [], 0
+            some.append(word)
+            size += len(word)
+        return out + (self._counts(some) if some else [])
+
+    def _counts(self, words: list[bytes]) -> list[int]:
         if len(self.states) > STATES:
             self.forget()
-        at = total = 0
-        step = self.step
-        for byte in word:
-            at, emitted = step.get(at << 8 | byte) or self.compile(at, byte)
-            total += emitted
-        return total
-
-
-class Counts(dict):
-    """Pretoken -> number of tokens, remembered up to a bound."""
-
-    def __init__(self, machine: Transducer):
-        super().__init__()
-        self.machine = machine
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.machine.count(word.encode())
-        return n
-
-
-class ChunkMap(NamedTuple):
-    """What a chunk does: the text before its first sync point, the tokens between its first and last, the text after its last. Without a sync point all is head and count is None."""
-
-    head: str
-    count: int | None
-    tail: str
-
-
-class Counter:
-    """Counts the tokens of whole texts."""
+        if (need := len(self.states) + sum(map(len, words)) + 1) > len(self.table):  # one very long word
+            self.table = np.concatenate([self.table[: len(self.states)], np.zeros((need - len(self.states), 256), np.int32)])
+        chunks, first = [], [0]
+        for word in words:
+            chunks += [word[i : i + BLOCK] for i in range(0, len(word), BLOCK)]
+            first.append(len(chunks))
+        at = np.zeros(len(chunks), np.int64)
+        state, total = self.run(at, chunks)
+        inner = np.setdiff1d(np.arange(1, len(chunks)), first)  # blocks that go on with a word
+        if not len(inner):
+            return total.tolist()
+        maps = {(chunks[i], 0): (int(state[i]), int(total[i])) for i in inner.tolist()}
+        likely = state[inner - 1]
+        for i, s, (to, n) in zip(inner.tolist(), likely.tolist(), zip(*(x.tolist() for x in self.run(likely, [chunks[i] for i in inner])), strict=True), strict=True):
+            maps[chunks[i], s] = (to, n)
+        out = []
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            here, n = (int(state[a]), int(total[a])) if b > a else (0, 0)
+            for chunk in chunks[a + 1 : b]:
+                if (chunk, here) not in maps:
+                    to, more = self.run(np.array([here]), [chunk])
+                    maps[chunk, here] = (int(to[0]), int(more[0]))
+                here, more = maps[chunk, here]
+                n += more
+            out.append(n)
+        return out
+
+
+class Counter(Remembering):
+    """Counts the tokens of whole texts; a special string is one token."""
 
     def __init__(self, path: str):
-        self.v = Vocabulary(path)
-        self.known = Counts(Transducer(self.v))
-
-    def closed(self, text: str) -> int:
-        """Tokens of a text that stands alone."""
-        if self.v.special is None:
-            return sum(map(self.known.__getitem__, pretokens(text)))
-        total = 0
-        for i, part in enumerate(self.v.special.split(text)):
-            total += 1 if i % 2 else sum(map(self.known.__getitem__, pretokens(part)))
-        return total
-
-    def chunk_map(self, text: str) -> ChunkMap:
-        first = SYNC.search(text)
-        if first is None:
-            return ChunkMap(text, None, "")
-        at, end = first.start(), LAST_SYNC.search(text).start()
-        return ChunkMap(text[:at], self.closed(text[at:end]), text[end:])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """Associative. A sync point may lie where the two meet, inside what was head or tail."""
-        if a.count is None and b.count is None:
-            return self.chunk_map(a.head + b.head)
-        if a.count is None:
-            left = self.chunk_map(a.head + b.head)
-            if left.count is None:
-                return ChunkMap(left.head, b.count, b.tail)
-            return ChunkMap(left.head, left.count + self.closed(left.tail) + b.count, b.tail)
-        if b.count is None:
-            right = self.chunk_map(a.tail + b.head)
-            if right.count is None:
-                return ChunkMap(a.head, a.count, right.head)
-            return ChunkMap(a.head, a.count + self.closed(right.head) + right.count, right.tail)
-        return ChunkMap(a.head, a.count + self.closed(a.tail + b.head) + b.count, b.tail)
-
-    def finish(self, m: ChunkMap) -> int:
-        return self.closed(m.head) + (m.count or 0) + self.closed(m.tail)
-
-    def count(self, text: str) -> int:
-        """Short texts are one chunk; long ones are composed pairwise, level by level."""
-        if len(text) <= CHUNK:
-            return self.closed(text)
-        maps = [self.chunk_map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.finish(maps[0])
+        v = Vocabulary(path)
+        self.machine = Transducer(v)
+        super().__init__(lambda words: self.machine.counts([w.encode() for w in words]), dict.fromkeys(v.special, 1))
 
 
 _counters: dict[str, Counter] = {}
@@ -220,9 +232,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = df.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary).count
+        counts = counter(vocabulary).texts
         for batch in batches:
-            n = pa.array([count(t.as_py()) for t in batch.column(2)], pa.int64())
+            n = pa.array(list(counts(t.as_py() for t in batch.column(2))), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
 
     kind = dict(df.dtypes)["doc_id"]
