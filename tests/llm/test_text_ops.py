@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cliploom.llm import bin_packing, bpe_transducer, lm_score, quality_llr, secret_scan, source_mix
+from cliploom.llm import bin_packing, bpe_transducer, lm_score, pretokens, quality_llr, secret_scan, source_mix
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "The quick brown fox jumps over it. " * 4000
@@ -41,6 +41,7 @@ def none(spark):
 
 
 DATA = "/root/testdata/sf0.001"
+TESTDATA = "/root/testdata"
 
 
 # --- secrets ---------------------------------------------------------------
@@ -217,25 +218,62 @@ def noise(rng, n):
 
 def test_transducer_counts_like_the_library(library, monkeypatch):
     rng, machine = random.Random(11), bpe_transducer.counter("byte_bpe_50k.json")
-    for _ in range(1500):
-        text = noise(rng, rng.randrange(40))
-        monkeypatch.setattr(bpe_transducer, "CHUNK", rng.choice([1, 2, 5, 1 << 16]))
-        assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+    for block in (1, 2, 5, 32):
+        monkeypatch.setattr(bpe_transducer, "BLOCK", block)
+        texts = [noise(rng, rng.randrange(40)) for _ in range(400)] + ["a" * 300, "=" * 999, "ab" * 500, "", " ", "\0 a\0", "x  y", "a \n b"]
+        assert list(machine.texts(texts)) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_encoder_gives_the_library_ids(library):
-    rng, encode = random.Random(12), bin_packing.encoder("byte_bpe_50k.json").encode
-    for _ in range(1500):
-        text = noise(rng, rng.randrange(40))
-        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
-
-
-def test_composition_is_associative():
-    machine, rng = bpe_transducer.counter("byte_bpe_50k.json"), random.Random(13)
+    rng, ids = random.Random(12), bin_packing.encoder("byte_bpe_50k.json")
+    texts = [noise(rng, rng.randrange(40)) for _ in range(1500)]
+    assert ids.ranked
+    for text in texts:
+        assert ids.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_memory_of_pretokens_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(pretokens, "REMEMBERED_BYTES", 40_000)
+    monkeypatch.setattr(pretokens, "BATCH_CHARS", 500)
+    monkeypatch.setattr(bpe_transducer, "STATES", 50)
+    machine, rng = bpe_transducer.Counter(public_tokenizers.path("byte_bpe_50k.json")), random.Random(14)
+    texts = [f"{noise(rng, 20)} {rng.random()} {'z' * 200}" for _ in range(500)]
+    assert list(machine.texts(texts)) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert machine.bytes <= 40_000 and all(len(s) <= pretokens.LONGEST for s in machine.known if isinstance(s, str))
+
+
+def test_state_maps_compose():
+    machine, rng = bpe_transducer.counter("byte_bpe_50k.json").machine, random.Random(13)
+    start = np.array([0])
     for _ in range(200):
-        a, b, c = (machine.chunk_map(noise(rng, rng.randrange(6))) for _ in range(3))
-        left, right = machine.compose(machine.compose(a, b), c), machine.compose(a, machine.compose(b, c))
-        assert machine.finish(left) == machine.finish(right)
+        word = bytes(rng.choice(b"aeinst =-\xc3\xa9") for _ in range(rng.randint(2, 30)))
+        cut = rng.randrange(1, len(word))
+        (half,), (n,) = machine.run(start, [word[:cut]])
+        (end,), (m,) = machine.run(np.array([half]), [word[cut:]])
+        assert machine.run(start, [word]) == ([end], [n + m]) and machine.counts([word]) == [n + m]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_tokens_of_the_corpus(spark, library, sf):
+    """Both queries, on the whole table, against the library."""
+    sf_dir = f"{TESTDATA}/{sf}"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {k: library.encode(t, add_special_tokens=False).ids + [2] for k, t in texts.items()}
+    counted = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in bpe_transducer.op8_token_counts(spark, sf_dir).collect()}
+    assert counted == {k: (len(t.encode()), len(ids[k]) - 1, len(ids[k]) > 513) for k, t in texts.items()}
+    packed = bin_packing.op10_bin_packing(spark, sf_dir).toPandas()
+    for doc_id, rows in packed.sort_values(["doc_id", "piece"]).groupby("doc_id"):
+        of, at = ids.pop(doc_id), 0
+        assert rows["piece"].tolist() == list(range(-(-len(of) // 1024)))
+        for r in rows.itertuples():
+            assert (r.start, r.ids_crc32) == (at, zlib.crc32(np.array(of[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(of) and rows["length"].iloc[1:].eq(1024).all()
+    assert not ids
+    placed = packed.sort_values(["sequence_id", "offset"])
+    by = placed.groupby("sequence_id")["length"]
+    assert (placed["offset"] == by.cumsum() - placed["length"]).all() and (by.sum() <= 1024).all()
+    assert placed["sequence_id"].nunique() <= 1.02 * -(-placed["length"].sum() // 1024)
 
 
 def test_token_counts_of_odd_rows(docs, none, library):
@@ -261,6 +299,9 @@ def test_packing_is_whole(spark, docs, none, library):
     for r in out[out["doc_id"] == 8].itertuples():
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
     assert bin_packing.pack(bin_packing.pieces(none)).isEmpty()
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text " * 40).alias("text"))
+    groups = bin_packing.pack(bin_packing.pieces(same).cache(), group_pieces=100).select(F.shiftright("sequence_id", bin_packing.GROUP_BITS).alias("g")).groupBy("g").count().toPandas()["count"]
+    assert groups.sum() == 3000 and groups.max() < 200
 
 
 def test_fullest_combination():
