@@ -12,6 +12,8 @@ repeated three-word windows), which the verdict never overrules.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ THRESHOLD = -0.1
 PRIOR = 16 * BUCKETS
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def _unigram(word: Column) -> Column:
@@ -39,15 +42,31 @@ def _bigram(word: Column, after: Column) -> Column:
     return F.pmod(F.hash(F.lit(2), word, after), F.lit(BUCKETS))
 
 
+def boxed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): the caller's columns as one struct, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+
+
+def unboxed(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    return [df["row"].getField(c).alias(c) for c in columns]
+
+
 def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-    Null text counts as empty: all zero, and failed. ``n_repeat_words`` counts the
-    positions inside three-word windows whose words occur in two windows or more;
-    windows are compared by a 64-bit hash of their words.
+    Null text counts as empty: all zero, and failed. Rows are independent, repeated
+    ones too. Columns of the input are kept; those that this adds replace any of that
+    name. ``n_repeat_words`` counts the positions inside three-word windows whose words
+    occur in two windows or more; windows are compared by a 64-bit hash of their words.
     """
-    text = text_or_empty(F.col(text_col))
-    df = docs.withColumn("_w", words(F.col(text_col)))
+    df = _statistics(boxed(docs, text_col))
+    return df.select(*unboxed(df, [c for c in docs.columns if c not in STATISTICS]), *STATISTICS)
+
+
+def _statistics(df: DataFrame) -> DataFrame:
+    """(row, text, _w) and the statistics."""
+    text = text_or_empty(F.col("text"))
+    df = df.withColumn("_w", words(F.col("text")))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
     df = df.withColumns({
@@ -98,31 +117,39 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def _scored(docs: DataFrame, target: DataFrame, text_col: str, threshold: float) -> DataFrame:
+    """(row, statistics, score, kept)."""
+    ratios = materialize(log_ratios(target, docs, text_col), "ratios")
+    df = _statistics(boxed(docs, text_col)).crossJoin(F.broadcast(ratios))
+    each = F.transform("_w", lambda x, i: F.get(F.col("ratios"), _unigram(x)).cast("double") + F.get(F.col("ratios"), _bigram(x, F.get(F.col("_w"), i + 1))))
+    score = F.when(F.size("_w") > 0, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (2 * F.size("_w"))).otherwise(F.lit(0.0))
+    out = df.select("row", *STATISTICS, score.alias("score"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
 def score_documents(docs: DataFrame, target: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the text statistics, ``score`` and ``kept``.
 
     ``target`` holds the trusted rows (of a bounded number); all rows of ``docs``
-    make the raw multinomial. Texts without words score 0 and fail by the rule.
-    With an empty target all ratios are 0 and only the rule rejects.
+    make the raw multinomial, repeated rows and rows with a null id too. Null text is
+    empty. Texts without words score 0 and fail by the rule. With an empty target all
+    ratios are 0 and only the rule rejects; an empty table gives an empty result.
     Columns of the input are kept; those that this adds replace any of that name.
     """
-    ratios = materialize(log_ratios(target, docs, text_col), "ratios")
-    df = text_statistics(docs, text_col).crossJoin(F.broadcast(ratios.select(F.col("ratios").alias("_ratios"))))
-    each = F.transform("_w", lambda x, i: F.get(F.col("_ratios"), _unigram(x)).cast("double") + F.get(F.col("_ratios"), _bigram(x, F.get(F.col("_w"), i + 1))))
-    score = F.when(F.size("_w") > 0, F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / (2 * F.size("_w"))).otherwise(F.lit(0.0))
-    out = df.select(*[c for c in df.columns if c not in ("_w", "_ratios", "score", "kept")], score.alias("score"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    added = (*STATISTICS, "score", "kept")
+    df = _scored(docs, target, text_col, threshold)
+    return df.select(*unboxed(df, [c for c in docs.columns if c not in added]), *added)
 
 
 def keep_good(docs: DataFrame, target: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns.
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names.
 
     The filter reads a row number beside the verdict. That has no influence on it but
     holds the filter above the projections: pushed below them, the nested array
     expressions would be written out again for each use.
     """
-    scored = score_documents(docs, target, text_col, threshold).withColumn("_row", F.monotonically_increasing_id())
-    return scored.where("kept AND _row >= 0").select(*docs.columns)
+    scored = _scored(docs, target, text_col, threshold).withColumn("place", F.monotonically_increasing_id()).where("kept AND place >= 0")
+    return scored.select(*unboxed(scored, docs.columns))
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:

@@ -1,9 +1,9 @@
 """Shared scratch tables.
 
 Long plans cut their lineage by writing a Parquet table into the folder that
-``spark.checkpoint.dir`` names, which every executor and the driver can see.
-Only where that setting is absent (a laptop, a unit test) a temporary folder of
-this process is used.
+``spark.checkpoint.dir`` names (or that was set on the context), which every executor
+and the driver can see. Only a local session that names none uses a temporary folder
+of this process; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +12,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +23,8 @@ from pyspark.sql import functions as F
 #: A table goes to every task only up to this many rows (of a few numbers each); beyond it, a join shuffles both sides.
 BROADCAST_ROWS = 500_000
 
-_made: list[str] = []
+_made: dict[str, list[str]] = defaultdict(list)
+_owner: ContextVar[str] = ContextVar("owner", default="")
 _own: str | None = None
 
 
@@ -27,8 +32,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder, without a trailing slash."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = on_context.get() if on_context.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="cliploom-")
         atexit.register(shutil.rmtree, _own, True)
@@ -37,20 +47,39 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{scratch_dir(spark)}/cliploom-{label}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _made[_owner.get()].append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Results that still read them must have been written."""
-    while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Tables made inside belong to ``name``, and only :func:`release` of that name deletes them."""
+    token = _owner.set(name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
 
 
-def narrow(table: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, marked for broadcast if it is of checked size."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def release(spark: SparkSession, name: str = "") -> None:
+    """Delete the tables of ``name`` (those without an owner, if empty). Results that still read them must have been written."""
+    made = _made.pop(name, [])
+    while made:
+        delete(spark, made.pop())
+
+
+def narrow(table: DataFrame, lists: str | None = None) -> DataFrame:
+    """A written table of a few numbers a row, marked for broadcast if it is of checked size.
+
+    ``lists`` names a column of arrays, whose entries count as rows.
+    """
+    rows = table.count() if lists is None else table.select(F.sum(F.size(lists) + 1)).first()[0] or 0
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -114,25 +114,28 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *of_kind[:3], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), of_kind[3], *verdicts)
 
 
-def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<SECRET>", **scan_args) -> DataFrame:
+def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<SECRET>", repo: Column | None = None, owner: Column | None = None, **scan_args) -> DataFrame:
     """``docs`` with live and shared secrets replaced by ``mask``; copied examples stay.
 
-    Overlapping spans become one. All rows and columns stay; null text stays null.
-    Rows are told apart by id and text, so repeated rows are masked alike.
+    Overlapping spans become one. All rows and columns stay, whatever their names; null
+    text stays null. Rows are told apart by id and text, so repeated rows are masked alike.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)]))
-    rows, spans = scan(keyed, id_col="_row", text_col=text_col, **scan_args)
-    hidden = spans.where("verdict <> 'example'").join(rows, "row_id").groupBy(F.col("doc_id").alias("_row")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("_spans"))
-    df = keyed.join(narrow(materialize(hidden, "masks")), "_row", "left")
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)])
+    owner = F.lit(None).cast("string") if owner is None else owner.cast("string")
+    repo = owner if repo is None else repo.cast("string")
+    boxed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), key.alias("key"), owner.alias("owner"), repo.alias("repo"))
+    rows, spans = scan(boxed, id_col="key", repo=F.col("repo"), owner=F.col("owner"), **scan_args)
+    hidden = spans.where("verdict <> 'example'").join(rows, "row_id").groupBy(F.col("doc_id").alias("key")).agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    df = boxed.select("row", "text", "key").join(narrow(materialize(hidden, "masks"), "spans"), "key", "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
     def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
+        return F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    text = F.when(F.col("_spans").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.aggregate("_spans", start, step, finish))
-    return df.withColumn(text_col, text).drop("_row", "_spans").select(*docs.columns)
+    text = F.when(F.col("spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, step, finish))
+    return df.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

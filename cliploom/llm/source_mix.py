@@ -27,9 +27,10 @@ from .scratch import materialize
 BUCKET_ROWS, MIN_BUCKETS = 20_000, 1024
 
 
-def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): size in words; a null text has size 0."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, tie): size in words; a null text has size 0. Rows without an id are told apart by a hash of their text. ``keep`` names other columns to keep."""
+    tie = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), tie.alias("tie"), *keep)
 
 
 def source_targets(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2) -> DataFrame:
@@ -78,14 +79,15 @@ def running_sum(df: DataFrame, part: list[str], bucket: Column, order: list[Colu
     return inner.join(offsets, on, "left").select(*[inner[c] for c in df.columns if c != "_bucket"], (F.col("_inner") + F.col("_before")).alias(out))
 
 
-def fair_mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: str = "mix") -> DataFrame:
+def fair_mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, max_repeats: int = 2, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
     """The mix: one row per document with ``taken`` words.
 
     ``sized`` is what :func:`sized_documents` returns. Gives doc_id, size, source,
-    source_size, target, taken, copies (how often the mix holds the document).
+    source_size, target, taken, copies (how often the mix holds the document), and
+    the columns that ``carry`` names.
 
-    Null or repeated doc_id: rows are queued one by one; rows equal in id, source
-    and size tie, and ties at the cut go in together. Documents of size 0 take
+    Null or repeated doc_id: rows are queued one by one; rows without an id take their
+    place by their text. Documents of size 0 take
     nothing. An empty table gives an empty mix. In each pass a document is taken
     whole or not at all, so a source ends within about one document of its target.
     Other columns of the input play no part.
@@ -93,11 +95,11 @@ def fair_mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float
     sized = materialize(sized, "sizes")
     targets = materialize(source_targets(sized, weights, share, max_repeats), "targets")
     buckets = max(MIN_BUCKETS, sized.count() // BUCKET_ROWS)
-    lot = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    lot = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("tie").cast("string")))
     place = (F.conv(F.substring("lot", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(2**32)).cast("int")
     queue = running_sum(sized.withColumn("lot", lot), ["source"], place, [F.col("lot"), F.col("doc_id"), F.col("size")], "size", "cum")
     queue = queue.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-    queue = materialize(queue.select("d.doc_id", "d.source", "d.size", "d.lot", "d.cum", "t.weight", "t.source_size", "t.target", "t.budget"), "queue")
+    queue = materialize(queue.select("d.doc_id", "d.source", "d.size", "d.lot", "d.cum", *[f"d.{c}" for c in carry], "t.weight", "t.source_size", "t.target", "t.budget"), "queue")
 
     # One row with the latest virtual time of all; the range of times is dealt evenly into slots.
     top = targets.agg(F.max(F.col("source_size") * max_repeats / F.col("weight")).alias("top"))
@@ -122,7 +124,7 @@ def fair_mix(sized: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float
 
     copies = sum((taken(e) for e in entries[1:]), taken(entries[0]))
     out = queue.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(cut)).withColumn("copies", copies)
-    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", *carry)
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,3 +318,44 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "some")).collect()} == {2}
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).isEmpty()
     scratch.release(spark)
+
+
+CLASHING = ("_w", "_ratios", "ratios", "score", "kept", "n_words", "place", "row", "_row", "_spans", "spans", "key", "owner", "repo", "copies", "_copy", "number", "size", "tie", "lot", "component_id", "count", "group")
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, tmp_path):
+    rng = random.Random(21)
+    rows = [(rng.choice([None, i, i // 3]), " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(70)) + (f' password = "hunter2hunter{i}"' if i % 5 == 0 else ""), "en", rng.choice(["a", "b", None]), 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("*", *[F.xxhash64("text", F.lit(c)).alias(c) for c in CLASHING])
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        was = {tuple(r[c] for c in CLASHING) for r in docs.collect()}
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        out.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        kept = {tuple(r[c] for c in CLASHING) for r in docs.collect()}
+        assert kept and kept <= was
+    assert docs.where("text LIKE '%hunter2%'").isEmpty() and not docs.where("text LIKE '%<SECRET>%'").isEmpty()
+
+
+def test_mix_of_rows_without_ids(spark):
+    rng = random.Random(22)
+    rows = [(None, " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 20))), "en", rng.choice(["a", "b"]), 1) for _ in range(300)] + [(5, "x y", "en", "b", 1)] * 20
+    docs = spark.createDataFrame(rows, SCHEMA)
+    words = lambda t: len(t.split())
+    taken = sum(r["taken"] for r in source_mix.fair_mix(source_mix.sized_documents(docs)).collect())
+    mixed = corpus_pipeline.mixing(spark, docs, "").collect()
+    assert abs(sum(words(r["text"]) for r in mixed) - taken) <= 20 and abs(taken - 1.5 * sum(words(r[1]) for r in rows)) <= 40
+
+
+def test_results_outlive_the_pipeline_and_scratch_is_released(spark, tmp_path):
+    result = source_mix.op9_source_mix(spark, DATA)
+    with scratch.owned("test"):
+        path = scratch.fresh_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    corpus_pipeline.mixing(spark, spark.read.parquet(f"{DATA}/documents.parquet"), DATA).count()
+    scratch.release(spark, "test")
+    assert result.count() > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
