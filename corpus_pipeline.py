@@ -8,7 +8,8 @@ reach the target mix, and what is left is packed.
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +21,31 @@ from cliploom.llm.quality_llr import keep_good, trusted_documents
 from cliploom.llm.secret_scan import masked
 from cliploom.llm.source_mix import fair_mix, sized_documents
 
+OWNER = "pipeline"
 
+
+def _owned(stage: Callable) -> Callable:
+    """Deletes what the stage before this one left in the scratch folder; its result has been written by now."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.release(spark, OWNER)
+        with scratch.owned(OWNER):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_owned
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the quality rules reject. The trusted rows are those that ``labels`` calls good."""
-    scratch.release(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, trusted_documents(docs, labels))
 
 
+@_owned
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group. Rows of one id count as one document; rows without an id stay."""
-    scratch.release(spark)
     groups = scratch.materialize(similar_groups(docs), "groups")
     gone = groups.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(scratch.narrow(scratch.materialize(gone, "gone")), "doc_id", "left_anti")
@@ -42,26 +57,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(ids, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
+@_owned
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets, but for widely copied examples; n_chars follows the text."""
-    scratch.release(spark)
     repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     out = masked(docs, owner=F.col("source"), repo=repo)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@_owned
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents to reach the sources' targets. Rows that share id and source are taken equally often."""
-    scratch.release(spark)
-    mix = fair_mix(sized_documents(docs)).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).where("copies > 0")
-    mix = scratch.narrow(scratch.materialize(mix.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies"), "mix"))
-    taken = docs.join(mix, docs["doc_id"].eqNullSafe(mix["_id"]) & docs["source"].eqNullSafe(mix["_source"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    """Repeat or drop documents to reach the sources' targets.
+
+    Rows get a written number, by which the mix finds them again: rows that share an
+    id, or have none, are taken one by one.
+    """
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    rows = scratch.materialize(docs.select(F.monotonically_increasing_id().alias("number"), row), "rows")
+    numbers = rows.select("number", "row.doc_id", "row.source", "row.text")
+    sized = sized_documents(numbers, keep=("number",))
+    mix = fair_mix(sized, carry=("number",)).where("copies > 0").select("number", "copies")
+    taken = rows.join(scratch.narrow(scratch.materialize(mix, "mix")), "number")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
+@_owned
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenise and pack; a row for each piece with its sequence and offset."""
-    scratch.release(spark)
     return pack(scratch.materialize(pieces(docs), "pieces"))
 
 
@@ -79,10 +101,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        path = f"{scratch.scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
+        path = scratch.fresh_path(spark, "stage")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            scratch.delete(spark, before)
+        before = path
+    scratch.release(spark, OWNER)
     return docs
