@@ -141,18 +141,26 @@ def clustered(rng, n, d):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("block", [8, 1024])
-def test_embeddings_against_brute_force(spark, monkeypatch, block):
+def near_of(x, cosine=0.9):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, 0)
+    return sims, sims >= cosine
+
+
+@pytest.mark.parametrize(("crowd", "block", "mean"), [(30, 8, 0.0), (512, 1024, 1.0)])
+def test_embeddings_against_brute_force(spark, monkeypatch, crowd, block, mean):
+    monkeypatch.setattr(embedding_dedup, "CROWD", crowd)
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rng = np.random.default_rng(31)
-    x = clustered(rng, 1500, 32)
+    x = clustered(rng, 3000, 32) + np.float32(mean) * rng.normal(size=32).astype(np.float32)
     x[700:760] = x[699]  # copies
     x[800:860] = x[799] + rng.normal(size=(60, 32)).astype(np.float32) * 0.01  # a crowd
-    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    got = embedding_dedup.near_duplicates(df).toPandas().set_index("vec_id").sort_index()
-    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    near = u @ u.T >= 0.9
-    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([((1 << 62) + i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(df).toPandas()
+    got[["vec_id", "component_id"]] -= 1 << 62
+    got = got.set_index("vec_id").sort_index()
+    _, near = near_of(x)
     links = near.sum(axis=1)
     assert (got["n_links"] <= links).all()
     assert got["n_links"].sum() >= 0.95 * links.sum()
@@ -162,11 +170,31 @@ def test_embeddings_against_brute_force(spark, monkeypatch, block):
     assert (got["kept"] == (got["component_id"] == got.index)).all()
 
 
+def test_links_at_the_threshold_are_found(spark):
+    """Each vector has one partner, at a cosine of 0.90 to 0.92; lengths are mixed."""
+    rng = np.random.default_rng(33)
+    rows, pairs = [], 0
+    for d, n in ((64, 2000), (48, 1500)):
+        x = rng.normal(size=(n, d)) + 0.3
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        aside = rng.normal(size=(n, d))
+        aside -= (aside * x).sum(axis=1, keepdims=True) * x
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        c = rng.uniform(0.9001, 0.92, (n, 1))
+        y = c * x + np.sqrt(1 - c * c) * aside
+        both = np.concatenate([x, y])
+        _, near = near_of(both)
+        pairs += near.sum()
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(both)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * pairs <= found <= pairs
+
+
 def test_odd_vectors(spark):
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (10, [3e38, 1e30])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (11, [0.0, 1.0, 0.0]), (12, [0.0, 2.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (10, [3e38, 1e30])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("keys", F.lit(1)).withColumn("rep", F.lit("x"))
     got = collections.Counter(map(tuple, embedding_dedup.near_duplicates(df).collect()))
-    want = {(1, 4, 1, True): 2, (2, 4, 1, False): 1, (None, 4, 1, False): 1, (10, 4, 1, False): 1, **{(i, 0, i, True): 1 for i in range(3, 10)}}
+    want = {(1, 4, 1, True): 2, (2, 4, 1, False): 1, (None, 4, 1, False): 1, (10, 4, 1, False): 1, (11, 1, 11, True): 1, (12, 1, 11, False): 1, **{(i, 0, i, True): 1 for i in range(3, 10)}}
     assert got == want
     assert embedding_dedup.near_duplicates(df.limit(0)).isEmpty()
     assert embedding_dedup.near_duplicates(df.where("vec_id = 5")).count() == 1
