@@ -62,8 +62,10 @@ def miss_rate_percent(misses: Column, count: Column) -> Column:
 
 
 def miss_line(name: str, misses: Column, count: Column) -> Column:
+    """One line; an unknown number is None, not nought."""
     rate = miss_rate_percent(misses, count)
-    head = F.format_string(f"{name}=%d of %d ", F.coalesce(misses, F.lit(0)), F.coalesce(count, F.lit(0)))
+    said = [F.coalesce(c.cast("string"), F.lit("None")) for c in (misses, count)]
+    head = F.concat(F.lit(f"{name}="), said[0], F.lit(" of "), said[1], F.lit(" "))
     return F.concat(head, F.when(rate.isNull(), "(n/a)").otherwise(F.format_string("(%.2f%%)", rate)))
 
 

@@ -24,9 +24,11 @@ def unequal_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_input_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In some clips a token is cut short; the layout has places beyond 16 time steps and 8 modalities."""
     t = M._tokens(spark, sf_dir)
-    bank = token_bank.token_bank(t, t, M.DIM).where("clip_id < 5 OR modality = 'rgb'")
-    return checks.fusion_input_problems(bank, M.DIM, 16, 8)
+    t = t.withColumn("token", F.when(F.expr("clip_id % 5 = 2 AND modality = 'rgb' AND slot IN (1, 3)"), F.slice("token", 1, 7)).otherwise(F.col("token")))
+    width = M._width(spark, sf_dir)
+    return checks.fusion_input_problems(token_bank.token_bank(t, t, width), width, 16, 8)
 
 
 def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +37,11 @@ def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = S.features(spark, sf_dir, M.DIM).where("t < 6")
-    q = f.where("t < 2").select(F.col("clip_id").alias("graph_id"), F.col("t").alias("i"), "d", "v")
+    """Every token of a clip attends to all of the clip's."""
+    f = S.features(spark, sf_dir)
+    q = f.select(F.col("clip_id").alias("graph_id"), F.col("t").alias("i"), "d", "v")
     k = f.select(F.col("clip_id").alias("graph_id"), F.col("t").alias("j"), "d", "v")
-    return M._r(graph.cross_attention(q, k, M.DIM), 7)
+    return M._r(graph.cross_attention(q, k, M._width(spark, sf_dir)), 7)
 
 
 def architecture_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def architecture_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def subset_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [x[0] for x in subsets.LAYOUT[:5]]
+    names = [x[0] for x in subsets.LAYOUT]
     one = S.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     each = one.select(F.col("doc_id").alias("clip_id"), F.col("toxic").alias("label"), F.posexplode(F.array(*[F.lit(n) for n in names])).alias("k", "modality"))
     p = each.select("clip_id", "modality", "label", ((F.col("clip_id") * (F.col("k") + 3)) % 11 - 7.25).cast("double").alias("logit"))
@@ -60,7 +63,7 @@ def trained_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial means of projected features: the mean over t of each clip's linear outputs."""
-    f = S.features(spark, sf_dir, M.DIM).withColumn("w", weight(F.col("d"), F.lit(1)))
+    f = S.features(spark, sf_dir).withColumn("w", weight(F.col("d"), F.lit(1)))
     return M._r(f.groupBy("clip_id", "d").agg(F.avg(F.col("v") * F.col("w")).alias("v")), 8)
 
 
@@ -83,15 +86,17 @@ QUERIES = {f.__name__: f for f in (single_detections, unequal_batches, fusion_in
 ORACLES = {
     "single_detections": "WITH d AS (SELECT l_orderkey, count(*) AS n, any_value(l_quantity) AS a, any_value(l_tax) AS b FROM lineitem GROUP BY 1) SELECT o_orderkey AS clip_id, 0::INTEGER AS frame_idx, CASE WHEN n = 1 THEN a ELSE -1e0 END AS a, CASE WHEN n = 1 THEN b ELSE -1e0 END AS b FROM orders LEFT JOIN d ON l_orderkey = o_orderkey",
     "unequal_batches": "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id // 2 AS batch_id, min(n) AS shortest, max(n) AS longest FROM n GROUP BY 1 HAVING min(n) <> max(n)",
-    "fusion_input_problems": "SELECT label AS clip_id, 0::BIGINT AS bad_width, 16::BIGINT AS bad_time, 4::BIGINT AS bad_modality FROM embeddings WHERE label < 5 GROUP BY 1",
+    "fusion_input_problems": f"""WITH {M._TOKENS}, {M.LAYOUT_SQL}, places AS (SELECT modality_id, s.slot FROM lay, range(32) s(slot) WHERE s.slot < slots),
+late AS (SELECT count(*) FILTER (WHERE slot >= 16) AS t, count(*) FILTER (WHERE modality_id >= 8) AS m FROM places)
+SELECT clip_id, count(DISTINCT slot) FILTER (WHERE clip_id % 5 = 2 AND modality = 'rgb' AND slot IN (1, 3)) AS bad_width, any_value(late.t) AS bad_time, any_value(late.m) AS bad_modality FROM k, late GROUP BY 1""",
     "missing_names": "SELECT * FROM (VALUES ('metadata'), ('text'), ('manipulation_mask')) t(name)",
-    "cross_attention": f"""WITH {M.FEATURES_SQL}, f AS (SELECT * FROM tok WHERE t < 6),
-z AS (SELECT q.clip_id, q.t AS i, k.t AS j, exp(sum(q.v * k.v) / sqrt({M.DIM}::DOUBLE)) AS z FROM f q JOIN f k ON q.clip_id = k.clip_id AND q.d = k.d WHERE q.t < 2 GROUP BY 1, 2, 3),
+    "cross_attention": f"""WITH {M.FEATURES_SQL}, f AS (SELECT * FROM tok),
+z AS (SELECT q.clip_id, q.t AS i, k.t AS j, exp(sum(q.v * k.v) / sqrt({M.DIM}::DOUBLE)) AS z FROM f q JOIN f k ON q.clip_id = k.clip_id AND q.d = k.d GROUP BY 1, 2, 3),
 a AS (SELECT clip_id, i, j, z / sum(z) OVER (PARTITION BY clip_id, i) AS a FROM z)
 SELECT a.clip_id AS graph_id, i, d, round(sum(a * v), 7) + 0e0 AS v FROM a JOIN f ON f.clip_id = a.clip_id AND f.t = j GROUP BY 1, 2, 3""",
     "architecture_edges": f"WITH {M.LAYOUT_SQL} SELECT 'input' AS source, name AS target FROM lay UNION ALL SELECT name, 'token_bank' FROM lay UNION ALL SELECT * FROM (VALUES ('token_bank', 'fusion'), ('fusion', 'cls'), ('fusion', 'fused_tokens'))",
-    "subset_runs": """WITH n(k, modality) AS (VALUES (0, 'rgb'), (1, 'fau'), (2, 'rppg'), (3, 'eye_gaze'), (4, 'face_mesh')),
-s AS (SELECT m.mask, list(n.k ORDER BY n.k) AS places, string_agg(n.modality, '__' ORDER BY n.k) AS name, count(*) AS size FROM range(1, 32) m(mask), n WHERE (m.mask >> n.k) & 1 = 1 GROUP BY 1),
+    "subset_runs": """WITH n(k, modality) AS (VALUES (0, 'rgb'), (1, 'fau'), (2, 'rppg'), (3, 'eye_gaze'), (4, 'face_mesh'), (5, 'depth'), (6, 'fft'), (7, 'stft')),
+s AS (SELECT m.mask, list(n.k ORDER BY n.k) AS places, string_agg(n.modality, '__' ORDER BY n.k) AS name, count(*) AS size FROM range(1, 256) m(mask), n WHERE (m.mask >> n.k) & 1 = 1 GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY size, places)::INTEGER AS set_id FROM s),
 p AS (SELECT set_id, name, doc_id, avg((doc_id * (n.k + 3)) % 11 - 7.25e0) AS logit, max(toxic) AS label FROM r JOIN n ON (r.mask >> n.k) & 1 = 1, labels GROUP BY 1, 2, 3)
 SELECT set_id, name, count(*) AS clips, round(avg(((logit >= 0)::INT = label)::INT::DOUBLE), 6) AS accuracy FROM p GROUP BY 1, 2""",

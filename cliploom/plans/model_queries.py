@@ -9,9 +9,10 @@ from cliploom.functions import numeric, pooling, signal
 from cliploom.operators import graph, heads, subsets, token_bank
 from cliploom.plans import surrogates as S
 
-DIM, SIZE, CLIP = 16, 8, 12
+#: Components of an embedding in the test tables, as the SQL reads them; edge of a frame.
+DIM, SIZE = 64, 8
 W = "0.02e0 * sin(12.9898e0 * {i} + 78.233e0 * {j} + {p})"
-FEATURES_SQL = f"e AS (SELECT label AS clip_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS t, embedding FROM embeddings), tok AS (SELECT clip_id, t, (r.d)::INT AS d, embedding[r.d + 1]::DOUBLE AS v FROM e, range({DIM}) r(d))"
+FEATURES_SQL = f"tok AS (SELECT vec_id // {S.CLIP} AS clip_id, (vec_id % {S.CLIP})::INT AS t, (r.d)::INT AS d, embedding[r.d + 1]::DOUBLE AS v FROM embeddings, range({DIM}) r(d))"
 PIXELS_SQL = f"px AS (SELECT * FROM (SELECT k // {SIZE * SIZE} AS frame_id, (k % {SIZE * SIZE} // {SIZE})::INT AS y, (k % {SIZE})::INT AS x, (p_size * 5)::DOUBLE AS r, (floor(p_retailprice)::BIGINT % 256)::DOUBLE AS g, (floor(p_retailprice * 7)::BIGINT % 256)::DOUBLE AS b, count(*) OVER (PARTITION BY k // {SIZE * SIZE}) AS c FROM (SELECT p_partkey AS k, p_size, p_retailprice FROM part)) WHERE c = {SIZE * SIZE})"
 LAYOUT_SQL = "lay(ord, name, modality_id, slots) AS (VALUES (0, 'rgb', 0, 8), (1, 'fau', 6, 32), (2, 'rppg', 4, 4), (3, 'eye_gaze', 5, 4), (4, 'face_mesh', 3, 16), (5, 'depth', 2, 4), (6, 'fft', 7, 4), (7, 'stft', 8, 4)), off AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS offset_ FROM lay)"
 
@@ -26,14 +27,8 @@ def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.concat_ws(":", F.col("clip_id").cast("string"), "modality").alias("clip_id"), F.col("frame_idx").alias("t"), F.col("value").alias("v"))
 
 
-def _whole_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The vectors with all their components, and the number of these."""
-    dim = S.table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
-    return S.features(spark, sf_dir, dim), dim
-
-
-def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.features(spark, sf_dir, DIM)
+def _width(spark: SparkSession, sf_dir: str) -> int:
+    return S.table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
 
 
 def normalize_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,55 +77,45 @@ def pos_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.layer_norm(_features(spark, sf_dir), ["clip_id", "t"]))
+    return _r(pooling.layer_norm(S.features(spark, sf_dir), ["clip_id", "t"]))
 
 
 def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).where("d = 0")
-    return _r(f.select("clip_id", "t", numeric.softmax(F.col("v"), "clip_id").alias("a")), 9)
+    return _r(S.features(spark, sf_dir).select("clip_id", "t", "d", numeric.softmax(F.col("v"), "clip_id", "d").alias("a")), 9)
 
 
 def linear_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.linear(_features(spark, sf_dir), 8, ["clip_id", "t"]), 7)
+    return _r(pooling.linear(S.features(spark, sf_dir), 8, ["clip_id", "t"]), 7)
 
 
 def gelu_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.mlp(_whole_features(spark, sf_dir)[0], 32, 8, ["clip_id", "t"]), 8)
+    return _r(pooling.mlp(S.features(spark, sf_dir), 32, 8, ["clip_id", "t"]), 8)
 
 
 def latent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.latent_pool(_features(spark, sf_dir), 4, DIM, temporal=False), 4)
+    return _r(pooling.latent_pool(S.features(spark, sf_dir), 4, _width(spark, sf_dir), temporal=False), 4)
 
 
 def temporal_latent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.latent_pool(_features(spark, sf_dir), 4, DIM), 4)
+    return _r(pooling.latent_pool(S.features(spark, sf_dir), 4, _width(spark, sf_dir)), 4)
 
 
 def two_stage_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, dim = _whole_features(spark, sf_dir)
+    f, dim = S.features(spark, sf_dir), _width(spark, sf_dir)
     tokens = f.select("clip_id", F.floor(F.col("t") / 5).cast("int").alias("frame"), (F.col("t") % 5).alias("t"), "d", "v")
     return _r(pooling.two_stage_pool(tokens, 2, 3, dim), 4)
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each label's first embeddings as its rgb and depth tokens; the SQL of the queries on it has the same prefix."""
-    return _placed(_features(spark, sf_dir).where(F.col("t") < CLIP))
-
-
-def _clip_tokens(f: DataFrame) -> DataFrame:
-    """All embeddings of each label, cut into clips of CLIP tokens named label:number; a label's last clip may be shorter."""
-    return _placed(f.withColumn("clip_id", F.concat_ws(":", F.col("clip_id").cast("string"), F.floor(F.col("t") / CLIP).cast("string"))).withColumn("t", F.col("t") % CLIP))
-
-
-def _placed(f: DataFrame) -> DataFrame:
-    """A clip's tokens in the places of rgb and depth."""
-    f = f.groupBy("clip_id", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda p: p["v"]).alias("token"))
-    return f.select("clip_id", F.when(F.col("t") < 8, "rgb").otherwise("depth").alias("modality"), F.when(F.col("t") < 8, F.col("t")).otherwise(F.col("t") - 8).alias("slot"), "token")
+    """Each clip's embeddings in the places of rgb and depth."""
+    token = F.transform("embedding", lambda x: x.cast("double")).alias("token")
+    place = F.when(F.col("t") < 8, F.col("t")).otherwise(F.col("t") - 8).alias("slot")
+    return S.clips(spark, sf_dir).select("clip_id", F.when(F.col("t") < 8, "rgb").otherwise("depth").alias("modality"), place, token)
 
 
 def token_bank_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tokens(spark, sf_dir)
-    bank = token_bank.embedded(token_bank.token_bank(t, t, DIM))
+    bank = token_bank.embedded(token_bank.token_bank(t, t, _width(spark, sf_dir)))
     total = F.aggregate("token", F.lit(0.0), lambda a, x: a + x)
     return _r(bank.select("clip_id", "pos", "modality", "modality_id", "slot", "time_id", "mask", total.alias("total")), 5)
 
@@ -141,17 +126,19 @@ def bank_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bank_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tokens(spark, sf_dir)
-    return token_bank.token_bank(t, t, DIM).groupBy("clip_id").agg(F.count(F.lit(1)).alias("places"), F.count_if("mask").alias("used"))
+    return token_bank.token_bank(t, t, _width(spark, sf_dir)).groupBy("clip_id").agg(F.count(F.lit(1)).alias("places"), F.count_if("mask").alias("used"))
 
 
 def bank_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tokens(spark, sf_dir).where("NOT (clip_id = 3 AND slot = 2)")
-    return token_bank.validate_tokens(t.unionByName(t.where("clip_id = 1 AND slot = 0")), DIM)
+    """Clips with a token missing, one repeated, one cut short or one of an unknown modality, in turn; the last clip may be short."""
+    t = _tokens(spark, sf_dir).withColumn("kind", F.col("clip_id") % 5).where("NOT (kind = 3 AND slot = 2)")
+    t = t.withColumn("token", F.when(F.expr("kind = 2 AND modality = 'depth' AND slot = 1"), F.slice("token", 1, 7)).otherwise(F.col("token")))
+    t = t.withColumn("modality", F.when(F.expr("kind = 4 AND modality = 'depth'"), "smell").otherwise(F.col("modality")))
+    return token_bank.validate_tokens(t.unionByName(t.where("kind = 1 AND slot = 0")), _width(spark, sf_dir))
 
 
 def fusion_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, dim = _whole_features(spark, sf_dir)
-    t = _clip_tokens(f)
+    t, dim = _tokens(spark, sf_dir), _width(spark, sf_dir)
     cls = token_bank.fuse(token_bank.embedded(token_bank.token_bank(t, t, dim)), dim)
     return _r(cls.select("clip_id", F.posexplode("cls").alias("d", "v")), 5)
 
@@ -194,8 +181,9 @@ def graph_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gated_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).where("t < 6").select((F.col("clip_id") * 100 + F.col("t")).alias("graph_id"), F.col("d").alias("i"), F.col("v").alias("x"))
-    return _r(graph.gated_message(f, DIM), 7)
+    """Each embedding is a graph with a node for each component."""
+    f = S.features(spark, sf_dir).select((F.col("clip_id") * 100 + F.col("t")).alias("graph_id"), F.col("d").alias("i"), F.col("v").alias("x"))
+    return _r(graph.gated_message(f, _width(spark, sf_dir)), 7)
 
 
 def modality_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,23 +219,35 @@ _CODE = "CASE WHEN {d} % 2 = 0 THEN sin({t} * exp(-({d} - {d} % 2) * (ln(10000e0
 _LN = "(v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5)"
 
 
-def _pool_sql(temporal: bool) -> str:
+def _pool_ctes(source: str, keys: str, slots: int, temporal: bool, p: str = "") -> str:
+    """CTEs from (keys, t, d, v) to {p}o: keys, slot, d, v before its last norm."""
     code = _CODE.format(d="d", t="t", n=DIM) if temporal else "0e0"
-    return f"""WITH {FEATURES_SQL}, nt AS (SELECT clip_id, t, d, {_LN} AS v FROM tok WINDOW w AS (PARTITION BY clip_id, t)),
-z AS (SELECT clip_id, s.slot::INT AS slot, t, sum((v + {code}) * {_w('s.slot', 'd')}) / sqrt({DIM}::DOUBLE) AS z FROM nt, range(4) s(slot) GROUP BY 1, 2, 3),
-m AS (SELECT *, exp(z - max(z) OVER (PARTITION BY clip_id, slot)) AS e FROM z),
-a AS (SELECT clip_id, slot, t, e / sum(e) OVER (PARTITION BY clip_id, slot) AS a FROM m),
-o AS (SELECT clip_id, slot, d, sum(a * v) AS v FROM a JOIN nt USING (clip_id, t) GROUP BY 1, 2, 3)
+    return f"""{p}nt AS (SELECT {keys}, t, d, {_LN} AS v FROM {source} WINDOW w AS (PARTITION BY {keys}, t)),
+{p}z AS (SELECT {keys}, s.slot::INT AS slot, t, sum((v + {code}) * {_w('s.slot', 'd')}) / sqrt({DIM}::DOUBLE) AS z FROM {p}nt, range({slots}) s(slot) GROUP BY {keys}, s.slot, t),
+{p}m AS (SELECT *, exp(z - max(z) OVER (PARTITION BY {keys}, slot)) AS e FROM {p}z),
+{p}a AS (SELECT {keys}, slot, t, e / sum(e) OVER (PARTITION BY {keys}, slot) AS a FROM {p}m),
+{p}o AS (SELECT {keys}, slot, d, sum(a * v) AS v FROM {p}a JOIN {p}nt USING ({keys}, t) GROUP BY {keys}, slot, d)"""
+
+
+def _pool_sql(temporal: bool) -> str:
+    return f"""WITH {FEATURES_SQL}, {_pool_ctes("tok", "clip_id", 4, temporal)}
 SELECT clip_id, slot, d, round({_LN}, 4) + 0e0 AS v FROM o WINDOW w AS (PARTITION BY clip_id, slot)"""
 
 
+_TWO_STAGE = f"""WITH {FEATURES_SQL}, el AS (SELECT clip_id, t // 5 AS frame, t % 5 AS t, d, v FROM tok), {_pool_ctes("el", "clip_id, frame", 2, False, "i")},
+flat AS (SELECT clip_id, frame * 2 + slot AS t, d, {_LN} AS v FROM io WINDOW w AS (PARTITION BY clip_id, frame, slot)), {_pool_ctes("flat", "clip_id", 3, True)}
+SELECT clip_id, slot, d, round({_LN}, 4) + 0e0 AS v FROM o WINDOW w AS (PARTITION BY clip_id, slot)"""
+_ERF = "sign({x}) * (1e0 - 1e0 / (1e0 + 0.3275911e0 * abs({x})) * (0.254829592e0 + 1e0 / (1e0 + 0.3275911e0 * abs({x})) * (-0.284496736e0 + 1e0 / (1e0 + 0.3275911e0 * abs({x})) * (1.421413741e0 + 1e0 / (1e0 + 0.3275911e0 * abs({x})) * (-1.453152027e0 + 1e0 / (1e0 + 0.3275911e0 * abs({x})) * 1.061405429e0)))) * exp(-{x} * {x}))"
+_GELU = f"""WITH {FEATURES_SQL}, h AS (SELECT clip_id, t, o.d AS d, sum(v * {_w('tok.d', 'o.d')}) AS v FROM tok, range(32) o(d) GROUP BY 1, 2, 3),
+g AS (SELECT clip_id, t, d, 0.5e0 * v * (1e0 + {_ERF.format(x='(v / 1.4142135623730951e0)')}) AS v FROM h)
+SELECT clip_id, t, o.d::INT AS d, round(sum(v * {_w('g.d', 'o.d', '1e0')}), 8) + 0e0 AS v FROM g, range(8) o(d) GROUP BY 1, 2, 3"""
 _GRAY = "round_even(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 0)"
 _DFT = f"""WITH {PIXELS_SQL}, g AS (SELECT frame_id, y, x, {_GRAY} / 255e0 AS v FROM px),
 f AS (SELECT frame_id, ky.k AS ky, kx.k AS kx, sum(v * cos(-2e0 * pi() * ((kx.k * x) % {SIZE} + (ky.k * y) % {SIZE}) / {SIZE})) AS re, sum(v * sin(-2e0 * pi() * ((kx.k * x) % {SIZE} + (ky.k * y) % {SIZE}) / {SIZE})) AS im FROM g, range({SIZE}) kx(k), range({SIZE}) ky(k) GROUP BY 1, 2, 3),
 s AS (SELECT frame_id, greatest(0, least(3, ceil(sqrt((((ky + 4) % 8) - 4)::DOUBLE ^ 2 + (((kx + 4) % 8) - 4)::DOUBLE ^ 2) / ((sqrt(32e0) + 1e-6) / 4)) - 1))::INT AS bin, ln(1e0 + sqrt(re * re + im * im)) AS m FROM f)
 SELECT q.frame_id, b.bin::INT AS bin, round(coalesce(avg(m), 0e0), 5) AS value FROM (SELECT DISTINCT frame_id FROM px) q CROSS JOIN range(4) b(bin) LEFT JOIN s ON s.frame_id = q.frame_id AND s.bin = b.bin GROUP BY 1, 2"""
 _IMAGE, _CLIP = ((0.485, 0.229), (0.456, 0.224), (0.406, 0.225)), ((0.45, 0.225),) * 3
-_TOKENS = f"{FEATURES_SQL}, k AS (SELECT clip_id, CASE WHEN t < 8 THEN 'rgb' ELSE 'depth' END AS modality, CASE WHEN t < 8 THEN t ELSE t - 8 END AS slot, d, v FROM tok WHERE t < 12)"
+_TOKENS = f"{FEATURES_SQL}, k AS (SELECT clip_id, CASE WHEN t < 8 THEN 'rgb' ELSE 'depth' END AS modality, CASE WHEN t < 8 THEN t ELSE t - 8 END AS slot, d, v FROM tok)"
 _SETS = "i AS (SELECT m.mask, list(n.o ORDER BY n.o) AS places, string_agg(n.name, '__' ORDER BY n.o) AS name, count(*)::INT AS size FROM range(1, 256) m(mask), (VALUES (0, 'rgb'), (1, 'fau'), (2, 'rppg'), (3, 'eye_gaze'), (4, 'face_mesh'), (5, 'depth'), (6, 'fft'), (7, 'stft')) n(o, name) WHERE (m.mask >> n.o) & 1 = 1 GROUP BY 1)"
 
 ORACLES = {
@@ -265,9 +265,11 @@ SELECT clip_id, w::INT AS w, k.k::INT AS k, round(ln(1e0 + sqrt(sum(v * cos(2e0
     "fft2_arrow": _DFT,
     "pos_encoding": f"SELECT t::INT AS t, d::INT AS d, round({_CODE.format(d='d', t='t', n=15)}, 8) + 0e0 AS code FROM range(20) a(t), range(15) b(d)",
     "layer_norm": f"WITH {FEATURES_SQL} SELECT clip_id, t, d, round({_LN}, 5) + 0e0 AS v FROM tok WINDOW w AS (PARTITION BY clip_id, t)",
-    "softmax_scores": f"WITH {FEATURES_SQL} SELECT clip_id, t, round(exp(v) / sum(exp(v)) OVER (PARTITION BY clip_id), 9) AS a FROM tok WHERE d = 0",
+    "softmax_scores": f"WITH {FEATURES_SQL} SELECT clip_id, t, d, round(exp(v) / sum(exp(v)) OVER (PARTITION BY clip_id, d), 9) + 0e0 AS a FROM tok",
     "linear_projection": f"WITH {FEATURES_SQL} SELECT clip_id, t, o.d::INT AS d, round(sum(v * {_w('tok.d', 'o.d')}), 7) + 0e0 AS v FROM tok, range(8) o(d) GROUP BY 1, 2, 3",
+    "gelu_mlp": _GELU,
     "latent_pool": _pool_sql(False),
+    "two_stage_pool": _TWO_STAGE,
     "temporal_latent_pool": _pool_sql(True),
     "token_bank_places": f"""WITH {_TOKENS}, {LAYOUT_SQL}, clips AS (SELECT DISTINCT clip_id FROM k),
 places AS (SELECT clip_id, (offset_ + s.slot)::INT AS pos, name AS modality, modality_id, s.slot::INT AS slot FROM clips, off, range(32) s(slot) WHERE s.slot < slots),
@@ -276,8 +278,12 @@ SELECT p.clip_id, pos, p.modality, modality_id, p.slot, p.slot AS time_id, s.v I
   round(coalesce(s.v, 0e0) + (SELECT sum({_w('p.slot', 'd', '2e0')} + {_w('p.modality_id', 'd', '3e0')}) FROM range({DIM}) r(d)), 5) + 0e0 AS total
 FROM places p LEFT JOIN sums s ON s.clip_id = p.clip_id AND s.modality = p.modality AND s.slot = p.slot""",
     "bank_offsets": f"WITH {LAYOUT_SQL} SELECT name, modality_id, ord, offset_ AS \"offset\", slots FROM off",
-    "bank_mask_counts": f"WITH {_TOKENS} SELECT clip_id, 76::BIGINT AS places, count(DISTINCT modality || slot::VARCHAR) AS used FROM k GROUP BY 1",
-    "bank_problems": f"WITH {_TOKENS}, {LAYOUT_SQL}, u AS (SELECT DISTINCT clip_id, modality, slot, 1 AS c FROM k WHERE NOT (clip_id = 3 AND slot = 2)), x AS (SELECT * FROM u UNION ALL SELECT * FROM u WHERE clip_id = 1 AND slot = 0) SELECT clip_id, modality, CASE WHEN count(*) <> count(DISTINCT slot) THEN 'repeated slot' ELSE 'wrong number of slots' END AS problem FROM x JOIN lay ON name = modality GROUP BY clip_id, modality, slots HAVING count(*) <> count(DISTINCT slot) OR count(DISTINCT slot) <> slots",
+    "bank_mask_counts": f"WITH {_TOKENS}, {LAYOUT_SQL} SELECT clip_id, (SELECT sum(slots) FROM lay)::BIGINT AS places, count(DISTINCT modality || slot::VARCHAR) AS used FROM k GROUP BY 1",
+    "bank_problems": f"""WITH {_TOKENS}, {LAYOUT_SQL}, u AS (SELECT clip_id, clip_id % 5 AS kind, modality, slot, count(v) AS width FROM k GROUP BY ALL),
+u2 AS (SELECT clip_id, kind, slot, CASE WHEN kind = 4 AND modality = 'depth' THEN 'smell' ELSE modality END AS modality, CASE WHEN kind = 2 AND modality = 'depth' AND slot = 1 THEN 7 ELSE width END AS width FROM u WHERE NOT (kind = 3 AND slot = 2)),
+x AS (SELECT * FROM u2 UNION ALL SELECT * FROM u2 WHERE kind = 1 AND slot = 0),
+c AS (SELECT clip_id, modality, any_value(slots) AS slots, count(*) AS n, count(DISTINCT slot) AS k, bool_or(width <> {DIM}) AS wide FROM x LEFT JOIN lay ON name = modality GROUP BY 1, 2)
+SELECT clip_id, modality, CASE WHEN slots IS NULL THEN 'unknown modality' WHEN wide THEN 'wrong width' WHEN n <> k THEN 'repeated slot' ELSE 'wrong number of slots' END AS problem FROM c WHERE slots IS NULL OR wide OR n <> k OR k <> slots""",
     "required_features": "SELECT user_id AS clip_id, m.modality, CASE WHEN m.modality = 'rgb' THEN bool_or(event_type = 'click') ELSE bool_or(event_type = 'click') AND bool_or(event_type = 'view') AND bool_or(event_type = 'purchase') END AS ready FROM events, (VALUES ('rgb'), ('fau')) m(modality) GROUP BY 1, 2",
     "head_logit": f"WITH z AS (SELECT vec_id, (SELECT sum(embedding[d + 1]::DOUBLE * {_w('d', '0e0')}) FROM range(64) r(d)) + 0.01e0 AS logit FROM embeddings) SELECT vec_id, round(logit, 6) + 0e0 AS logit, round(1e0 / (1e0 + exp(-logit)), 6) AS probability, (1e0 / (1e0 + exp(-logit)) >= 0.5e0)::INT AS prediction FROM z",
     "cosine_logits": "WITH p AS (SELECT vec_id, embedding[d + 1]::DOUBLE AS x, greatest(sin((d + 1) * 0.7e0), 0e0) AS y FROM embeddings, range(64) r(d)) SELECT vec_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) + 0e0 AS cosine FROM p GROUP BY 1",
@@ -285,7 +291,7 @@ FROM places p LEFT JOIN sums s ON s.clip_id = p.clip_id AND s.modality = p.modal
     "mesh_gather": f"WITH c AS (SELECT unnest([{', '.join(map(str, heads.CONTOUR))}]) AS i, generate_subscripts([{', '.join(map(str, heads.CONTOUR))}], 1) - 1 AS point) SELECT n_nationkey, point::INT AS point, CASE WHEN i <= 150 + n_nationkey * 10 THEN round(least(1e0, i / 100e0), 6) ELSE -1e0 END AS px, CASE WHEN i <= 150 + n_nationkey * 10 THEN round(least(1e0, i / 200e0), 6) ELSE -1e0 END AS py, CASE WHEN i <= 150 + n_nationkey * 10 THEN round(-i / 300e0, 6) + 0e0 ELSE -1e0 END AS pz FROM nation, c",
     "graph_edges": "SELECT (i * 12 + j)::INT AS edge_id, i::INT AS i, j::INT AS j FROM range(12) a(i), range(12) b(j)",
     "graph_normalize": "WITH e AS (SELECT i::INT AS i, j::INT AS j, CASE WHEN i = 5 THEN 0e0 ELSE (i * j % 4)::DOUBLE END AS a FROM range(12) x(i), range(12) y(j)), d AS (SELECT i, sum(a) AS deg FROM e GROUP BY 1) SELECT e.i, e.j, CASE WHEN p.deg * q.deg = 0 THEN 0e0 ELSE round(a / sqrt(p.deg * q.deg), 8) END AS a FROM e JOIN d p ON p.i = e.i JOIN d q ON q.i = e.j",
-    "gated_message": f"""WITH {FEATURES_SQL}, n AS (SELECT clip_id * 100 + t AS graph_id, d AS i, v AS x FROM tok WHERE t < 6),
+    "gated_message": f"""WITH {FEATURES_SQL}, n AS (SELECT clip_id * 100 + t AS graph_id, d AS i, v AS x FROM tok),
 g0 AS (SELECT a.graph_id, a.i, a.x AS xi, b.x AS xj, exp(1e0 / (1e0 + exp(-(0.3e0 * a.x - 0.2e0 * b.x)))) AS z FROM n a JOIN n b USING (graph_id)),
 s AS (SELECT *, z / sum(z) OVER (PARTITION BY graph_id, i) AS g FROM g0)
 SELECT graph_id, i, round(greatest(0e0, any_value(xi) * 1.5e0 + sum(g * xj * 0.8e0 / {DIM})), 7) + 0e0 AS x FROM s GROUP BY 1, 2""",

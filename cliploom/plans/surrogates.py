@@ -1,7 +1,7 @@
 """Stand-ins for video tables, made from the general test tables.
 
 Documents stand for files, events for the frames of a user's clip, event types
-for modalities, embeddings for feature sequences, line items for pixels.
+for modalities, embeddings in a row for feature sequences, line items for pixels.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from cliploom.functions import paths
 
+#: Embeddings of a clip.
+CLIP = 12
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -48,11 +51,16 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("user_id").alias("clip_id"), F.col("event_type").alias("modality"), (F.col("value") / 1000.0).alias("elapsed_seconds"), load.alias("load_seconds"), (F.col("value") / 2000.0).alias("extract_seconds"))
 
 
-def features(spark: SparkSession, sf_dir: str, dim: int) -> DataFrame:
-    """clip_id, t, d, v: embeddings of a label in order, their first ``dim`` components in long form."""
-    order = Window.partitionBy("label").orderBy("vec_id")
-    em = table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id"), (F.row_number().over(order) - 1).cast("int").alias("t"), F.slice("embedding", 1, dim).alias("e"))
-    return em.select("clip_id", "t", F.posexplode("e").alias("d", "x")).select("clip_id", "t", "d", F.col("x").cast("double").alias("v"))
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, t, embedding: CLIP embeddings in a row, by vec_id, make a clip; the last may be shorter."""
+    k = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(F.floor(k / CLIP).cast("long").alias("clip_id"), (k % CLIP).cast("int").alias("t"), "embedding")
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, t, d, v: the clips' vectors, all components, in long form."""
+    rows = clips(spark, sf_dir).select("clip_id", "t", F.posexplode("embedding").alias("d", "x"))
+    return rows.select("clip_id", "t", "d", F.col("x").cast("double").alias("v"))
 
 
 def pixels(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
