@@ -5,7 +5,9 @@ the verdict of boosted trees over lexical features: lengths, path depth, digit
 ratio, character entropy, parameter counts and statistics of the host's suffix.
 The trees are trained on labelled URLs. Where no labels are given, the rules give
 them: URLs that a block rule fits are positive, all others negative, so the trees
-block what looks like the blocked and let the rest pass.
+block what looks like the blocked and let the rest pass. No URL is judged by trees
+that have seen it: two models are trained, each on one half of the URLs by a hash, and
+each scores the other half; a row's suffix statistics come from the other half's labels.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .scratch import materialize
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hash buckets of host suffixes: their statistics are a table of this many rows whatever the corpus.
 SUFFIX_BUCKETS = 1024
-#: The trees are fitted on about this many labelled rows at most, taken by a hash of the URL.
+#: Each model is fitted on about this many labelled rows at most, half of them of either class, taken by a hash of the row.
 TRAIN_ROWS = 20_000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "n_params", "host_labels", "n_hyphens", "suffix_share", "suffix_block_rate")
 #: Action and rule, host then path.
@@ -62,7 +64,10 @@ def lexical_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     digits = F.length(url) - F.length(F.translate(url, "0123456789", ""))
     df = df.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "_c": F.filter(F.split(url, ""), lambda c: c != "")})
-    share = F.transform(F.array_distinct("_c"), lambda c: F.size(F.filter("_c", lambda d: d == c)) / F.size("_c"))
+    # Characters in order: where each begins, and how many there are of it.
+    df = df.withColumn("_c", F.sort_array("_c"))
+    df = df.withColumn("_s", F.filter(F.transform("_c", lambda c, i: F.when((i == 0) | (c != F.get(F.col("_c"), i - 1)), i)), lambda i: i.isNotNull()))
+    share = F.transform("_s", lambda i, k: (F.coalesce(F.get(F.col("_s"), k + 1), F.size("_c")) - i) / F.size("_c"))
     return df.withColumns({
         "url_length": F.length(url).cast("double"),
         "host_length": F.length("host").cast("double"),
@@ -74,7 +79,7 @@ def lexical_features(df: DataFrame, url_col: str = "url") -> DataFrame:
         "host_labels": F.size(F.split("host", r"\.")).cast("double"),
         "n_hyphens": (F.length(url) - F.length(F.translate(url, "-_", ""))).cast("double"),
         "suffix": F.pmod(F.hash(F.substring_index("host", ".", -1)), F.lit(SUFFIX_BUCKETS)),
-    }).drop("_c")
+    }).drop("_c", "_s")
 
 
 def classify(pages: DataFrame, labelled: Column, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", train_rows: int = TRAIN_ROWS, seed: int = 7) -> DataFrame:
@@ -83,27 +88,42 @@ def classify(pages: DataFrame, labelled: Column, rules: Sequence[tuple[str, str]
     ``labelled`` gives 1.0 (block), 0.0 (allow) or null (no label) from the columns
     of ``pages`` and ``rule``/``action``. Null, empty and malformed URLs have empty
     host and path and are judged by their features like any other; repeated rows
-    get equal results. With fewer than two classes of labels there is nothing to
-    learn and all URLs without a rule are allowed, with a null score.
+    get equal results, and other columns of the input play no part but in
+    ``labelled``. If a half of the URLs has labels of fewer than two classes there is
+    nothing to learn from it, and URLs of the other half without a rule are allowed,
+    with a null score.
     """
-    df = lexical_features(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
-    df = df.withColumn("_m", match_rules(F.col("host"), F.col("path"), rules))
-    df = df.select("*", F.col("_m.rule").alias("rule"), F.col("_m.action").alias("action")).drop("_m").withColumn("label", labelled.cast("double"))
-    df = materialize(df, "urls")
-    suffixes = df.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labels"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
-    total = suffixes.agg(F.sum("n").alias("all"), F.sum("n_labels").alias("labels"), F.sum("blocked").alias("blocked")).first()
-    if not total["labels"] or not 0 < total["blocked"] < total["labels"]:
-        return df.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    prior = total["blocked"] / total["labels"]
-    suffixes = suffixes.select("suffix", (F.col("n") / total["all"]).alias("suffix_share"), ((F.col("blocked") + 10 * prior) / (F.col("n_labels") + 10)).alias("suffix_block_rate"))
-    df = df.join(F.broadcast(materialize(suffixes, "suffixes")), "suffix")  # SUFFIX_BUCKETS rows at most
+    df = lexical_features(pages.select(F.struct(*[pages[f"`{c}`"] for c in pages.columns]).alias("_row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
+    df = df.withColumn("_m", match_rules(F.col("host"), F.col("path"), rules)).select("*", "_m.rule", "_m.action")
+    own = [c for c in pages.columns if c not in ("page_id", "url", "rule", "action")]
+    asked = df.select("*", *[F.col("_row").getField(c).alias(c) for c in own if c not in df.columns])
+    df = asked.withColumn("label", labelled.cast("double")).select(*[c for c in df.columns if c not in ("_row", "_m")], "label")
+    df = materialize(df.withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int")), "urls")
+    of_half = lambda h, value: F.coalesce(F.sum(F.when(F.col("half") == h, value)), F.lit(0.0))
+    sums = [x for h in (0, 1) for x in (of_half(h, F.col("label").isNotNull().cast("double")).alias(f"labels{h}"), of_half(h, F.col("label")).alias(f"blocked{h}"))]
+    suffixes = materialize(df.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), *sums), "suffixes")
+    total = suffixes.agg(*[F.sum(c).alias(c) for c in suffixes.columns[1:]]).first()
+    labels = (total["labels0"] or 0) + (total["labels1"] or 0)
+    prior = (total["blocked0"] + total["blocked1"]) / labels if labels else 0.0
+    df = df.join(F.broadcast(suffixes), "suffix")  # SUFFIX_BUCKETS rows at most
+    other = lambda c: F.when(F.col("half") == 0, F.col(f"{c}1")).otherwise(F.col(f"{c}0"))
+    df = df.withColumns({"suffix_share": F.col("n") / F.lit(float(total["n"] or 1)), "suffix_block_rate": (other("blocked") + 10 * prior) / (other("labels") + 10)})
     df = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
-    part = min(1.0, train_rows / total["labels"])
-    chosen = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 20)) < int(part * (1 << 20))
-    train = materialize(df.where(F.col("label").isNotNull() & chosen).select("label", "features"), "train")
-    model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=seed).fit(train)
-    score = vector_to_array("probability")[1]
-    out = model.transform(df).withColumn("score", score)
+    counts = {(r["half"], r["label"]): r["n"] for r in df.where("label IS NOT NULL").groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    scored = []
+    for half in (0, 1):
+        of = {y: counts.get((1 - half, y), 0) for y in (0.0, 1.0)}
+        mine = df.where(F.col("half") == half)
+        if not all(of.values()):
+            scored.append(mine.select("page_id", "host", "path", "rule", "action", F.lit(None).cast("double").alias("score")))
+            continue
+        part = {y: min(1.0, train_rows / 2 / n) for y, n in of.items()}
+        of_class = lambda x0, x1: F.when(F.col("label") == 1, x1).otherwise(x0)
+        chosen = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < of_class(*[int(part[y] * (1 << 30)) + 1 for y in (0.0, 1.0)])
+        train = df.where((F.col("half") != half) & F.col("label").isNotNull() & chosen).select("label", "features", of_class(1 / part[0.0], 1 / part[1.0]).alias("weight"))
+        model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=seed, weightCol="weight").fit(materialize(train, "train"))
+        scored.append(model.transform(mine).select("page_id", "host", "path", "rule", "action", vector_to_array("probability")[1].alias("score")))
+    out = scored[0].unionByName(scored[1])
     verdict = F.coalesce(F.col("action"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("score", 6).alias("score"))
 

@@ -225,6 +225,34 @@ def test_url_parts_and_rules(spark, url, host, path, rule):
     assert tuple(r) == (host, path, rule)
 
 
+def test_every_page_is_judged(spark):
+    """Host, path, rule and verdict of all pages against plain Python."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()
+    got = {r["page_id"]: r for r in url_filter.op6_url_filter(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        _, found, rest = (p["url"] or "").partition("://")
+        host = re.split("[/?#]", rest)[0] if found else ""
+        path = re.split("[?#]", rest[len(host) :])[0] if found else ""
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(r), r, a) for a, r in url_filter.RULES if f".{host}".endswith("." + r.split("/")[0]) and path.startswith("/" + r.split("/", 1)[1])]
+        r = got[p["page_id"]]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
+        assert r["verdict"] == (max(fits)[2] if fits else "block" if (r["score"] or 0) >= 0.5 else "allow")
+    free = [r["verdict"] for r in got.values() if r["rule"] is None]
+    assert free.count("allow") > 0.8 * len(free)
+
+
+def test_url_statistics_leave_the_own_label_out(spark):
+    """A lone suffix of one URL tells nothing of that URL's label; equal rows are judged alike."""
+    rows = [(i, f"http://a{i}.x{i}/p") for i in range(200)] + [(200, "http://a7.x7/p"), (201, "http://a7.x7/p")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filter.classify(df, (F.col("page_id") % 2).cast("double")).collect()}
+    assert out[200]["score"] == out[201]["score"] == out[7]["score"]
+    right = np.mean([(out[i]["score"] >= 0.5) == (i % 2 == 1) for i in range(200)])
+    assert right < 0.8
+
+
 def test_url_trees_learn(spark):
     rng = random.Random(37)
     spam = [f"http://win{rng.randrange(10**9)}-cash-{rng.randrange(10**6)}.biz/{rng.randrange(10**9)}?a=1&b=2&c={i}" for i in range(300)]
