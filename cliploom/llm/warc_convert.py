@@ -34,10 +34,14 @@ ORIGIN = "cliploom"
 V1_FIELDS = ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length")
 V2_FIELDS = ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length")
 FIELDS = {1: V1_FIELDS, 2: V2_FIELDS}
+_blank_line = re.compile(rb"\r\n\r\n")
 _unsafe = re.compile(r"[\x00-\x20\x7f-\xa0  ]")
 
-ARC_SCHEMA = "archive string, offset long, version int, url string, ip string, date string, mime string, status int, http binary, payload binary"
-META_SCHEMA = "archive string, offset long, url string, date string, key long, digest string, payload_bytes long"
+#: Fields of an ARC header line that WARC has no name for go into headers of our own, if they say anything.
+UNNAMED_FIELDS = ("Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename")
+#: An empty gzip member: whatever stands before it, the file ends with a zero byte.
+LAST_MEMBER = gzip.compress(b"", mtime=0)
+META_SCHEMA = "archive string, name string, offset long, url string, date string, key long, digest string, payload_bytes long"
 WARC_SCHEMA = "archive string, offset long, record_type string, record_id string, uri string, date string, key long, payload_bytes long, payload_digest string, refers_to_id string, refers_to_key long"
 
 
@@ -62,14 +66,28 @@ def _http(payload: bytes, key: int | None) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode()
 
 
+def _member(record: bytes) -> bytes:
+    return gzip.compress(record, 6, mtime=0)
+
+
+def _file(members: list[bytes]) -> pa.RecordBatch:
+    """A file's bytes but for the last one, which is zero and added as the line separator."""
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members) + LAST_MEMBER[:-1]], pa.binary())], ["value"])
+
+
 def _write(files: DataFrame, path: str) -> str:
-    """Each row's bytes as one gzip file. The line separator that the text source adds is the last newline of the last record."""
-    files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+    """Each row's bytes as one file of gzip members. The text source ends each with its line separator, the last byte of the last member."""
+    files.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
     return path
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> str:
-    """Archive pages in ARC files under ``path``; files of version 1 and 2 alternate. Null html is empty."""
+    """Archive pages in ARC files under ``path``, a gzip member for each record; files of version 1 and 2 alternate.
+
+    Null html is empty, a null or empty url is about:blank, a row without an id has
+    no key. Repeated rows are records of their own; other columns are left out. No
+    rows, no files. ``file_bytes`` counts before compression.
+    """
     df = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), F.coalesce(F.encode(F.col(html_col), "utf-8"), F.lit(b"")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,16 +96,17 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
             for key, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 version, name = 1 + (part + n) % 2, f"{ORIGIN}-{part:06d}-{n:05d}.arc"
                 if not parts:
-                    parts = [_arc_start(version, name)]
-                    size = len(parts[0])
+                    start = _arc_start(version, name)
+                    parts, size = [_member(start)], len(start)
                 payload = html.as_py()
-                parts.append(_arc_record(version, _url(url), "text/html", _http(payload, key) + payload, offset=size, name=name))
-                size += len(parts[-1])
+                record = _arc_record(version, _url(url), "text/html", _http(payload, key) + payload, offset=size, name=name)
+                parts.append(_member(record))
+                size += len(record)
                 if size >= file_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
+                    yield _file(parts)
                     parts, n = [], n + 1
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
+            yield _file(parts)
 
     return _write(df.mapInArrow(run, "value binary"), path)
 
@@ -96,13 +115,13 @@ def _plain(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
-def parse_arc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memoryview]]:
-    """(offset, version, header fields, body) of each record behind the version block.
+def parse_arc(content: bytes) -> Iterator[tuple[int, str, dict[str, str], memoryview]]:
+    """(offset, archive name, header fields, body) of each record behind the version block, which tells the name.
 
     Raises ValueError where the version block, a header line or a declared length
     doesn't fit: what follows in such a file has no known boundaries.
     """
-    at, version, fields, view = 0, 0, V1_FIELDS, memoryview(content)
+    at, version, name, fields, view = 0, 0, "", V1_FIELDS, memoryview(content)
     while at < len(content):
         if content[at] in b"\r\n":
             at += 1
@@ -120,7 +139,7 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memory
             version = int(first.split(" ")[0])
             if version not in FIELDS:
                 raise ValueError(f"ARC version {version} is unknown")
-            fields = tuple(names.split("\n")[0].split(" ")) or FIELDS[version]
+            fields, name = tuple(names.split("\n")[0].split(" ")) or FIELDS[version], values[0].removeprefix("filedesc://")
         else:
             if not version:
                 raise ValueError("ARC file without a version block")
@@ -128,7 +147,7 @@ def parse_arc(content: bytes) -> Iterator[tuple[int, int, dict[str, str], memory
                 raise ValueError(f"ARC header line at {at} has {len(values)} fields of {len(fields)}")
             extra = len(values) - len(fields)  # some writers left spaces in URLs
             values = [" ".join(values[: extra + 1]), *values[extra + 1 :]]
-            yield at, version, dict(zip(fields, values, strict=True)), view[body : body + size]
+            yield at, name, dict(zip(fields, values, strict=True)), view[body : body + size]
         at = body + size
 
 
@@ -136,8 +155,8 @@ def _split_http(body: memoryview) -> tuple[bytes, memoryview]:
     """HTTP header (empty if there is none) and payload."""
     if bytes(body[:5]) != b"HTTP/":
         return b"", body
-    end = bytes(body[: 1 << 16]).find(b"\r\n\r\n")
-    return (b"", body) if end < 0 else (bytes(body[: end + 4]), body[end + 4 :])
+    end = _blank_line.search(body)
+    return (bytes(body[: end.end()]), body[end.end() :]) if end else (b"", body)
 
 
 def _key(http: bytes) -> int | None:
@@ -156,24 +175,31 @@ def _rows(columns: list[str], schema: pa.Schema, rows: Iterable[tuple]) -> pa.Re
 
 def arc_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row per ARC record with its payload's SHA-256 and size; payloads stay behind."""
-    names = ["archive", "offset", "url", "date", "key", "digest", "payload_bytes"]
+    names = ["archive", "name", "offset", "url", "date", "key", "digest", "payload_bytes"]
     schema = pa.schema([(n, pa.int64() if n in ("offset", "key", "payload_bytes") else pa.string()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = []
-                for offset, _, head, body in parse_arc(_plain(content.as_py())):
+                for offset, name, head, body in parse_arc(_plain(content.as_py())):
                     http, payload = _split_http(body)
-                    out.append((archive, offset, head["URL"], head["Archive-date"], _key(http), hashlib.sha256(payload).hexdigest(), len(payload)))
+                    out.append((archive, name, offset, head["URL"], head["Archive-date"], _key(http), hashlib.sha256(payload).hexdigest(), len(payload)))
                 yield _rows(names, schema, out)
 
     return _files(spark, path).mapInArrow(run, META_SCHEMA)
 
 
-def record_id(archive_offset: str) -> str:
-    """A record's URN, the same whenever it is made again."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, archive_offset)}>"
+def record_id(*said: object) -> str:
+    """A record's URN, made from what its archive says (name, offset, URL, date, payload digest), not from where the archive lies: the same whenever it is made again."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '#'.join(map(str, said)))}>"
+
+
+def _arc_fields(head: dict[str, str]) -> list[tuple[str, str]]:
+    """What the ARC header line says beyond URL, date and length."""
+    ip = head.get("IP-address", "-")
+    named = [("WARC-IP-Address", ip)] if ip not in ("-", "0.0.0.0") else []
+    return named + [(f"X-ARC-{f}", head[f]) for f in UNNAMED_FIELDS if head.get(f, "-") not in ("-", "")]
 
 
 def _iso(date: str) -> str:
@@ -192,44 +218,52 @@ def revisits(meta: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     Of records with equal payloads of at least ``min_bytes`` the one with the
     smallest key stays; ties go by archive and offset, records without a key last.
     """
-    place = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("archive"), F.col("offset"), F.col("url"), F.col("date"))
+    place = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("archive"), F.col("offset"), F.col("name"), F.col("url"), F.col("date"))
     first = meta.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     first = materialize(first.select("digest", "first"), "firsts")
     pairs = meta.where(F.col("payload_bytes") >= min_bytes).join(first, "digest")
     own = (F.col("archive") == F.col("first.archive")) & (F.col("offset") == F.col("first.offset"))
-    return pairs.where(~own).select("archive", "offset", F.struct("first.archive", "first.offset", "first.key", "first.url", "first.date").alias("refers"))
+    return pairs.where(~own).select("archive", "offset", F.struct("first.name", "first.offset", "first.key", "first.url", "first.date").alias("refers"))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, file_bytes: int = FILE_BYTES, min_bytes: int = MIN_REVISIT_BYTES) -> str:
-    """Write the WARC files that are equivalent to the ARC files under ``arc_path``."""
+    """Write the WARC files that are equivalent to the ARC files under ``arc_path``, a gzip member for each record.
+
+    Every record is converted, repeated ones too; those without a payload of
+    ``min_bytes`` never become revisits. A broken archive raises ValueError. No
+    archives, no files. All fields of the ARC header line are carried.
+    """
     meta = materialize(arc_metadata(spark, arc_path), "arc")
     # An archive holds a bounded number of records, so its list of revisits is bounded.
     by_file = revisits(meta, min_bytes).groupBy("archive").agg(F.collect_list(F.struct("offset", "refers")).alias("decided"))
-    files = _files(spark, arc_path).join(materialize(by_file, "revisits"), "archive", "left")
+    files = _files(spark, arc_path).join(materialize(by_file, "revisits"), "archive", "left").select("content", "decided")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content, decided in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for content, decided in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 refers = {d["offset"]: d["refers"] for d in decided or []}
-                start = _warc_record("warcinfo", record_id(archive), None, _iso(NO_DATE), "application/warc-fields", f"software: {ORIGIN}\r\nconversion-of: {archive}\r\n".encode())
-                parts, size = [start], len(start)
-                for offset, _, head, body in parse_arc(_plain(content.as_py())):
+                parts, size = [], 0
+                for offset, name, head, body in parse_arc(_plain(content.as_py())):
+                    if not parts:
+                        start = _warc_record("warcinfo", record_id(name), None, _iso(NO_DATE), "application/warc-fields", f"software: {ORIGIN}\r\nconversion-of: {name}\r\n".encode())
+                        parts, size = [_member(start)], len(start)
                     http, payload = _split_http(body)
-                    digest = ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest())
+                    digest, url, date = hashlib.sha256(payload).hexdigest(), head["URL"], head["Archive-date"]
                     mime = "application/http;msgtype=response" if http else head["Content-type"]
-                    kind, block, more = "response" if http else "resource", bytes(body), [digest]
+                    kind, block, more = "response" if http else "resource", bytes(body), [("WARC-Payload-Digest", f"sha256:{digest}"), *_arc_fields(head)]
                     if (r := refers.get(offset)) is not None:
                         kind, block = "revisit", http
-                        more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(f"{r['archive']}#{r['offset']}")), ("WARC-Refers-To-Target-URI", r["url"]), ("WARC-Refers-To-Date", _iso(r["date"]))]
+                        more += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(r["name"], r["offset"], r["url"], r["date"], digest)), ("WARC-Refers-To-Target-URI", r["url"]), ("WARC-Refers-To-Date", _iso(r["date"]))]
                         more += [("X-Refers-To-Key", str(r["key"]))] if r["key"] is not None else []
                     more += [("X-Payload-Length", str(len(payload)))]
-                    parts.append(_warc_record(kind, record_id(f"{archive}#{offset}"), head["URL"], _iso(head["Archive-date"]), mime, block, more))
-                    size += len(parts[-1])
+                    record = _warc_record(kind, record_id(name, offset, url, date, digest), url, _iso(date), mime, block, more)
+                    parts.append(_member(record))
+                    size += len(record)
                     if size >= file_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
-                        parts, size = [start], len(start)
-                if len(parts) > 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)[:-1]], pa.binary())], ["value"])
+                        yield _file(parts)
+                        parts = []
+                if parts:
+                    yield _file(parts)
 
     return _write(files.mapInArrow(run, "value binary"), warc_path)
 
@@ -254,7 +288,11 @@ def parse_warc(content: bytes) -> Iterator[tuple[int, dict[str, str], memoryview
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files but for warcinfo, digests checked against the blocks."""
+    """The records of WARC files but for warcinfo, digests checked against the blocks.
+
+    Records without our own headers have a null key and the payload's own length;
+    equal records are rows of their own. A broken archive raises ValueError.
+    """
     names = [c.split()[0] for c in WARC_SCHEMA.split(", ")]
     schema = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "long" else pa.string()) for c in WARC_SCHEMA.split(", ")])
 
