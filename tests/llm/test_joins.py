@@ -4,6 +4,7 @@ import collections
 import gzip
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -108,6 +109,15 @@ def test_join_of_odd_rows(spark):
     assert ngram_join.similar_groups(spark.createDataFrame([], SCHEMA)).isEmpty()
 
 
+def test_join_of_one_id_with_two_texts(spark):
+    """Either text of id 5 has a near copy; large ids are ids like others."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    big = (1 << 62) + 3
+    rows = [(5, one, None, None, 1), (5, two, None, None, 1), (8, one + " x", None, None, 1), (9, two + " y", None, None, 1), (big, "c " + two, None, None, 1), (big + 1, "q r s", None, None, 1)]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(5, 56): 5, (8, 57): 5, (9, 57): 5, (big, 57): 5, (big + 1, 1): big + 1}
+
+
 def test_every_plan_reaches_its_weight():
     """A pair that differs as much as a link may shares a signature, whatever the plan."""
     rng, tops = np.random.default_rng(29), ngram_join.band_tops()
@@ -278,13 +288,13 @@ def test_archives_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("key", F.lit("x"))
     arc = warc_convert.write_arc(pages, str(tmp_path / "arc"), file_bytes=1000)
     warc = warc_convert.convert(spark, arc, str(tmp_path / "warc"), file_bytes=1500)
-    versions = {gzip.decompress(p.read_bytes()).split(b"\n")[1][:1] for p in (tmp_path / "arc").glob("*.gz") if gzip.decompress(p.read_bytes())}
+    versions = {gzip.decompress(p.read_bytes()).split(b"\n")[1][:1] for p in (tmp_path / "arc").glob("*.txt") if p.stat().st_size}
     assert versions == {b"1", b"2"}
     got = collections.Counter((r["key"], r["record_type"], r["payload_bytes"], r["refers_to_key"]) for r in warc_convert.read_warc(spark, warc).collect())
     want = {(1, "response", 0, None): 1, (5, "revisit", 200, 3): 1, (3, "response", 200, None): 1, (3, "revisit", 200, 3): 1, (None, "revisit", 200, 3): 1, (4, "response", 5, None): 1, (2, "response", 5, None): 1, (9, "response", 225, None): 1, (10, "response", 500_000, None): 1}
     assert got == want
     blocks = {}
-    for p in (tmp_path / "warc").glob("*.gz"):
+    for p in (tmp_path / "warc").glob("*.txt"):
         for _, head, block in warc_convert.parse_warc(gzip.decompress(p.read_bytes())):
             if head["warc-type"] == "response":
                 http, payload = warc_convert._split_http(block)
@@ -293,6 +303,30 @@ def test_archives_round_trip(spark, tmp_path):
     assert blocks == {k: h or "" for k, _, h in PAGES if k is not None and k != 5}
 
 
+def test_old_archives_keep_all_they_say(spark, tmp_path):
+    """Long headers, fields of both versions, a gzip member for each record, ids that don't depend on the place."""
+    http = b"HTTP/1.1 200 OK\r\nX: " + b"y" * 100_000 + b"\r\n\r\n"
+    bodies = {"http://a/": http + b"p" * 100, "http://b/": b"p" * 100}
+    arc = warc_convert._arc_start(2, "old.arc") + b"".join(f"{u} 10.1.2.3 20010203040506 text/css 302 sum http://to/ 7 old.arc {len(b)}\n".encode() + b + b"\n" for u, b in bodies.items())
+    ids = []
+    for place in ("one", "two"):
+        (tmp_path / place).mkdir()
+        (tmp_path / place / f"{place}.arc").write_bytes(arc)
+        got = warc_convert.read_warc(spark, warc_convert.convert(spark, str(tmp_path / place), str(tmp_path / f"{place}-warc"))).collect()
+        assert {(r["uri"], r["record_type"], r["payload_bytes"], r["date"]) for r in got} == {("http://a/", "response", 100, "2001-02-03T04:05:06Z"), ("http://b/", "revisit", 100, "2001-02-03T04:05:06Z")}
+        ids.append({(r["uri"], r["record_id"], r["refers_to_id"]) for r in got})
+    assert ids[0] == ids[1] and {r for _, _, r in ids[0] if r} <= {i for _, i, _ in ids[0]}
+    (file,) = [p for p in (tmp_path / "one-warc").glob("*.txt") if p.stat().st_size]
+    rest, members = file.read_bytes(), []
+    while rest:
+        z = zlib.decompressobj(31)
+        members.append(z.decompress(rest))
+        rest = z.unused_data
+    assert [m.count(b"WARC-Record-ID") for m in members] == [1, 1, 1, 0]
+    (_, head, _), *_ = warc_convert.parse_warc(members[1])
+    assert {k: head[k] for k in ("warc-ip-address", "x-arc-content-type", "x-arc-result-code", "x-arc-checksum", "x-arc-location")} == {"warc-ip-address": "10.1.2.3", "x-arc-content-type": "text/css", "x-arc-result-code": "302", "x-arc-checksum": "sum", "x-arc-location": "http://to/"}
+
+
 def test_archives_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     arc = warc_convert.write_arc(pages, str(tmp_path / "arc"))
@@ -316,8 +350,8 @@ def test_broken_archives(data, problem):
 
 def test_urls_with_spaces_in_old_archives():
     data = warc_convert._arc_start(1, "n") + b"http://a/b c d 0.0.0.0 20000101000000 text/html 2\nhi\n"
-    ((_, version, head, body),) = warc_convert.parse_arc(data)
-    assert (version, head["URL"], bytes(body)) == (1, "http://a/b c d", b"hi")
+    ((_, name, head, body),) = warc_convert.parse_arc(data)
+    assert (name, head["URL"], bytes(body)) == ("n", "http://a/b c d", b"hi")
 
 
 def test_archives_are_the_sql(spark):
