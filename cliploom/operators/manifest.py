@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,26 +13,31 @@ SPLITS = ("train", "val", "test")
 COLUMNS = ("path", "label", "class_name", "source_id", "split", "identity_id")
 
 
-def group_split(rows: DataFrame, group: str, train_ratio: float = 0.8, val_ratio: float = 0.1, seed: int = 0) -> DataFrame:
-    """(group, split): whole groups go to one split, in the order of a seeded hash.
+def group_split(rows: DataFrame, group: str, train_ratio: float = 0.8, val_ratio: float = 0.1, seed: int = 0, within: Sequence[str] = ()) -> DataFrame:
+    """(within, group, split): whole groups go to one split, in the order of a seeded hash; each value of ``within`` is split by itself.
 
     One group trains, of two the second tests, and from three on each split has one
-    at least. The order needs all distinct groups at once, which is a small table;
-    the rows join it afterwards.
+    at least. Groups are counted by the hash's first digits, so that only those
+    counts, fixed in number, are added up in one place; the rank inside a bucket of
+    hashes is found in parallel. Null groups and null values of ``within`` get no
+    split; repeated rows count once.
     """
     if not (0 < train_ratio < 1 and 0 <= val_ratio < 1 and train_ratio + val_ratio < 1):
         raise ValueError("ratios must leave a share for each split")
-    ids = rows.select(F.col(group).alias("g")).where("g IS NOT NULL").distinct()
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("g"))), F.col("g"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    train = F.floor(n * F.lit(train_ratio)).cast("int")
-    val = F.floor(n * F.lit(val_ratio)).cast("int")
-    ranked = ids.select("g", (F.row_number().over(order) - 1).alias("i"), n.alias("n"), train.alias("t0"), val.alias("v0"))
+    ids = rows.select(*within, F.col(group).alias("g")).where("g IS NOT NULL").dropna(subset=list(within) or None).distinct()
+    ids = ids.withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), F.col("g"))))
+    ids = ids.withColumn("bucket", F.substring("mark", 1, 3))
+    order = Window.partitionBy(*within).orderBy("bucket")
+    counts = ids.groupBy(*within, "bucket").agg(F.count(F.lit(1)).alias("k"))
+    counts = counts.select(*within, "bucket", (F.sum("k").over(order) - F.col("k")).alias("before"), F.sum("k").over(Window.partitionBy(*within)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*within, "bucket").orderBy("mark", "g")) - 1
+    train, val = F.floor(F.col("n") * F.lit(train_ratio)).cast("int"), F.floor(F.col("n") * F.lit(val_ratio)).cast("int")
+    ranked = ids.withColumn("place", place).join(counts, [*within, "bucket"]).select(*within, "g", (F.col("before") + F.col("place")).alias("i"), "n", train.alias("t0"), val.alias("v0"))
     many = F.col("n") >= 3
     t = F.when(many, F.least(F.greatest(F.col("t0"), F.lit(1)), F.col("n") - 2)).otherwise(F.lit(1))
     v = F.when(many, F.least(F.greatest(t + F.col("v0"), t + 1), F.col("n") - 1)).otherwise(F.lit(1))
     split = F.when(F.col("i") < t, "train").when(F.col("i") < v, "val").otherwise("test")
-    return ranked.select(F.col("g").alias(group), split.alias("split"))
+    return ranked.select(*within, F.col("g").alias(group), split.alias("split"))
 
 
 def labelled_rows(files: DataFrame, label: int, path: str = "path", identity: Column | None = None) -> DataFrame:
@@ -41,14 +48,19 @@ def labelled_rows(files: DataFrame, label: int, path: str = "path", identity: Co
     return files.select(p.alias("path"), F.lit(label).alias("label"), F.lit("fake" if label else "real").alias("class_name"), source.alias("source_id"), who.alias("identity_id"))
 
 
-def with_splits(rows: DataFrame, splits: DataFrame) -> DataFrame:
-    """The small table of splits joins by group; its size decides how."""
-    return rows.join(splits, "source_id").select(*COLUMNS)
+def with_splits(rows: DataFrame, splits: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """The table of splits joins by group; its size decides how."""
+    return rows.join(splits, [*within, "source_id"]).select(*COLUMNS)
+
+
+def split_by_class(rows: DataFrame, **ratios) -> DataFrame:
+    """The manifest of labelled rows: each class is split by itself, all in one pass."""
+    return with_splits(rows, group_split(rows, "source_id", within=("class_name",), **ratios), ("class_name",))
 
 
 def build_manifest(real: DataFrame, fake: DataFrame, **ratios) -> DataFrame:
-    """Reals and fakes are split independently, then stand in one table."""
-    return with_splits(real, group_split(real, "source_id", **ratios)).unionByName(with_splits(fake, group_split(fake, "source_id", **ratios)))
+    """Reals and fakes stand in one table and are split independently."""
+    return split_by_class(real.unionByName(fake), **ratios)
 
 
 def split_summary(manifest: DataFrame) -> DataFrame:

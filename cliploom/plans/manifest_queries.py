@@ -38,7 +38,7 @@ manifest AS (
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = S.files(spark, sf_dir).select("path", "label", "class_name", "source_id", "identity_id")
-    return manifest.build_manifest(f.where("label = 0"), f.where("label = 1"))
+    return manifest.split_by_class(f)
 
 
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,13 +86,14 @@ def file_record(version: int = 1) -> Column:
 def fingerprint(files: DataFrame, config: dict, modalities: list[str]) -> DataFrame:
     """(fingerprint): SHA-256 over the configuration, the ordered modalities and the set of file records.
 
-    Records are hashed one by one and the hashes are summed and xor-ed, so files may
-    come in any order and are never listed in one place.
+    A tree of digests: those of the records, sorted within the bucket that their
+    first digits name, give the bucket's, and the sorted buckets' give the result. So
+    files may come in any order; one place lists the digests of one bucket at most.
     """
     head = json.dumps({"config": config, "modalities": modalities}, sort_keys=True, separators=(",", ":"))
-    each = files.select(file_record().alias("r"))
-    marks = (F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.lit(1), "r")), F.sum(F.xxhash64(F.lit(2), "r").cast("decimal(38,0)")), F.sum(F.xxhash64(F.lit(3), "r").cast("decimal(38,0)")))
-    return each.agg(F.sha2(F.concat_ws("|", F.lit(head), *[m.cast("string") for m in marks]), 256).alias("fingerprint"))
+    each = files.select(F.sha2(file_record(), 256).alias("d")).withColumn("b", F.substring("d", 1, 3))
+    buckets = each.groupBy("b").agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list("d"))), 256).alias("s")).select(F.concat_ws(":", "b", "s").alias("d"))
+    return buckets.agg(F.sha2(F.concat_ws("|", F.lit(head), F.sort_array(F.collect_list("d"))), 256).alias("fingerprint"))
 
 
 def write_features(items: DataFrame, path: str, mark: str) -> None:
