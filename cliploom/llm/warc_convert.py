@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -112,7 +113,8 @@ def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str
 
 
 def _plain(content: bytes) -> bytes:
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    """The contents, read as a stream: gzip.decompress copies all that is left for each member."""
+    return gzip.GzipFile(fileobj=io.BytesIO(content)).read() if content[:2] == b"\x1f\x8b" else content
 
 
 def parse_arc(content: bytes) -> Iterator[tuple[int, str, dict[str, str], memoryview]]:
