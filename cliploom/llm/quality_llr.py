@@ -26,8 +26,8 @@ BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
 #: Mean log ratio per n-gram below which a document is rejected.
 THRESHOLD = -0.1
-#: N-grams of the raw corpus that are added to the target's.
-PRIOR = 16 * BUCKETS
+#: Occurrences as the raw corpus has them that are added to what the target has of a bucket, and to what it should have.
+EVIDENCE = 16
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -96,8 +96,10 @@ def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def log_ratios(target: DataFrame, raw: DataFrame, text_col: str = "text") -> DataFrame:
     """One row with ``ratios``: BUCKETS floats, log(p_target / p_raw).
 
-    The raw counts are smoothed by one, the target's by PRIOR n-grams of the raw
-    corpus: few trusted rows say little, and then all ratios stay near 0.
+    The raw counts are smoothed by one. A bucket's count in the target is held against
+    what a target of its size should have by the raw share, EVIDENCE added to both:
+    the ratio stays near 0 where little is expected, and grows with the evidence of
+    that bucket, not with the number of labels as a whole.
     The row is of fixed size, so it may be broadcast whatever the corpus.
     """
     spark = raw.sparkSession
@@ -107,7 +109,7 @@ def log_ratios(target: DataFrame, raw: DataFrame, text_col: str = "text") -> Dat
     both = both.select("bucket", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
     row = both.agg(F.sum("t").alias("tt"), F.sum("r").alias("rr"), F.sort_array(F.collect_list(F.struct("bucket", "t", "r"))).alias("all"))
     raw_p = lambda x: (x["r"] + 1) / (F.col("rr") + BUCKETS)
-    ratio = F.transform("all", lambda x: F.log((x["t"] + PRIOR * raw_p(x)) / ((F.col("tt") + PRIOR) * raw_p(x))).cast("float"))
+    ratio = F.transform("all", lambda x: F.log((x["t"] + EVIDENCE) / (F.col("tt") * raw_p(x) + EVIDENCE)).cast("float"))
     return row.select(ratio.alias("ratios"))
 
 

@@ -138,6 +138,38 @@ def test_scores_and_verdicts(spark):
     assert not any(out[i]["kept"] for i in range(200, 400))
 
 
+def test_scores_by_brute_force(spark):
+    """Score and verdict of every row, counted in plain Python; only the hash itself is Spark's."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("lamp door rope salt".split()) + str(rng.randrange(60)) for _ in range(rng.choice([1, 30, 80, 300]))) for _ in range(60)]
+    texts += [" ".join(["#" * rng.randrange(1, 4) + rng.choice("xyz") + str(rng.randrange(9)) for _ in range(120)]) for _ in range(12)] + ["", None, texts[0]]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    grams = [[g for a, b in zip(w, [*w[1:], None]) for g in ((a,), (a, b))] for w in (re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts)]
+    known = sorted({g for gs in grams for g in gs}, key=repr)
+    asked = spark.createDataFrame([(i, len(g), g[0], g[-1]) for i, g in enumerate(known)], "i int, n int, a string, b string")
+    bucket = F.when(F.col("n") == 1, F.hash("a")).otherwise(F.hash(F.lit(2), "a", "b"))
+    at = {known[r["i"]]: r["h"] % quality_llr.BUCKETS for r in asked.select("i", bucket.alias("h")).collect()}
+    raw, target = (collections.Counter(at[g] for gs in rows for g in gs) for rows in (grams, grams[:40]))
+    n, tt, size, extra = sum(raw.values()), sum(target.values()), quality_llr.BUCKETS, quality_llr.EVIDENCE
+    ratio = lambda b: float(np.float32(np.log((target[b] + extra) / (tt * (raw[b] + 1) / (n + size) + extra))))
+    got = {r["doc_id"]: r for r in quality_llr.score_documents(df, df.where("doc_id < 40")).collect()}
+    assert len(got) == len(texts)
+    for i, gs in enumerate(grams):
+        score = sum(ratio(at[g]) for g in gs) / len(gs) if gs else 0.0
+        assert got[i]["score"] == pytest.approx(score, abs=1e-6)
+        assert got[i]["kept"] == (not statistics(texts[i])[-1] and score >= quality_llr.THRESHOLD)
+
+
+def test_few_labels_tell_junk(spark):
+    """Five trusted rows of 300 words are evidence enough against a symbol that is a tenth of the corpus."""
+    rng = random.Random(6)
+    clean = [" ".join(f"word{rng.randrange(4000)}" for _ in range(300)) for _ in range(90)]
+    junk = [" ".join(rng.choice(["###", "$$$"]) for _ in range(300)) + " " + c for c in clean[:20]]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(clean + junk)], SCHEMA)
+    out = quality_llr.score_documents(df, df.where("doc_id < 5")).collect()
+    assert all((r["score"] >= quality_llr.THRESHOLD) == (r["doc_id"] < 90) for r in out)
+
+
 def test_quality_of_odd_rows(docs, none):
     out = quality_llr.score_documents(docs, docs.limit(0)).collect()
     assert len(out) == len(ODD)
