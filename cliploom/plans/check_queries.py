@@ -89,7 +89,7 @@ ORACLES = {
     "fusion_input_problems": f"""WITH {M._TOKENS}, {M.LAYOUT_SQL}, places AS (SELECT modality_id, s.slot FROM lay, range(32) s(slot) WHERE s.slot < slots),
 late AS (SELECT count(*) FILTER (WHERE slot >= 16) AS t, count(*) FILTER (WHERE modality_id >= 8) AS m FROM places)
 SELECT clip_id, count(DISTINCT slot) FILTER (WHERE clip_id % 5 = 2 AND modality = 'rgb' AND slot IN (1, 3)) AS bad_width, any_value(late.t) AS bad_time, any_value(late.m) AS bad_modality FROM k, late GROUP BY 1""",
-    "missing_names": "SELECT * FROM (VALUES ('metadata'), ('text'), ('manipulation_mask')) t(name)",
+    "missing_names": f"WITH {M.LAYOUT_SQL}, {M.NAMES_SQL} SELECT names.name FROM names ANTI JOIN lay USING (name)",
     "cross_attention": f"""WITH {M.FEATURES_SQL}, f AS (SELECT * FROM tok),
 z AS (SELECT q.clip_id, q.t AS i, k.t AS j, exp(sum(q.v * k.v) / sqrt({M.DIM}::DOUBLE)) AS z FROM f q JOIN f k ON q.clip_id = k.clip_id AND q.d = k.d GROUP BY 1, 2, 3),
 a AS (SELECT clip_id, i, j, z / sum(z) OVER (PARTITION BY clip_id, i) AS a FROM z)

@@ -16,6 +16,8 @@ FEATURES_SQL = f"tok AS (SELECT vec_id // {S.CLIP} AS clip_id, (vec_id % {S.CLIP
 PIXELS_SQL = f"px AS (SELECT * FROM (SELECT k // {SIZE * SIZE} AS frame_id, (k % {SIZE * SIZE} // {SIZE})::INT AS y, (k % {SIZE})::INT AS x, (p_size * 5)::DOUBLE AS r, (floor(p_retailprice)::BIGINT % 256)::DOUBLE AS g, (floor(p_retailprice * 7)::BIGINT % 256)::DOUBLE AS b, count(*) OVER (PARTITION BY k // {SIZE * SIZE}) AS c FROM (SELECT p_partkey AS k, p_size, p_retailprice FROM part)) WHERE c = {SIZE * SIZE})"
 LAYOUT_SQL = "lay(ord, name, modality_id, slots) AS (VALUES (0, 'rgb', 0, 8), (1, 'fau', 6, 32), (2, 'rppg', 4, 4), (3, 'eye_gaze', 5, 4), (4, 'face_mesh', 3, 16), (5, 'depth', 2, 4), (6, 'fft', 7, 4), (7, 'stft', 8, 4)), off AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS offset_ FROM lay)"
 
+NAMES_SQL = "names AS (SELECT unnest(range(11))::INT AS modality_id, unnest(['rgb', 'metadata', 'depth', 'face_mesh', 'rppg', 'eye_gaze', 'fau', 'fft', 'stft', 'text', 'manipulation_mask']) AS name)"
+
 
 def _r(df: DataFrame, places: int = 5) -> DataFrame:
     """Doubles rounded; adding zero turns -0.0 into 0.0."""
@@ -297,7 +299,7 @@ s AS (SELECT *, z / sum(z) OVER (PARTITION BY graph_id, i) AS g FROM g0)
 SELECT graph_id, i, round(greatest(0e0, any_value(xi) * 1.5e0 + sum(g * xj * 0.8e0 / {DIM})), 7) + 0e0 AS x FROM s GROUP BY 1, 2""",
     "modality_subsets": f"WITH {_SETS} SELECT row_number() OVER (ORDER BY size, places)::INT AS set_id, name, size FROM i",
     "modality_singletons": f"WITH {_SETS} SELECT row_number() OVER (ORDER BY size, places)::INT AS set_id, name, size FROM i WHERE size IN (1, 8)",
-    "pending_modalities": "SELECT * FROM (VALUES (1, 'metadata'), (9, 'text'), (10, 'manipulation_mask')) p(modality_id, name)",
+    "pending_modalities": f"WITH {LAYOUT_SQL}, {NAMES_SQL} SELECT names.modality_id, names.name FROM names ANTI JOIN lay USING (name)",
     "key_difference": "SELECT n_name AS key, CASE WHEN n_nationkey <= 9 THEN 'missing' ELSE 'unexpected' END AS side FROM nation WHERE n_nationkey <= 9 OR n_nationkey >= 15",
-    "token_totals": "SELECT 76::BIGINT AS slots, 88::BIGINT AS configured, 12::BIGINT AS enabled",
+    "token_totals": f"WITH {LAYOUT_SQL} SELECT sum(slots)::BIGINT AS slots, sum(CASE name WHEN 'rppg' THEN 16 ELSE slots END)::BIGINT AS configured, sum(slots) FILTER (WHERE name IN ('rgb', 'rppg'))::BIGINT AS enabled FROM lay",
 }
