@@ -7,12 +7,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A path not used before, in the folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder, a cluster an error."""
+    """A path not used before, in the folder that ``spark.checkpoint.dir`` names or that was set on the context; a local session without one gets a temporary folder, a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = on_context.get() if on_context.isDefined() else None
     if not named:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -20,3 +23,10 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
         atexit.register(shutil.rmtree, own, True)
         named = f"file://{own}"
     return f"{named.rstrip('/')}/cliploom-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written once and read back, without upstream lineage."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
