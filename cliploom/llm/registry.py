@@ -6,6 +6,7 @@ from .bin_packing import op10_bin_packing
 from .bpe_transducer import op8_token_counts
 from .embedding_dedup import OP5_SQL, op5_embedding_dedup
 from .lm_score import op3_lm_score
+from .merkle_manifest import op13_merkle_manifest
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality_llr import op4_quality_llr
 from .secret_scan import op1_secret_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_bin_packing": op10_bin_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Where SQL can express the query; the others are tested against brute force in tests/llm.
