@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .attention_mil import op11_quality_mil
 from .bin_packing import op10_bin_packing
 from .bpe_transducer import op8_token_counts
 from .embedding_dedup import OP5_SQL, op5_embedding_dedup
+from .importance_resampling import op12_importance_resampling
 from .lm_score import op3_lm_score
 from .merkle_manifest import op13_merkle_manifest
 from .ngram_join import OP7_SQL, op7_ngram_join
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_source_mix": op9_source_mix,
     "op10_bin_packing": op10_bin_packing,
+    "op11_quality_mil": op11_quality_mil,
+    "op12_importance_resampling": op12_importance_resampling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
