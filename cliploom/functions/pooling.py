@@ -1,4 +1,4 @@
-"""Latent-query attention pooling over long tables (clip_id, t, d, v)."""
+"""Norms, projections and position codes over long tables (clip_id, t, d, v)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .numeric import gelu, softmax, weight
+from .numeric import gelu, weight
 
 EPS = 1e-5
 
@@ -42,26 +42,30 @@ def mlp(df: DataFrame, hidden: int, width: int, keys: list[str]) -> DataFrame:
     return linear(linear(df, hidden, keys).withColumn("v", gelu(F.col("v"))), width, keys, 1.0)
 
 
-def latent_pool(tokens: DataFrame, slots: int, dim: int, temporal: bool = True, keys: tuple[str, ...] = ("clip_id",)) -> DataFrame:
-    """keys, slot, d, v: learned queries attend to each clip's tokens (keys, t, d, v).
+def _mean_rows(rows: Column, dim: Column) -> Column:
+    """Mean of an array of vectors, place by place."""
+    total = F.aggregate(rows, F.array_repeat(F.lit(0.0), dim), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(rows))
 
-    score = q . norm(token) / sqrt(dim), with the position code added to the score
-    (never to the values) if ``temporal``; softmax over t; weighted sum; norm. The
-    dot products are summed before the softmax, so the rows that are windowed are
-    clips x slots x tokens, without the dimension.
+
+def spatial_mean(hidden: Column, rank: int, dim: int | None = None, drop_class: bool = False) -> Column:
+    """The mean feature vector of one item's hidden state, whatever its layout.
+
+    Rank 2 is tokens (places, dim), without the first if ``drop_class``. Rank 3 is a map:
+    channels first if its first axis is ``dim`` or that is None, else channels last if
+    its last axis is; others raise, and so do tokens of another width.
     """
-    group = list(keys)
-    normed = layer_norm(tokens, [*group, "t"])
-    key = F.col("v") + (position_code(F.col("t"), F.col("d"), dim) if temporal else F.lit(0.0))
-    queries = normed.select(*group, "t", "d", key.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    scores = queries.groupBy(*group, "slot", "t").agg((F.sum(F.col("k") * weight(F.col("slot"), F.col("d"))) / math.sqrt(dim)).alias("z"))
-    attention = scores.select(*group, "slot", "t", softmax(F.col("z"), *group, "slot").alias("a"))
-    pooled = attention.join(normed, [*group, "t"]).groupBy(*group, "slot", "d").agg(F.sum(F.col("a") * F.col("v")).alias("v"))
-    return layer_norm(pooled, [*group, "slot"])
-
-
-def two_stage_pool(tokens: DataFrame, inner: int, slots: int, dim: int) -> DataFrame:
-    """Elements pooled within each frame first, then the frames' queries over time, from (clip_id, frame, t, d, v)."""
-    within = latent_pool(tokens, inner, dim, temporal=False, keys=("clip_id", "frame"))
-    flat = within.select("clip_id", (F.col("frame") * inner + F.col("slot")).alias("t"), "d", "v")
-    return latent_pool(flat, slots, dim)
+    width = lambda v, n: F.when(F.size(v) == n, v).otherwise(F.raise_error(F.concat(F.lit(f"features must have {n} numbers, not "), F.size(v).cast("string"))).cast("array<double>"))
+    if rank == 2:
+        rows = F.slice(hidden, 2, F.greatest(F.size(hidden) - 1, F.lit(0))) if drop_class else hidden
+        mean = _mean_rows(rows, F.size(hidden[0]))
+        return mean if dim is None else width(mean, dim)
+    if rank != 3:
+        raise ValueError(f"hidden states have rank 2 or 3, not {rank}")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    first = F.transform(hidden, lambda plane: total(F.transform(plane, lambda row: total(row))) / (F.size(plane) * F.size(plane[0])))
+    if dim is None:
+        return first
+    last = _mean_rows(F.flatten(hidden), F.size(hidden[0][0]))
+    wrong = F.raise_error(F.concat(F.lit(f"no axis of a hidden map has {dim} channels: "), F.concat_ws("x", F.size(hidden).cast("string"), F.size(hidden[0]).cast("string"), F.size(hidden[0][0]).cast("string")))).cast("array<double>")
+    return F.when(F.size(hidden) == dim, first).when(F.size(hidden[0][0]) == dim, last).otherwise(wrong)

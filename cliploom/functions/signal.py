@@ -110,3 +110,40 @@ def regional_signals(pixels: DataFrame, size: int, grid: int) -> DataFrame:
 def block_means(pixels: DataFrame, factor: int) -> DataFrame:
     """Frames shrunk by an integer factor: each new pixel is the mean of its block, from (frame_id, y, x, v)."""
     return pixels.groupBy("frame_id", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x")).agg(F.avg("v").alias("v"))
+
+
+def _overlap(at: Column, source: int, target: int) -> Column:
+    """array<struct<to, share>>: the target places that a source place reaches into, and the share of each that it fills."""
+    ratio = source / target
+    first = F.floor(at / F.lit(ratio)).cast("int")
+    last = F.least(F.ceil((at + 1) / F.lit(ratio)).cast("int") - 1, F.lit(target - 1))
+    filled = lambda t: (F.least((at + 1).cast("double"), (t + 1) * F.lit(ratio)) - F.greatest(at.cast("double"), t * F.lit(ratio))) / F.lit(ratio)
+    return F.filter(F.transform(F.sequence(first, last), lambda t: F.struct(t.alias("to"), filled(t).alias("share"))), lambda s: s["share"] > 1e-12)
+
+
+def area_resize(pixels: DataFrame, source: int, target: int) -> DataFrame:
+    """frame_id, y, x, v: frames of source x source pixels (frame_id, y, x, v) shrunk to target x target by area, for any two sizes.
+
+    A pixel goes to the few target pixels that it overlaps, with the shares of its two
+    axes multiplied, and those are summed with map-side totals: one shuffle. Pixels
+    that a frame lacks count as 0.
+    """
+    if not 1 <= target <= source:
+        raise ValueError("area resizing shrinks")
+    rows = pixels.select("frame_id", "v", F.explode(_overlap(F.col("y"), source, target)).alias("row"), "x")
+    cells = rows.select("frame_id", "v", "row", F.explode(_overlap(F.col("x"), source, target)).alias("column"))
+    value = F.sum(F.col("v") * F.col("row.share") * F.col("column.share"))
+    return cells.groupBy("frame_id", F.col("row.to").alias("y"), F.col("column.to").alias("x")).agg(value.alias("v"))
+
+
+def spectral_features(pixels: DataFrame, source: int, target: int, n_bins: int) -> DataFrame:
+    """frame_id, bin, value: the whole spectral extractor on (frame_id, y, x, r, g, b) of 0..255.
+
+    Grey levels, rounded; shrunk by area, rounded; scaled to 0..1; two-dimensional FFT;
+    log magnitudes; radial means. A frame's grey pixels come together once, as an array.
+    """
+    gray = pixels.select("frame_id", "y", "x", F.rint(luminance(F.col("r"), F.col("g"), F.col("b"))).alias("v"))
+    small = gray if source == target else area_resize(gray, source, target).withColumn("v", F.rint(F.round("v", 9)))
+    whole = small.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
+    frames = whole.select("frame_id", F.transform("p", lambda p: p["v"] / 255.0).alias("pixels"))
+    return radial_spectrum_arrow(frames, target, n_bins)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions import paths
+from cliploom.sources.shared import written
+
+from . import ordering
 
 SPLITS = ("train", "val", "test")
 COLUMNS = ("path", "label", "class_name", "source_id", "split", "identity_id")
@@ -90,3 +93,45 @@ def seen_in(rows: DataFrame, train: DataFrame) -> DataFrame:
     keys = label_keys(train).withColumn("_seen", F.lit(True))
     keyed = rows.withColumn("file_name", paths.file_name(F.col("path")))
     return keyed.join(keys, ["class_name", "file_name"], "left").withColumn("seen_in_train", F.coalesce("_seen", F.lit(False))).drop("_seen", "file_name")
+
+
+def path_order(path: Column) -> Column:
+    """Sorts as paths do, part by part: a folder's files stand before those of a folder whose name goes on from it."""
+    return F.split(path, "/")
+
+
+def numbered_manifest(rows: DataFrame) -> DataFrame:
+    """``rows`` with number, from 0: reals before fakes, each by the parts of its path, repeated paths in no fixed order.
+
+    Numbers come from ranges and their offsets, so no task orders all rows.
+    """
+    table = written(rows, "manifest").withColumn("_tie", F.monotonically_increasing_id())
+    return ordering.numbered(table, ["label", path_order(F.col("path")), "_tie"], "number").drop("_tie")
+
+
+def epoch_order(rows: DataFrame, epochs: int, seed: int, batch_size: int, key: str = "path") -> DataFrame:
+    """(epoch, ``key``, place, batch): every epoch takes all rows in an order of its own, by a hash of epoch, seed and key, in batches of ``batch_size``; the last is shorter.
+
+    The same seed gives the same orders. Keys should differ.
+    """
+    if epochs < 1 or batch_size < 1:
+        raise ValueError("epochs and batch_size must be positive")
+    each = rows.select(F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"), key)
+    mixed = written(each.withColumn("mix", F.md5(F.concat_ws(":", F.col("epoch").cast("string"), F.lit(str(seed)), F.col(key).cast("string")))), "epochs")
+    placed = ordering.numbered(mixed, ["epoch", "mix", key], "place")
+    n = F.lit(rows.count())
+    place = (F.col("place") - (F.col("epoch") - 1) * n).cast("long")
+    return placed.select("epoch", key, place.alias("place"), F.floor(place / batch_size).cast("int").alias("batch"))
+
+
+def first_existing(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """(item, path): of each item's candidates (item, ord, path) the first, by ord, that is among ``existing`` (path); null if none is."""
+    there = candidates.join(existing.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
+    return there.groupBy("item").agg(F.min_by(F.when(F.col("there"), F.col("path")), F.when(F.col("there"), F.col("ord"))).alias("path"))
+
+
+def routed(batch: DataFrame, overrides: DataFrame, modalities: Sequence[str]) -> DataFrame:
+    """(clip_id, modality, frames): what each modality reads, its own entry in ``overrides`` (clip_id, modality, frames) if there is one, else the clip's ``frames``."""
+    every = batch.select("clip_id", "frames", F.explode(F.array(*[F.lit(m) for m in modalities])).alias("modality"))
+    own = overrides.select("clip_id", "modality", F.col("frames").alias("own"))
+    return every.join(own, ["clip_id", "modality"], "left").select("clip_id", "modality", F.coalesce("own", "frames").alias("frames"))

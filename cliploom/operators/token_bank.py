@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.functions.numeric import weight
 
+from . import attention
 from .subsets import modality_table, offsets
 
 
@@ -49,43 +47,10 @@ def embedded(bank: DataFrame) -> DataFrame:
     return bank.withColumn("token", token)
 
 
-def fuse(bank: DataFrame, dim: int, heads: int = 4, layers: int = 1) -> DataFrame:
-    """clip_id, cls: a post-norm transformer over a clip's unmasked tokens behind a class token.
-
-    Masked places can't reach the class token, so they are dropped before the
-    function sees them; a bank has a bounded number of places, so a clip is a small
-    group. Weights come from closed-form tables.
-    """
-    if dim % heads:
-        raise ValueError("dim must divide by heads")
-    i, j = np.mgrid[:dim, :dim]
-    table = lambda a, b, p: 0.02 * np.sin(12.9898 * a + 78.233 * b + p)
-    q, k, v, o = (table(i, j, p) for p in range(4))
-    up, down = (table(*np.mgrid[:dim, : 4 * dim], 4), table(*np.mgrid[: 4 * dim, :dim], 5))
-    cls = table(0, np.arange(dim), 6)
-    norm = lambda x: (x - x.mean(-1, keepdims=True)) / np.sqrt(x.var(-1, keepdims=True) + 1e-5)
-    def erf(x: np.ndarray) -> np.ndarray:
-        """The polynomial of :func:`cliploom.functions.numeric.erf`."""
-        t = 1.0 / (1.0 + 0.3275911 * np.abs(x))
-        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-        return np.sign(x) * (1.0 - poly * np.exp(-x * x))
-
-    width = dim // heads
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack([cls, *pdf.sort_values("pos")["token"]])
-        for _ in range(layers):
-            split = lambda w: (x @ w).reshape(len(x), heads, width).transpose(1, 0, 2)
-            z = split(q) @ split(k).transpose(0, 2, 1) / math.sqrt(width)
-            a = np.exp(z - z.max(-1, keepdims=True))
-            a /= a.sum(-1, keepdims=True)
-            x = norm(x + (a @ split(v)).transpose(1, 0, 2).reshape(len(x), dim) @ o)
-            h = x @ up
-            x = norm(x + (0.5 * h * (1 + erf(h / math.sqrt(2)))) @ down)
-        return pd.DataFrame({"clip_id": [pdf["clip_id"].iloc[0]], "cls": [norm(x)[0]]})
-
-    kind = dict(bank.dtypes)["clip_id"]
-    return bank.where("mask").select("clip_id", "pos", "token").groupBy("clip_id").applyInPandas(run, f"clip_id {kind}, cls array<double>")
+def fuse(bank: DataFrame, heads: int = 4, layers: int = 1) -> DataFrame:
+    """clip_id, d, v: the class token of a transformer over each clip's unmasked places; see :func:`cliploom.operators.attention.fuse`."""
+    tokens = bank.where("mask").select("clip_id", F.col("pos").alias("t"), F.lit(0).alias("element"), F.col("token").alias("features"))
+    return attention.fuse(tokens, heads, layers).drop("slot")
 
 
 def required_features(available: DataFrame, required: dict[str, Sequence[str]]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.functions.numeric import weight
-from cliploom.operators import catalog, checks, graph, subsets, token_bank, training
+from cliploom.operators import attention, catalog, checks, graph, subsets, token_bank, training
 from cliploom.plans import model_queries as M
 from cliploom.plans import surrogates as S
 
@@ -37,11 +37,9 @@ def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cross_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token of a clip attends to all of the clip's."""
-    f = S.features(spark, sf_dir)
-    q = f.select(F.col("clip_id").alias("graph_id"), F.col("t").alias("i"), "d", "v")
-    k = f.select(F.col("clip_id").alias("graph_id"), F.col("t").alias("j"), "d", "v")
-    return M._r(graph.cross_attention(q, k, M._width(spark, sf_dir)), 7)
+    """Every vector of a clip attends to all of the clip's."""
+    out = attention.cross_attention(S.vectors(spark, sf_dir))
+    return M._r(out.select(F.col("clip_id").alias("graph_id"), F.col("slot").alias("i"), "d", "v"), 7)
 
 
 def architecture_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

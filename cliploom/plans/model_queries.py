@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.functions import numeric, pooling, signal
-from cliploom.operators import graph, heads, subsets, token_bank
+from cliploom.operators import attention, graph, heads, subsets, token_bank
 from cliploom.plans import surrogates as S
 
 #: Components of an embedding in the test tables, as the SQL reads them; edge of a frame.
@@ -30,7 +30,9 @@ def _signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _width(spark: SparkSession, sf_dir: str) -> int:
-    return S.table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+    """Of the vectors, which all have one; from the first."""
+    first = S.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.size("embedding")).first()
+    return first[0] if first else 0
 
 
 def normalize_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,17 +97,17 @@ def gelu_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.latent_pool(S.features(spark, sf_dir), 4, _width(spark, sf_dir), temporal=False), 4)
+    return _r(attention.latent_pool(S.vectors(spark, sf_dir), 4, temporal=False), 4)
 
 
 def temporal_latent_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.latent_pool(S.features(spark, sf_dir), 4, _width(spark, sf_dir)), 4)
+    return _r(attention.latent_pool(S.vectors(spark, sf_dir), 4), 4)
 
 
 def two_stage_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, dim = S.features(spark, sf_dir), _width(spark, sf_dir)
-    tokens = f.select("clip_id", F.floor(F.col("t") / 5).cast("int").alias("frame"), (F.col("t") % 5).alias("t"), "d", "v")
-    return _r(pooling.two_stage_pool(tokens, 2, 3, dim), 4)
+    """Five vectors make a frame."""
+    v = S.vectors(spark, sf_dir).select("clip_id", F.floor(F.col("t") / 5).cast("int").alias("t"), (F.col("t") % 5).alias("element"), "features")
+    return _r(attention.latent_pool(v, 3, inner=2), 4)
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,8 +143,7 @@ def bank_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fusion_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, dim = _tokens(spark, sf_dir), _width(spark, sf_dir)
-    cls = token_bank.fuse(token_bank.embedded(token_bank.token_bank(t, t, dim)), dim)
-    return _r(cls.select("clip_id", F.posexplode("cls").alias("d", "v")), 5)
+    return _r(token_bank.fuse(token_bank.embedded(token_bank.token_bank(t, t, dim))), 5)
 
 
 def required_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +185,8 @@ def graph_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gated_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding is a graph with a node for each component."""
-    f = S.features(spark, sf_dir).select((F.col("clip_id") * 100 + F.col("t")).alias("graph_id"), F.col("d").alias("i"), F.col("v").alias("x"))
-    return _r(graph.gated_message(f, _width(spark, sf_dir)), 7)
+    g = S.clips(spark, sf_dir).select((F.col("clip_id") * 100 + F.col("t")).alias("graph_id"), F.col("embedding").alias("x"))
+    return _r(graph.gated_message(g, "x").select("graph_id", F.posexplode("x").alias("i", "x")), 7)
 
 
 def modality_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +244,30 @@ _ERF = "sign({x}) * (1e0 - 1e0 / (1e0 + 0.3275911e0 * abs({x})) * (0.254829592e0
 _GELU = f"""WITH {FEATURES_SQL}, h AS (SELECT clip_id, t, o.d AS d, sum(v * {_w('tok.d', 'o.d')}) AS v FROM tok, range(32) o(d) GROUP BY 1, 2, 3),
 g AS (SELECT clip_id, t, d, 0.5e0 * v * (1e0 + {_ERF.format(x='(v / 1.4142135623730951e0)')}) AS v FROM h)
 SELECT clip_id, t, o.d::INT AS d, round(sum(v * {_w('g.d', 'o.d', '1e0')}), 8) + 0e0 AS v FROM g, range(8) o(d) GROUP BY 1, 2, 3"""
+
+
+def _linear(source: str, phase: int, width: int) -> str:
+    return f"SELECT clip_id, t, o.d AS d, sum(v * {_w('s.d', 'o.d', f'{phase}e0')}) AS v FROM {source} s, range({width}) o(d) GROUP BY 1, 2, 3"
+
+
+def _normed(source: str) -> str:
+    return f"SELECT clip_id, t, d, {_LN} AS v FROM {source} WINDOW w AS (PARTITION BY clip_id, t)"
+
+
+def _sum(a: str, b: str) -> str:
+    return f"(SELECT clip_id, t, d, a.v + b.v AS v FROM {a} a JOIN {b} b USING (clip_id, t, d))"
+
+
+_FUSION = f"""WITH {FEATURES_SQL}, x AS (SELECT DISTINCT clip_id, 0 AS t, (r.d)::INT AS d, {_w('0', 'r.d', '6e0')} AS v FROM tok, range({DIM}) r(d)
+UNION ALL SELECT clip_id, t + 1, d, v + {_w('CASE WHEN t < 8 THEN t ELSE t - 8 END', 'd', '2e0')} + {_w('CASE WHEN t < 8 THEN 0 ELSE 2 END', 'd', '3e0')} FROM tok),
+q AS MATERIALIZED ({_linear('x', 0, DIM)}), k AS MATERIALIZED ({_linear('x', 1, DIM)}), u AS MATERIALIZED ({_linear('x', 2, DIM)}),
+z AS (SELECT q.clip_id, q.t AS i, k.t AS j, q.d // 16 AS h, exp(sum(q.v * k.v) / 4e0) AS e FROM q JOIN k ON q.clip_id = k.clip_id AND q.d = k.d GROUP BY 1, 2, 3, 4),
+a AS (SELECT clip_id, i, j, h, e / sum(e) OVER (PARTITION BY clip_id, i, h) AS a FROM z),
+m AS (SELECT a.clip_id, i AS t, u.d, sum(a * v) AS v FROM a JOIN u ON u.clip_id = a.clip_id AND u.t = j AND u.d // 16 = h GROUP BY 1, 2, 3),
+o AS MATERIALIZED ({_linear('m', 3, DIM)}), n1 AS MATERIALIZED ({_normed(_sum('x', 'o'))}), h AS ({_linear('n1', 4, 4 * DIM)}),
+g AS (SELECT clip_id, t, d, 0.5e0 * v * (1e0 + {_ERF.format(x='(v / 1.4142135623730951e0)')}) AS v FROM h),
+f AS MATERIALIZED ({_linear('g', 5, DIM)}), n2 AS ({_normed(_sum('n1', 'f'))}), n3 AS ({_normed('n2')})
+SELECT clip_id, d::INT AS d, round(v, 5) + 0e0 AS v FROM n3 WHERE t = 0"""
 _GRAY = "round_even(0.299e0 * r + 0.587e0 * g + 0.114e0 * b, 0)"
 _DFT = f"""WITH {PIXELS_SQL}, g AS (SELECT frame_id, y, x, {_GRAY} / 255e0 AS v FROM px),
 f AS (SELECT frame_id, ky.k AS ky, kx.k AS kx, sum(v * cos(-2e0 * pi() * ((kx.k * x) % {SIZE} + (ky.k * y) % {SIZE}) / {SIZE})) AS re, sum(v * sin(-2e0 * pi() * ((kx.k * x) % {SIZE} + (ky.k * y) % {SIZE}) / {SIZE})) AS im FROM g, range({SIZE}) kx(k), range({SIZE}) ky(k) GROUP BY 1, 2, 3),
@@ -286,6 +311,7 @@ u2 AS (SELECT clip_id, kind, slot, CASE WHEN kind = 4 AND modality = 'depth' THE
 x AS (SELECT * FROM u2 UNION ALL SELECT * FROM u2 WHERE kind = 1 AND slot = 0),
 c AS (SELECT clip_id, modality, any_value(slots) AS slots, count(*) AS n, count(DISTINCT slot) AS k, bool_or(width <> {DIM}) AS wide FROM x LEFT JOIN lay ON name = modality GROUP BY 1, 2)
 SELECT clip_id, modality, CASE WHEN slots IS NULL THEN 'unknown modality' WHEN wide THEN 'wrong width' WHEN n <> k THEN 'repeated slot' ELSE 'wrong number of slots' END AS problem FROM c WHERE slots IS NULL OR wide OR n <> k OR k <> slots""",
+    "fusion_cls": _FUSION,
     "required_features": "SELECT user_id AS clip_id, m.modality, CASE WHEN m.modality = 'rgb' THEN bool_or(event_type = 'click') ELSE bool_or(event_type = 'click') AND bool_or(event_type = 'view') AND bool_or(event_type = 'purchase') END AS ready FROM events, (VALUES ('rgb'), ('fau')) m(modality) GROUP BY 1, 2",
     "head_logit": f"WITH z AS (SELECT vec_id, (SELECT sum(embedding[d + 1]::DOUBLE * {_w('d', '0e0')}) FROM range(64) r(d)) + 0.01e0 AS logit FROM embeddings) SELECT vec_id, round(logit, 6) + 0e0 AS logit, round(1e0 / (1e0 + exp(-logit)), 6) AS probability, (1e0 / (1e0 + exp(-logit)) >= 0.5e0)::INT AS prediction FROM z",
     "cosine_logits": "WITH p AS (SELECT vec_id, embedding[d + 1]::DOUBLE AS x, greatest(sin((d + 1) * 0.7e0), 0e0) AS y FROM embeddings, range(64) r(d)) SELECT vec_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) + 0e0 AS cosine FROM p GROUP BY 1",

@@ -57,6 +57,11 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.floor(k / CLIP).cast("long").alias("clip_id"), (k % CLIP).cast("int").alias("t"), "embedding")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, t, element, features: the clips' vectors, whole, one to a frame."""
+    return clips(spark, sf_dir).select("clip_id", "t", F.lit(0).alias("element"), F.col("embedding").alias("features"))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip_id, t, d, v: the clips' vectors, all components, in long form."""
     rows = clips(spark, sf_dir).select("clip_id", "t", F.posexplode("embedding").alias("d", "x"))

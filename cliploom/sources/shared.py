@@ -30,3 +30,18 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, place = _located(spark, path)
+    return store.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, place = _located(spark, path)
+    store.delete(place, True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cliploom.functions import paths
 from cliploom.operators import manifest
+from cliploom.sources.shared import exists
 
 MANIFEST_SCHEMA = "path string, label int, class_name string, source_id string, split string, identity_id string"
 
@@ -73,9 +74,22 @@ def write_timings(rows: DataFrame, path: str) -> None:
     rows.select(*out).write.mode("overwrite").option("header", True).csv(path)
 
 
-def summary_json(row: DataFrame) -> Column:
-    """One JSON string per row, keys sorted."""
-    return F.to_json(F.struct(*sorted(row.columns)))
+def read_timings(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def summary_json(row: DataFrame, indent: bool = False) -> Column:
+    """One JSON string per row, keys sorted and nulls kept; with ``indent``, two spaces and a newline behind."""
+    options = {"ignoreNullFields": "false", "pretty": str(indent).lower()}
+    text = F.to_json(F.struct(*sorted(row.columns)), options)
+    return F.concat(F.regexp_replace(text, '" : ', '": '), F.lit("\n")) if indent else text
+
+
+def write_summary(row: DataFrame, path: str) -> None:
+    """A one-row report as one indented JSON text file."""
+    if (n := row.count()) != 1:
+        raise ValueError(f"a summary has one row, not {n}")
+    row.select(F.rtrim(summary_json(row, True), F.lit("\n"))).coalesce(1).write.mode("overwrite").text(path)
 
 
 def file_record(version: int = 1) -> Column:
@@ -102,7 +116,5 @@ def write_features(items: DataFrame, path: str, mark: str) -> None:
 
 def read_features(spark: SparkSession, path: str, mark: str) -> DataFrame | None:
     """The cached items of this fingerprint, or None."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/fingerprint={mark}")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.parquet(f"{path}/fingerprint={mark}")
+    place = f"{path}/fingerprint={mark}"
+    return spark.read.parquet(place) if exists(spark, place) else None

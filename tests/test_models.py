@@ -5,8 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cliploom.functions import numeric, pooling, signal
-from cliploom.operators import heads, reports, sampling, subsets, token_bank
+from cliploom.functions import numeric, signal
+from cliploom.operators import attention, heads, reports, sampling, subsets, token_bank
 
 
 def test_frame_sampling_rounds_half_to_even(spark):
@@ -38,10 +38,10 @@ def test_both_spectra_agree_with_numpy(spark):
 
 
 def test_pooling_order_matters_only_with_time(spark):
-    rows = [(1, t, d, float(np.sin(t * 3 + d))) for t in range(5) for d in range(8)]
-    turned = [(c, 4 - t, d, v) for c, t, d, v in rows]
-    frame = lambda r: spark.createDataFrame(r, "clip_id int, t int, d int, v double")
-    pool = lambda r, temporal: pooling.latent_pool(frame(r), 2, 8, temporal).orderBy("slot", "d").toPandas()["v"].to_numpy()
+    rows = [(1, t, 0, [float(np.sin(t * 3 + d)) for d in range(8)]) for t in range(5)]
+    turned = [(c, 4 - t, e, v) for c, t, e, v in rows]
+    frame = lambda r: spark.createDataFrame(r, "clip_id int, t int, element int, features array<double>")
+    pool = lambda r, temporal: attention.latent_pool(frame(r), 2, temporal).orderBy("slot", "d").toPandas()["v"].to_numpy()
     assert np.allclose(pool(rows, False), pool(turned, False))
     assert not np.allclose(pool(rows, True), pool(turned, True))
 
@@ -69,7 +69,7 @@ def test_bank_mask(spark, modalities, used):
 def test_masked_places_leave_the_class_token(spark):
     bank = bank_of(spark, ("rgb",))
     noisy = bank.withColumn("token", F.when(F.col("mask"), F.col("token")).otherwise(F.array(*[F.lit(9.0)] * 4)))
-    assert np.allclose(*(token_bank.fuse(b, 4, heads=2).first()["cls"] for b in (bank, noisy)))
+    assert np.allclose(*([r["v"] for r in token_bank.fuse(b, heads=2).orderBy("d").collect()] for b in (bank, noisy)))
 
 
 def test_modality_sets(spark):
