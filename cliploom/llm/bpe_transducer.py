@@ -115,6 +115,15 @@ class Transducer:
         self.table = np.zeros((STATES + BATCH_BYTES + 1, 256), np.int32)
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
+    def number(self, state: tuple) -> int:
+        """The state's row of the table, which grows by what is reached."""
+        if state not in self.index:
+            self.index[state] = len(self.states)
+            self.states.append(state)
+            if len(self.states) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((len(self.table) // 2, 256), np.int32)])
+        return self.index[state]
+
     def compile(self, at: int, byte: int) -> None:
         (live, last, count), ids, pairs = self.states[at], self.v.ids, self.pairs
         read = live + bytes((byte,))
@@ -133,10 +142,7 @@ class Transducer:
         while keep < len(read) and read[keep:] not in prefixes:
             keep += 1
         state = (read[keep:], (*last[keep:], token), (*(c - emitted for c in count[keep:]), 0))
-        to = self.index.get(state)
-        if to is None:
-            to = self.index[state] = len(self.states)
-            self.states.append(state)
+        to = self.number(state)
         self.table[at, byte] = to << EMIT_BITS | emitted + EMIT_ZERO
 
     def run(self, at: np.ndarray, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,30 +167,39 @@ class Transducer:
         return state[back], total[back]
 
     def counts(self, words: list[bytes]) -> list[int]:
-        """Tokens of each word, in batches of bounded bytes."""
+        """Tokens of each word, in batches of bounded bytes; a longer word goes through in such pieces."""
         out, some, size = [], [], 0
         for word in words:
             if size + len(word) > BATCH_BYTES and some:
-                out += self._counts(some)
+                out += self._counts(some)[0]
                 some, size = [], 0
-            some.append(word)
-            size += len(word)
-        return out + (self._counts(some) if some else [])
+            if len(word) > BATCH_BYTES:
+                here, n = 0, 0
+                for i in range(0, len(word), BATCH_BYTES):
+                    (more,), here = self._counts([word[i : i + BATCH_BYTES]], here)
+                    n += more
+                out.append(n)
+            else:
+                some.append(word)
+                size += len(word)
+        return out + (self._counts(some)[0] if some else [])
 
-    def _counts(self, words: list[bytes]) -> list[int]:
+    def _counts(self, words: list[bytes], here: int = 0) -> tuple[list[int], int]:
+        """Tokens of each word, the first one from state ``here``, and the state behind the last one."""
         if len(self.states) > STATES:
+            kept = self.states[here]
             self.forget()
-        if (need := len(self.states) + sum(map(len, words)) + 1) > len(self.table):  # one very long word
-            self.table = np.concatenate([self.table[: len(self.states)], np.zeros((need - len(self.states), 256), np.int32)])
+            here = self.number(kept)
         chunks, first = [], [0]
         for word in words:
             chunks += [word[i : i + BLOCK] for i in range(0, len(word), BLOCK)]
             first.append(len(chunks))
         at = np.zeros(len(chunks), np.int64)
+        at[:1] = here
         state, total = self.run(at, chunks)
         inner = np.setdiff1d(np.arange(1, len(chunks)), first)  # blocks that go on with a word
         if not len(inner):
-            return total.tolist()
+            return total.tolist(), int(state[-1]) if len(chunks) else here
         maps = {(chunks[i], 0): (int(state[i]), int(total[i])) for i in inner.tolist()}
         likely = state[inner - 1]
         for i, s, (to, n) in zip(inner.tolist(), likely.tolist(), zip(*(x.tolist() for x in self.run(likely, [chunks[i] for i in inner])), strict=True), strict=True):
@@ -199,7 +214,7 @@ class Transducer:
                 here, more = maps[chunk, here]
                 n += more
             out.append(n)
-        return out
+        return out, here
 
 
 class Counter(Remembering):

@@ -410,6 +410,23 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     scratch.release(spark)
 
 
+def test_join_stage_keeps_rows_not_ids(spark):
+    """One id with two unlike texts, copies without ids, repeated rows, rows without words; against plain Python over rows."""
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(3, text("a")), (5, text("a") + " x"), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("e")), (None, text("a")), (9, text("f")), (9, text("f")), (None, text("g")), (2, text("g") + " y"), (8, None), (8, ""), (None, " "), (1, text("c") + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], SCHEMA).repartition(3)
+    got = sorted(r["n_chars"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    group, _ = joined(dict(enumerate(t or "" for _, t in rows)))
+    members = collections.defaultdict(list)
+    for k, g in group.items():
+        members[g].append(k)
+    kept = [[k for k in ks if rows[k][0] is not None] or ks for ks in members.values()]
+    best = [min((rows[k][0] or 0) for k in ks) for ks in kept]
+    assert len(got) == len(members)
+    assert collections.Counter((rows[k][0], rows[k][1]) for k in got) == collections.Counter((rows[k][0], rows[k][1]) for ks, b in zip(kept, best, strict=True) for k in [next(k for k in ks if (rows[k][0] or 0) == b)])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").isEmpty()
+
+
 CLASHING = ("_w", "_ratios", "ratios", "score", "kept", "n_words", "place", "row", "_row", "_spans", "spans", "key", "owner", "repo", "copies", "_copy", "number", "size", "tie", "lot", "component_id", "count", "group")
 
 

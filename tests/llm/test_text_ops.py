@@ -274,6 +274,19 @@ def test_memory_of_pretokens_is_bounded(library, monkeypatch):
     assert machine.bytes <= 40_000 and all(len(s) <= pretokens.LONGEST for s in machine.known if isinstance(s, str))
 
 
+def test_long_pretokens_and_white_space(library):
+    """Longer than a batch: one pretoken takes the memory of the states that it reaches, and encoders don't give up."""
+    rng = random.Random(15)
+    machine = bpe_transducer.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    dna = "".join(rng.choice("ACGT") for _ in range(8_000_000))
+    assert list(machine.texts([dna])) == [len(library.encode(dna, add_special_tokens=False).ids)]
+    assert machine.machine.table.nbytes < 1 << 30
+    for text in (" " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 400_000 + "b"):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert list(machine.texts([text])) == [len(expected)]
+        assert bin_packing.encoder("byte_bpe_50k.json").encode(text).tolist() == expected
+
+
 def test_state_maps_compose():
     machine, rng = bpe_transducer.counter("byte_bpe_50k.json").machine, random.Random(13)
     start = np.array([0])
@@ -331,6 +344,9 @@ def test_packing_is_whole(spark, docs, none, library):
     for r in out[out["doc_id"] == 8].itertuples():
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
     assert bin_packing.pack(bin_packing.pieces(none)).isEmpty()
+    big = spark.createDataFrame([((1 << 60) + 1, "x y"), (None, "z"), ((1 << 60) + 3, None)], "doc_id long, text string")
+    kept = {(r["doc_id"], r["length"]) for r in bin_packing.pack(bin_packing.pieces(big).cache()).collect()}
+    assert kept == {((1 << 60) + 1, len(library.encode("x y").ids) + 1), (None, len(library.encode("z").ids) + 1), ((1 << 60) + 3, 1)}
     same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text " * 40).alias("text"))
     groups = bin_packing.pack(bin_packing.pieces(same).cache(), group_pieces=100).select(F.shiftright("sequence_id", bin_packing.GROUP_BITS).alias("g")).groupBy("g").count().toPandas()["count"]
     assert groups.sum() == 3000 and groups.max() < 200
