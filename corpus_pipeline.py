@@ -43,18 +43,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs, trusted_documents(docs, labels))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(number, row): the rows with a written number, by which a stage finds each of them again, whatever ids they share or lack."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    return scratch.materialize(docs.select(F.monotonically_increasing_id().alias("number"), row), "rows")
+
+
 @_owned
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group. Rows of one id count as one document; rows without an id stay."""
-    groups = scratch.materialize(similar_groups(docs), "groups")
-    gone = groups.where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(scratch.narrow(scratch.materialize(gone, "gone")), "doc_id", "left_anti")
-    repeated = scratch.materialize(groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    ids = scratch.narrow(repeated)
-    once = kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(ids, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """Keep one row of each group: that with the smallest id, rows without an id last, and of several one.
+
+    Groups are of rows: rows of one id with unlike texts stay, rows with like texts are
+    a group whether they share an id, have others or none. Rows without words stay.
+    """
+    rows = _numbered(docs)
+    groups = scratch.materialize(similar_groups(rows.select("number", "row.text"), "number", "text"), "groups")
+    groups = groups.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
+    shared = scratch.narrow(scratch.materialize(groups.where("group <> number").select("group").distinct(), "shared"))
+    members = groups.join(shared, "group", "left_semi").join(rows.select("number", "row.doc_id"), "number")
+    members = scratch.materialize(members.select("group", "number", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number").alias("place")), "members")
+    first = members.groupBy("group").agg(F.min("place").alias("first"))
+    gone = members.join(first, "group").where("number <> first.number").select("number")
+    return rows.join(scratch.narrow(scratch.materialize(gone, "gone")), "number", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 @_owned
@@ -72,8 +82,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows get a written number, by which the mix finds them again: rows that share an
     id, or have none, are taken one by one.
     """
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    rows = scratch.materialize(docs.select(F.monotonically_increasing_id().alias("number"), row), "rows")
+    rows = _numbered(docs)
     numbers = rows.select("number", "row.doc_id", "row.source", "row.text")
     sized = sized_documents(numbers, keep=("number",))
     mix = fair_mix(sized, carry=("number",)).where("copies > 0").select("number", "copies")
