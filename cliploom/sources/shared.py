@@ -45,3 +45,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     store, place = _located(spark, path)
     store.delete(place, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is in a folder; none if there is no folder."""
+    store, place = _located(spark, path)
+    return [str(s.getPath().getName()) for s in store.listStatus(place)] if store.exists(place) else []
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Make a folder one's own: False if somebody else has. A file in it that only one can create decides."""
+    store, place = _located(spark, f"{path}/_claimed")
+    return bool(store.createNewFile(place))
