@@ -7,11 +7,11 @@ Arrow function per clip does 2-D spectra of realistic frames.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .numeric import chrominance, luminance
@@ -27,25 +27,32 @@ def hann(spark: SparkSession, n: int) -> DataFrame:
 def stft(signal: DataFrame, n_fft: int = 8, hop: int | None = None, clip: str = "clip_id", index: str = "t", value: str = "v") -> DataFrame:
     """clip, w, k, logmag: log(1 + |STFT|) of each clip's signal, centred, reflected at its ends.
 
-    Clips shorter than ``n_fft`` have none. Each window reads its ``n_fft`` samples by
-    an equi-join on clip and sample index; nothing is gathered per clip.
+    Clips shorter than ``n_fft`` have none. One shuffle, by clip: each row sees the few
+    samples around it, and those at a window's centre turn them into its bins. The
+    last window may be centred on the place behind the last sample.
     """
     if n_fft < 2 or hop is not None and hop < 1:
         raise ValueError("n_fft must exceed 1 and hop be positive")
     hop, half = hop or max(1, n_fft // 4), n_fft // 2
-    sized = signal.groupBy(clip).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n_fft)
-    windows = sized.select(clip, "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / hop).cast("int"))).alias("w"))
-    taps = windows.select(clip, "n", "w", F.explode(F.sequence(F.lit(0), F.lit(n_fft - 1))).alias("j"))
-    a = F.abs(F.col("w") * hop + F.col("j") - half)
-    taps = taps.withColumn("src", F.when(a <= F.col("n") - 1, a).otherwise(2 * (F.col("n") - 1) - a).cast("int"))
-    sample = signal.select(clip, F.col(index).cast("int").alias("src"), F.col(value).alias("_v"))
-    weighted = taps.join(sample, [clip, "src"]).withColumn("x", F.col("_v") * (0.5 - 0.5 * F.cos(F.lit(TAU) * F.col("j") / n_fft)))
-    sums = []
-    for k in range(half + 1):
-        angle = F.lit(TAU * k / n_fft) * F.col("j")
-        sums += [F.sum(F.col("x") * F.cos(angle)).alias(f"re{k}"), F.sum(F.col("x") * F.sin(angle)).alias(f"im{k}")]
-    bins = F.array(*[F.struct(F.lit(k).alias("k"), F.log1p(F.hypot(f"re{k}", f"im{k}")).alias("logmag")) for k in range(half + 1)])
-    return weighted.groupBy(clip, "w").agg(*sums).select(clip, "w", F.explode(bins).alias("b")).select(clip, "w", "b.k", "b.logmag")
+    order = Window.partitionBy(clip).orderBy(index)
+    near = F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(order.rowsBetween(-half - 1, half))
+    rows = signal.select(clip, (F.row_number().over(order) - 1).alias("t"), F.count(F.lit(1)).over(Window.partitionBy(clip)).cast("int").alias("n"), near.alias("near")).where(F.col("n") >= n_fft)
+    centre = F.filter(F.array(F.col("t"), F.col("t") + 1), lambda c: (c % hop == 0) & ((c == F.col("t")) | ((F.col("t") == F.col("n") - 1) & (c == F.col("n")))))
+    rows = rows.where((F.col("t") % hop == 0) | (F.col("t") == F.col("n") - 1)).select(clip, "n", "near", F.greatest(F.lit(0), F.col("t") - half - 1).alias("first"), F.explode(centre).alias("c"))
+
+    def tap(j: int) -> Column:
+        at = F.abs(F.col("c") + (j - half))
+        at = F.when(at <= F.col("n") - 1, at).otherwise(2 * (F.col("n") - 1) - at)
+        return F.get("near", at - F.col("first"))["v"]
+
+    taps = rows.select(clip, (F.col("c") / hop).cast("int").alias("w"), *[tap(j).alias(f"x{j}") for j in range(n_fft)])
+    hann = [0.5 - 0.5 * math.cos(TAU * j / n_fft) for j in range(n_fft)]
+
+    def part(k: int, wave: Callable[[float], float]) -> Column:
+        return sum((F.col(f"x{j}") * (hann[j] * wave(TAU * k / n_fft * j)) for j in range(n_fft)), F.lit(0.0))
+
+    bins = F.array(*[F.struct(F.lit(k).alias("k"), F.log1p(F.hypot(part(k, math.cos), part(k, math.sin))).alias("logmag")) for k in range(half + 1)])
+    return taps.select(clip, "w", F.explode(bins).alias("b")).select(clip, "w", "b.k", "b.logmag")
 
 
 def radial_bins(spark: SparkSession, size: int, n_bins: int) -> DataFrame:
@@ -82,16 +89,22 @@ def radial_spectrum(pixels: DataFrame, size: int, n_bins: int) -> DataFrame:
 
 
 def radial_spectrum_arrow(frames: DataFrame, size: int, n_bins: int) -> DataFrame:
-    """The same from (frame_id, pixels array<double> of size*size, row by row), by FFT in Arrow batches."""
+    """The same from (frame_id, pixels array<struct<y, x, v>>), by FFT in Arrow batches. Pixels that a frame lacks count as 0."""
     c = size // 2
     y, x = np.mgrid[:size, :size]
     r = np.hypot(y - c, x - c)
     bins = np.clip(np.ceil(r / ((r.max() + 1e-6) / n_bins)).astype(int) - 1, 0, n_bins - 1).ravel()
     count = np.maximum(np.bincount(bins, minlength=n_bins), 1)
 
+    def laid(pixels: list) -> np.ndarray:
+        out = np.zeros((size, size))
+        for p in pixels:
+            out[p["y"], p["x"]] = p["v"]
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [np.bincount(bins, np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(np.reshape(p, (size, size)))))).ravel(), n_bins) / count for p in pdf["pixels"]]
+            out = [np.bincount(bins, np.log1p(np.abs(np.fft.fftshift(np.fft.fft2(laid(p))))).ravel(), n_bins) / count for p in pdf["pixels"]]
             yield pd.DataFrame({"frame_id": np.repeat(pdf["frame_id"].to_numpy(), n_bins), "bin": np.tile(np.arange(n_bins, dtype=np.int32), len(out)), "value": np.concatenate(out) if out else []})
 
     return frames.select("frame_id", "pixels").mapInPandas(run, f"frame_id {dict(frames.dtypes)['frame_id']}, bin int, value double")
@@ -144,6 +157,5 @@ def spectral_features(pixels: DataFrame, source: int, target: int, n_bins: int)
     """
     gray = pixels.select("frame_id", "y", "x", F.rint(luminance(F.col("r"), F.col("g"), F.col("b"))).alias("v"))
     small = gray if source == target else area_resize(gray, source, target).withColumn("v", F.rint(F.round("v", 9)))
-    whole = small.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    frames = whole.select("frame_id", F.transform("p", lambda p: p["v"] / 255.0).alias("pixels"))
+    frames = small.groupBy("frame_id").agg(F.collect_list(F.struct("y", "x", (F.col("v") / 255.0).alias("v"))).alias("pixels"))
     return radial_spectrum_arrow(frames, target, n_bins)

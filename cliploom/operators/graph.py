@@ -22,6 +22,13 @@ def complete_digraph(spark: SparkSession, n: int) -> DataFrame:
     return i.crossJoin(j).select((F.col("i") * n + F.col("j")).alias("edge_id"), "i", "j")
 
 
+def edges_of(nodes: DataFrame, n: int) -> DataFrame:
+    """graph_id, edge_id, target, source: the edges between the nodes (graph_id, i, name) that graphs of up to ``n`` nodes have, self loops too."""
+    table = F.broadcast(complete_digraph(nodes.sparkSession, n))
+    ends = nodes.select("graph_id", "i", F.col("name").alias("target")).join(table, "i")
+    return ends.join(nodes.select("graph_id", F.col("i").alias("j"), F.col("name").alias("source")), ["graph_id", "j"]).select("graph_id", "edge_id", "target", "source")
+
+
 def normalized(edges: DataFrame) -> DataFrame:
     """a / sqrt(deg_i * deg_j) by row degrees, from (i, j, a); 0 where a degree is 0."""
     degree = edges.groupBy("i").agg(F.sum("a").alias("deg"))

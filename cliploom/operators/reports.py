@@ -16,7 +16,7 @@ def seen_summary(predictions: DataFrame, split: str = "test") -> DataFrame:
 
 
 def timing_summary(timings: DataFrame) -> DataFrame:
-    """Per modality, and the grand total under ``total``: count, sums, mean and maximum of the seconds."""
+    """Per modality, and in all (``grand_total``, under the name total): count, sums, mean and maximum of the seconds. Missing load and extraction seconds count as 0."""
     out = timings.rollup("modality").agg(
         F.grouping("modality").alias("_all"),
         F.count(F.lit(1)).alias("count"),
@@ -26,7 +26,7 @@ def timing_summary(timings: DataFrame) -> DataFrame:
         F.avg("elapsed_seconds").alias("mean_seconds"),
         F.max("elapsed_seconds").alias("max_seconds"),
     )
-    return out.withColumn("modality", F.when(F.col("_all") == 1, "total").otherwise(F.col("modality"))).drop("_all")
+    return out.withColumn("modality", F.when(F.col("_all") == 1, "total").otherwise(F.col("modality"))).withColumn("grand_total", F.col("_all") == 1).drop("_all")
 
 
 def allocate_load(timings: DataFrame, loads: DataFrame) -> DataFrame:

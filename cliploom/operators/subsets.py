@@ -53,3 +53,20 @@ def key_difference(expected: DataFrame, found: DataFrame, key: str = "key") -> D
     """(key, side): missing from ``found``, or unexpected there."""
     missing = expected.select(key).subtract(found.select(key)).withColumn("side", F.lit("missing"))
     return missing.unionByName(found.select(key).subtract(expected.select(key)).withColumn("side", F.lit("unexpected")))
+
+
+def ready_clips(sets: DataFrame, have: DataFrame) -> DataFrame:
+    """``sets`` (set_id, name, size) with clips: how many have every modality of the set, from (clip_id, modality).
+
+    Sets are a table of bounded size; a clip meets those that hold one of its modalities.
+    """
+    members = sets.select("set_id", "size", F.explode(F.split("name", "__")).alias("modality"))
+    met = have.distinct().join(F.broadcast(members), "modality").groupBy("set_id", "size", "clip_id").count().where("count = size")
+    counts = met.groupBy("set_id").agg(F.count(F.lit(1)).alias("clips"))
+    return sets.join(counts, "set_id", "left").withColumn("clips", F.coalesce("clips", F.lit(0)))
+
+
+def lacking(have: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(clip_id, modality): the modalities of ``names`` that a clip lacks, from (clip_id, modality). A clip without any isn't known."""
+    wanted = have.groupBy("clip_id").agg(F.collect_set("modality").alias("own"))
+    return wanted.select("clip_id", F.explode(F.array_except(F.array(*[F.lit(n) for n in names]), "own")).alias("modality"))

@@ -60,3 +60,17 @@ def required_features(available: DataFrame, required: dict[str, Sequence[str]])
     every = available.select("clip_id").distinct().crossJoin(F.broadcast(need))
     have = available.select("clip_id", "key").distinct().withColumn("_there", F.lit(True))
     return every.join(have, ["clip_id", "key"], "left").groupBy("clip_id", "modality").agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("ready"))
+
+
+def used_places(tokens: DataFrame) -> DataFrame:
+    """clip_id, modality, offset, slots, tokens: where each modality of a clip stands in the bank and how many tokens it has there."""
+    places = offsets(modality_table(tokens.sparkSession)).select(F.col("name").alias("modality"), "offset", "slots")
+    return tokens.groupBy("clip_id", "modality").agg(F.count(F.lit(1)).alias("tokens")).join(F.broadcast(places), "modality").select("clip_id", "modality", "offset", "slots", "tokens")
+
+
+def totals(tokens: DataFrame) -> DataFrame:
+    """clip_id, slots, enabled: places of the whole bank, and of the modalities that the clip has."""
+    table = modality_table(tokens.sparkSession).where("slots IS NOT NULL")
+    whole = F.broadcast(table.agg(F.sum("slots").alias("slots")))
+    own = tokens.select("clip_id", "modality").distinct().join(F.broadcast(table.select(F.col("name").alias("modality"), F.col("slots").alias("own"))), "modality")
+    return own.groupBy("clip_id").agg(F.sum("own").alias("enabled")).crossJoin(whole).select("clip_id", "slots", "enabled")

@@ -32,8 +32,10 @@ def fusion_input_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = subsets.modality_table(spark)
-    return checks.missing_names(t, t.where("ord IS NOT NULL"))
+    """Customers that no order names."""
+    named = S.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    ordered = S.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return checks.missing_names(named, named.join(ordered, "c_custkey"))
 
 
 def cross_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,8 @@ def cross_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def architecture_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.architecture_edges(subsets.modality_table(spark).where("ord IS NOT NULL"))
+    """The chain's graph for the modalities that events have."""
+    return graph.architecture_edges(S.table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct())
 
 
 def subset_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +80,9 @@ def architecture_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modality_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.markdown_rows(subsets.offsets(subsets.modality_table(spark)).select("name", "offset", "slots"))
+    """A row of the report for each modality: its events and users."""
+    ev = S.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"))
+    return catalog.markdown_rows(ev.agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users")))
 
 
 QUERIES = {f.__name__: f for f in (single_detections, unequal_batches, fusion_input_problems, missing_names, cross_attention, architecture_edges, subset_runs, trained_head, mean_pool, alias_lookup, architecture_dot, modality_markdown)}
@@ -87,19 +92,19 @@ ORACLES = {
     "fusion_input_problems": f"""WITH {M._TOKENS}, {M.LAYOUT_SQL}, places AS (SELECT modality_id, s.slot FROM lay, range(32) s(slot) WHERE s.slot < slots),
 late AS (SELECT count(*) FILTER (WHERE slot >= 16) AS t, count(*) FILTER (WHERE modality_id >= 8) AS m FROM places)
 SELECT clip_id, count(DISTINCT slot) FILTER (WHERE clip_id % 5 = 2 AND modality = 'rgb' AND slot IN (1, 3)) AS bad_width, any_value(late.t) AS bad_time, any_value(late.m) AS bad_modality FROM k, late GROUP BY 1""",
-    "missing_names": f"WITH {M.LAYOUT_SQL}, {M.NAMES_SQL} SELECT names.name FROM names ANTI JOIN lay USING (name)",
+    "missing_names": "SELECT c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "cross_attention": f"""WITH {M.FEATURES_SQL}, f AS (SELECT * FROM tok),
 z AS (SELECT q.clip_id, q.t AS i, k.t AS j, exp(sum(q.v * k.v) / sqrt({M.DIM}::DOUBLE)) AS z FROM f q JOIN f k ON q.clip_id = k.clip_id AND q.d = k.d GROUP BY 1, 2, 3),
 a AS (SELECT clip_id, i, j, z / sum(z) OVER (PARTITION BY clip_id, i) AS a FROM z)
 SELECT a.clip_id AS graph_id, i, d, round(sum(a * v), 7) + 0e0 AS v FROM a JOIN f ON f.clip_id = a.clip_id AND f.t = j GROUP BY 1, 2, 3""",
-    "architecture_edges": f"WITH {M.LAYOUT_SQL} SELECT 'input' AS source, name AS target FROM lay UNION ALL SELECT name, 'token_bank' FROM lay UNION ALL SELECT * FROM (VALUES ('token_bank', 'fusion'), ('fusion', 'cls'), ('fusion', 'fused_tokens'))",
+    "architecture_edges": "WITH m AS (SELECT DISTINCT event_type AS name FROM events) SELECT 'input' AS source, name AS target FROM m UNION ALL SELECT name, 'token_bank' FROM m UNION ALL SELECT * FROM (VALUES ('token_bank', 'fusion'), ('fusion', 'cls'), ('fusion', 'fused_tokens'))",
     "subset_runs": """WITH n(k, modality) AS (VALUES (0, 'rgb'), (1, 'fau'), (2, 'rppg'), (3, 'eye_gaze'), (4, 'face_mesh'), (5, 'depth'), (6, 'fft'), (7, 'stft')),
 s AS (SELECT m.mask, list(n.k ORDER BY n.k) AS places, string_agg(n.modality, '__' ORDER BY n.k) AS name, count(*) AS size FROM range(1, 256) m(mask), n WHERE (m.mask >> n.k) & 1 = 1 GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY size, places)::INTEGER AS set_id FROM s),
 p AS (SELECT set_id, name, doc_id, avg((doc_id * (n.k + 3)) % 11 - 7.25e0) AS logit, max(toxic) AS label FROM r JOIN n ON (r.mask >> n.k) & 1 = 1, labels GROUP BY 1, 2, 3)
 SELECT set_id, name, count(*) AS clips, round(avg(((logit >= 0)::INT = label)::INT::DOUBLE), 6) AS accuracy FROM p GROUP BY 1, 2""",
     "alias_lookup": "SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'old ' || n_name ELSE n_name END AS name, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey % 8 <> 0 THEN NULL ELSE n_regionkey END AS n_regionkey, NOT (n_nationkey % 4 = 0 AND n_nationkey % 8 <> 0) AS known FROM nation",
-    "architecture_dot": f"WITH {M.LAYOUT_SQL}, e AS (SELECT 'input' AS source, name AS target FROM lay UNION ALL SELECT name, 'token_bank' FROM lay UNION ALL SELECT * FROM (VALUES ('token_bank', 'fusion'), ('fusion', 'cls'), ('fusion', 'fused_tokens'))) SELECT '  \"' || source || '\" -> \"' || target || '\";' AS line FROM e",
-    "modality_markdown": f"WITH {M.LAYOUT_SQL} SELECT '| ' || name || ' | ' || offset_ || ' | ' || slots || ' |' AS line FROM off",
+    "architecture_dot": "WITH m AS (SELECT DISTINCT event_type AS name FROM events), e AS (SELECT 'input' AS source, name AS target FROM m UNION ALL SELECT name, 'token_bank' FROM m UNION ALL SELECT * FROM (VALUES ('token_bank', 'fusion'), ('fusion', 'cls'), ('fusion', 'fused_tokens'))) SELECT '  \"' || source || '\" -> \"' || target || '\";' AS line FROM e",
+    "modality_markdown": "SELECT '| ' || event_type || ' | ' || count(*) || ' | ' || count(DISTINCT user_id) || ' |' AS line FROM events GROUP BY event_type",
     "mean_pool": f"WITH {M.FEATURES_SQL} SELECT clip_id, d, round(avg(v * 0.02e0 * sin(12.9898e0 * d + 78.233e0)), 8) + 0e0 AS v FROM tok GROUP BY 1, 2",
 }

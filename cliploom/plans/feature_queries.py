@@ -120,7 +120,7 @@ QUERIES = {f.__name__: f for f in (cache_aside, movement, guarded_bank, manifest
 
 _RATIO = f"({M.SIZE}e0 / {SMALL})"
 _SHARE = "(greatest(0e0, least({s} + 1e0, ({t} + 1) * " + _RATIO + ") - greatest({s}::DOUBLE, {t} * " + _RATIO + ")) / " + _RATIO + ")"
-_RESIZED = f"{M.PIXELS_SQL}, g AS (SELECT frame_id, y, x, {M._GRAY} AS v FROM px), rs AS (SELECT frame_id, a.t AS y, b.t AS x, sum(v * {_SHARE.format(s='y', t='a.t')} * {_SHARE.format(s='x', t='b.t')}) AS v FROM g, range({SMALL}) a(t), range({SMALL}) b(t) GROUP BY 1, 2, 3)"
+_RESIZED = f"{M.PIXELS_SQL}, g AS (SELECT frame_id, y, x, {M._GRAY} AS v FROM px), rs AS (SELECT frame_id, a.t AS y, b.t AS x, sum(v * {_SHARE.format(s='y', t='a.t')} * {_SHARE.format(s='x', t='b.t')}) AS v FROM g, range({SMALL}) a(t), range({SMALL}) b(t) GROUP BY 1, 2, 3 HAVING sum({_SHARE.format(s='y', t='a.t')} * {_SHARE.format(s='x', t='b.t')}) > 1e-9)"
 _CORNER = f"sqrt({2 * (SMALL // 2) ** 2}e0)"
 ORACLES = {
     "cache_aside": f"""WITH {FILES_SQL}, r AS (SELECT 1 AS run, 'miss' AS cache_status, doc_id, path, 1 AS m FROM files UNION ALL SELECT 2, 'hit', doc_id, path, 1 FROM files UNION ALL SELECT 3, CASE WHEN doc_id % 97 = 0 THEN 'miss' ELSE 'hit' END, doc_id, path, CASE WHEN doc_id % 97 = 0 THEN 2 ELSE 1 END FROM files)

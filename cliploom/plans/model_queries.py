@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions import numeric, pooling, signal
@@ -13,7 +13,7 @@ from cliploom.plans import surrogates as S
 DIM, SIZE = 64, 8
 W = "0.02e0 * sin(12.9898e0 * {i} + 78.233e0 * {j} + {p})"
 FEATURES_SQL = f"tok AS (SELECT vec_id // {S.CLIP} AS clip_id, (vec_id % {S.CLIP})::INT AS t, (r.d)::INT AS d, embedding[r.d + 1]::DOUBLE AS v FROM embeddings, range({DIM}) r(d))"
-PIXELS_SQL = f"px AS (SELECT * FROM (SELECT k // {SIZE * SIZE} AS frame_id, (k % {SIZE * SIZE} // {SIZE})::INT AS y, (k % {SIZE})::INT AS x, (p_size * 5)::DOUBLE AS r, (floor(p_retailprice)::BIGINT % 256)::DOUBLE AS g, (floor(p_retailprice * 7)::BIGINT % 256)::DOUBLE AS b, count(*) OVER (PARTITION BY k // {SIZE * SIZE}) AS c FROM (SELECT p_partkey AS k, p_size, p_retailprice FROM part)) WHERE c = {SIZE * SIZE})"
+PIXELS_SQL = f"px AS (SELECT k // {SIZE * SIZE} AS frame_id, (k % {SIZE * SIZE} // {SIZE})::INT AS y, (k % {SIZE})::INT AS x, (p_size * 5)::DOUBLE AS r, (floor(p_retailprice)::BIGINT % 256)::DOUBLE AS g, (floor(p_retailprice * 7)::BIGINT % 256)::DOUBLE AS b FROM (SELECT p_partkey AS k, p_size, p_retailprice FROM part))"
 LAYOUT_SQL = "lay(ord, name, modality_id, slots) AS (VALUES (0, 'rgb', 0, 8), (1, 'fau', 6, 32), (2, 'rppg', 4, 4), (3, 'eye_gaze', 5, 4), (4, 'face_mesh', 3, 16), (5, 'depth', 2, 4), (6, 'fft', 7, 4), (7, 'stft', 8, 4)), off AS (SELECT *, coalesce(sum(slots) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS offset_ FROM lay)"
 
 NAMES_SQL = "names AS (SELECT unnest(range(11))::INT AS modality_id, unnest(['rgb', 'metadata', 'depth', 'face_mesh', 'rppg', 'eye_gaze', 'fau', 'fft', 'stft', 'text', 'manipulation_mask']) AS name)"
@@ -51,7 +51,9 @@ def block_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hann_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(signal.hann(spark, 16), 9)
+    """Every frame's value through a window of sixteen frames."""
+    f = _signal(spark, sf_dir).withColumn("j", (F.col("t") % 16).cast("int")).join(F.broadcast(signal.hann(spark, 16)), "j")
+    return _r(f.select("clip_id", "t", (F.col("v") * F.col("hann")).alias("v")), 6)
 
 
 def stft_logmag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,9 @@ def stft_logmag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def radial_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.radial_bins(spark, 32, 8)
+    """Pixels and mean grey level of each frame by distance from its centre."""
+    px = S.pixels(spark, sf_dir, SIZE).join(F.broadcast(signal.radial_bins(spark, SIZE, 4)), ["y", "x"])
+    return _r(px.groupBy("frame_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.rint(numeric.luminance(F.col("r"), F.col("g"), F.col("b")))).alias("v")))
 
 
 def dft_radial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +76,14 @@ def fft2_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same result as dft_radial, by FFT."""
     px = S.pixels(spark, sf_dir, SIZE)
     gray = px.select("frame_id", F.struct("y", "x", (F.rint(numeric.luminance(F.col("r"), F.col("g"), F.col("b"))) / 255.0).alias("v")).alias("p"))
-    whole = gray.groupBy("frame_id").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"]).alias("pixels"))
+    whole = gray.groupBy("frame_id").agg(F.collect_list("p").alias("pixels"))
     return _r(signal.radial_spectrum_arrow(whole, SIZE, 4))
 
 
 def pos_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(pooling.position_table(spark, 20, 15), 8)
+    """The clips' vectors with their frames' position codes added."""
+    codes = F.broadcast(pooling.position_table(spark, S.CLIP, _width(spark, sf_dir)))
+    return _r(S.features(spark, sf_dir).join(codes, ["t", "d"]).select("clip_id", "t", "d", (F.col("v") + F.col("code")).alias("v")), 6)
 
 
 def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +131,7 @@ def token_bank_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bank_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subsets.offsets(subsets.modality_table(spark))
+    return token_bank.used_places(_tokens(spark, sf_dir))
 
 
 def bank_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +181,17 @@ def mesh_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.complete_digraph(spark, 12)
+    """The nations of a region, in order, are the nodes of its graph."""
+    order = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    nodes = S.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph_id"), (F.row_number().over(order) - 1).cast("int").alias("i"), F.col("n_name").alias("name"))
+    return graph.edges_of(nodes, 8)
 
 
 def graph_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.complete_digraph(spark, 12).select("i", "j", F.when(F.col("i") == 5, 0.0).otherwise((F.col("i") * F.col("j") % 4).cast("double")).alias("a"))
-    return _r(graph.normalized(edges), 8)
+    """How often an event of one type follows one of another, over all users."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    steps = S.table(spark, sf_dir, "events").select(F.col("event_type").alias("i"), F.lead("event_type").over(order).alias("j")).where("j IS NOT NULL")
+    return _r(graph.normalized(steps.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("a"))), 8)
 
 
 def gated_message(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,16 +200,27 @@ def gated_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(graph.gated_message(g, "x").select("graph_id", F.posexplode("x").alias("i", "x")), 7)
 
 
+def _have(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Users and the types of their events, which stand for modalities, and the types in order: a handful."""
+    have = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("clip_id"), F.col("event_type").alias("modality"))
+    return have, sorted(r["modality"] for r in have.select("modality").distinct().collect())
+
+
 def modality_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subsets.modality_sets(spark, [x[0] for x in subsets.LAYOUT])
+    """Every set of modalities, and how many clips have all of it."""
+    have, names = _have(spark, sf_dir)
+    return subsets.ready_clips(subsets.modality_sets(spark, names), have)
 
 
 def modality_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subsets.modality_sets(spark, [x[0] for x in subsets.LAYOUT], "singletons_plus_all")
+    have, names = _have(spark, sf_dir)
+    return subsets.ready_clips(subsets.modality_sets(spark, names, "singletons_plus_all"), have)
 
 
 def pending_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subsets.pending(subsets.modality_table(spark))
+    """What each clip lacks of the modalities; every third clip has lost its views."""
+    have, names = _have(spark, sf_dir)
+    return subsets.lacking(have.where("modality <> 'view' OR clip_id % 3 > 0"), names)
 
 
 def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +229,7 @@ def key_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = subsets.modality_table(spark)
-    return t.agg(F.sum("slots").alias("slots"), F.sum("configured_slots").alias("configured"), F.sum(F.when(F.col("name").isin("rgb", "rppg"), F.col("slots")).otherwise(0)).alias("enabled"))
+    return token_bank.totals(_tokens(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (normalize_channels, grid_means, block_means, hann_window, stft_logmag, radial_bins, dft_radial, fft2_arrow, pos_encoding, layer_norm, softmax_scores, linear_projection, gelu_mlp, latent_pool, temporal_latent_pool, two_stage_pool, token_bank_places, bank_offsets, bank_mask_counts, bank_problems, fusion_cls, required_features, head_logit, cosine_logits, gaze_vectors, mesh_gather, graph_edges, graph_normalize, gated_message, modality_subsets, modality_singletons, pending_modalities, key_difference, token_totals)}
@@ -275,22 +296,25 @@ s AS (SELECT frame_id, greatest(0, least(3, ceil(sqrt((((ky + 4) % 8) - 4)::DOUB
 SELECT q.frame_id, b.bin::INT AS bin, round(coalesce(avg(m), 0e0), 5) AS value FROM (SELECT DISTINCT frame_id FROM px) q CROSS JOIN range(4) b(bin) LEFT JOIN s ON s.frame_id = q.frame_id AND s.bin = b.bin GROUP BY 1, 2"""
 _IMAGE, _CLIP = ((0.485, 0.229), (0.456, 0.224), (0.406, 0.225)), ((0.45, 0.225),) * 3
 _TOKENS = f"{FEATURES_SQL}, k AS (SELECT clip_id, CASE WHEN t < 8 THEN 'rgb' ELSE 'depth' END AS modality, CASE WHEN t < 8 THEN t ELSE t - 8 END AS slot, d, v FROM tok)"
-_SETS = "i AS (SELECT m.mask, list(n.o ORDER BY n.o) AS places, string_agg(n.name, '__' ORDER BY n.o) AS name, count(*)::INT AS size FROM range(1, 256) m(mask), (VALUES (0, 'rgb'), (1, 'fau'), (2, 'rppg'), (3, 'eye_gaze'), (4, 'face_mesh'), (5, 'depth'), (6, 'fft'), (7, 'stft')) n(o, name) WHERE (m.mask >> n.o) & 1 = 1 GROUP BY 1)"
+_SETS = """names AS (SELECT event_type AS name, row_number() OVER (ORDER BY event_type) - 1 AS o FROM (SELECT DISTINCT event_type FROM events)),
+i AS (SELECT m.mask, list(o ORDER BY o) AS places, string_agg(name, '__' ORDER BY o) AS name, count(*)::INT AS size FROM range(1, 1024) m(mask), names WHERE (m.mask >> o) & 1 = 1 AND m.mask < (1::BIGINT << (SELECT count(*) FROM names)) GROUP BY 1),
+u AS (SELECT user_id, sum(1::BIGINT << o)::BIGINT AS own FROM (SELECT DISTINCT user_id, event_type FROM events) JOIN names ON name = event_type GROUP BY 1)"""
+_READY = "SELECT row_number() OVER (ORDER BY size, places)::INT AS set_id, name, size, (SELECT count(*) FROM u WHERE (own & i.mask) = i.mask) AS clips FROM i"
 
 ORACLES = {
     "normalize_channels": f"WITH {PIXELS_SQL} SELECT frame_id, y, x, " + ", ".join(f"round(({c} / 255e0 - {m}e0) / {s}e0, 5) + 0e0 AS {c}_{n}" for n, t in (("image", _IMAGE), ("clip", _CLIP)) for c, (m, s) in zip("rgb", t, strict=True)) + " FROM px",
     "grid_means": f"WITH {PIXELS_SQL} SELECT frame_id, (y // 2 * 3 + x // 2)::INT AS cell, round(avg((0.299e0 * r + 0.587e0 * g + 0.114e0 * b) / 255e0), 5) AS luma, round(avg((r - b) / 255e0), 5) + 0e0 AS chroma FROM px WHERE y < 6 AND x < 6 GROUP BY 1, 2",
     "block_means": f"WITH {PIXELS_SQL} SELECT frame_id, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg({_GRAY}), 5) AS v FROM px GROUP BY 1, 2, 3",
-    "hann_window": "SELECT j::INT AS j, round(0.5e0 - 0.5e0 * cos(2e0 * pi() * j / 16), 9) + 0e0 AS hann FROM range(16) r(j)",
+    "hann_window": "WITH f AS (SELECT user_id::VARCHAR || ':' || event_type AS clip_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS t, value AS v FROM events) SELECT clip_id, t::INT AS t, round(v * (0.5e0 - 0.5e0 * cos(2e0 * pi() * (t % 16) / 16)), 6) + 0e0 AS v FROM f",
     "stft_logmag": """WITH s AS (SELECT user_id::VARCHAR || ':' || event_type AS clip_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS t, value AS v FROM events),
 n AS (SELECT clip_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 8),
 x AS (SELECT clip_id, n, w.w, j.j, abs(w.w * 2 + j.j - 4) AS a FROM n, range(1000) w(w), range(8) j(j) WHERE w.w <= n // 2),
 y AS (SELECT x.clip_id, w, j, v * (0.5e0 - 0.5e0 * cos(2e0 * pi() * j / 8)) AS v FROM x JOIN s ON s.clip_id = x.clip_id AND s.t = CASE WHEN a <= n - 1 THEN a ELSE 2 * (n - 1) - a END)
 SELECT clip_id, w::INT AS w, k.k::INT AS k, round(ln(1e0 + sqrt(sum(v * cos(2e0 * pi() * k.k * j / 8)) ^ 2 + sum(v * sin(2e0 * pi() * k.k * j / 8)) ^ 2)), 5) + 0e0 AS logmag FROM y, range(5) k(k) GROUP BY 1, 2, 3""",
-    "radial_bins": "SELECT y::INT AS y, x::INT AS x, greatest(0, least(7, ceil(sqrt((y - 16)::DOUBLE ^ 2 + (x - 16)::DOUBLE ^ 2) / ((sqrt(512e0) + 1e-6) / 8)) - 1))::INT AS bin FROM range(32) a(y), range(32) b(x)",
+    "radial_bins": f"WITH {PIXELS_SQL} SELECT frame_id, greatest(0, least(3, ceil(sqrt((y - 4)::DOUBLE ^ 2 + (x - 4)::DOUBLE ^ 2) / ((sqrt(32e0) + 1e-6) / 4)) - 1))::INT AS bin, count(*) AS n, round(avg({_GRAY}), 5) + 0e0 AS v FROM px GROUP BY 1, 2",
     "dft_radial": _DFT,
     "fft2_arrow": _DFT,
-    "pos_encoding": f"SELECT t::INT AS t, d::INT AS d, round({_CODE.format(d='d', t='t', n=15)}, 8) + 0e0 AS code FROM range(20) a(t), range(15) b(d)",
+    "pos_encoding": f"WITH {FEATURES_SQL} SELECT clip_id, t, d, round(v + {_CODE.format(d='d', t='t', n=DIM)}, 6) + 0e0 AS v FROM tok",
     "layer_norm": f"WITH {FEATURES_SQL} SELECT clip_id, t, d, round({_LN}, 5) + 0e0 AS v FROM tok WINDOW w AS (PARTITION BY clip_id, t)",
     "softmax_scores": f"WITH {FEATURES_SQL} SELECT clip_id, t, d, round(exp(v) / sum(exp(v)) OVER (PARTITION BY clip_id, d), 9) + 0e0 AS a FROM tok",
     "linear_projection": f"WITH {FEATURES_SQL} SELECT clip_id, t, o.d::INT AS d, round(sum(v * {_w('tok.d', 'o.d')}), 7) + 0e0 AS v FROM tok, range(8) o(d) GROUP BY 1, 2, 3",
@@ -304,7 +328,7 @@ sums AS (SELECT clip_id, modality, slot, sum(v) AS v FROM k GROUP BY 1, 2, 3)
 SELECT p.clip_id, pos, p.modality, modality_id, p.slot, p.slot AS time_id, s.v IS NOT NULL AS mask,
   round(coalesce(s.v, 0e0) + (SELECT sum({_w('p.slot', 'd', '2e0')} + {_w('p.modality_id', 'd', '3e0')}) FROM range({DIM}) r(d)), 5) + 0e0 AS total
 FROM places p LEFT JOIN sums s ON s.clip_id = p.clip_id AND s.modality = p.modality AND s.slot = p.slot""",
-    "bank_offsets": f"WITH {LAYOUT_SQL} SELECT name, modality_id, ord, offset_ AS \"offset\", slots FROM off",
+    "bank_offsets": f"WITH {_TOKENS}, {LAYOUT_SQL} SELECT clip_id, modality, any_value(offset_) AS \"offset\", any_value(slots)::INT AS slots, count(DISTINCT slot) AS tokens FROM k JOIN off ON off.name = modality GROUP BY 1, 2",
     "bank_mask_counts": f"WITH {_TOKENS}, {LAYOUT_SQL} SELECT clip_id, (SELECT sum(slots) FROM lay)::BIGINT AS places, count(DISTINCT modality || slot::VARCHAR) AS used FROM k GROUP BY 1",
     "bank_problems": f"""WITH {_TOKENS}, {LAYOUT_SQL}, u AS (SELECT clip_id, clip_id % 5 AS kind, modality, slot, count(v) AS width FROM k GROUP BY ALL),
 u2 AS (SELECT clip_id, kind, slot, CASE WHEN kind = 4 AND modality = 'depth' THEN 'smell' ELSE modality END AS modality, CASE WHEN kind = 2 AND modality = 'depth' AND slot = 1 THEN 7 ELSE width END AS width FROM u WHERE NOT (kind = 3 AND slot = 2)),
@@ -317,15 +341,15 @@ SELECT clip_id, modality, CASE WHEN slots IS NULL THEN 'unknown modality' WHEN w
     "cosine_logits": "WITH p AS (SELECT vec_id, embedding[d + 1]::DOUBLE AS x, greatest(sin((d + 1) * 0.7e0), 0e0) AS y FROM embeddings, range(64) r(d)) SELECT vec_id, round(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))), 6) + 0e0 AS cosine FROM p GROUP BY 1",
     "gaze_vectors": "SELECT n_nationkey, d::INT AS d, CASE WHEN d = 3 THEN 0e0 ELSE n_nationkey / 10e0 + d END AS v FROM nation, range(8) r(d)",
     "mesh_gather": f"WITH c AS (SELECT unnest([{', '.join(map(str, heads.CONTOUR))}]) AS i, generate_subscripts([{', '.join(map(str, heads.CONTOUR))}], 1) - 1 AS point) SELECT n_nationkey, point::INT AS point, CASE WHEN i <= 150 + n_nationkey * 10 THEN round(least(1e0, i / 100e0), 6) ELSE -1e0 END AS px, CASE WHEN i <= 150 + n_nationkey * 10 THEN round(least(1e0, i / 200e0), 6) ELSE -1e0 END AS py, CASE WHEN i <= 150 + n_nationkey * 10 THEN round(-i / 300e0, 6) + 0e0 ELSE -1e0 END AS pz FROM nation, c",
-    "graph_edges": "SELECT (i * 12 + j)::INT AS edge_id, i::INT AS i, j::INT AS j FROM range(12) a(i), range(12) b(j)",
-    "graph_normalize": "WITH e AS (SELECT i::INT AS i, j::INT AS j, CASE WHEN i = 5 THEN 0e0 ELSE (i * j % 4)::DOUBLE END AS a FROM range(12) x(i), range(12) y(j)), d AS (SELECT i, sum(a) AS deg FROM e GROUP BY 1) SELECT e.i, e.j, CASE WHEN p.deg * q.deg = 0 THEN 0e0 ELSE round(a / sqrt(p.deg * q.deg), 8) END AS a FROM e JOIN d p ON p.i = e.i JOIN d q ON q.i = e.j",
+    "graph_edges": "WITH n AS (SELECT n_regionkey AS graph_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i, n_name AS name FROM nation) SELECT a.graph_id, (a.i * 8 + b.i)::INT AS edge_id, a.name AS target, b.name AS source FROM n a JOIN n b ON a.graph_id = b.graph_id",
+    "graph_normalize": "WITH s AS (SELECT event_type AS i, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j FROM events), e AS (SELECT i, j, count(*)::DOUBLE AS a FROM s WHERE j IS NOT NULL GROUP BY 1, 2), d AS (SELECT i, sum(a) AS deg FROM e GROUP BY 1) SELECT e.i, e.j, round(a / sqrt(p.deg * q.deg), 8) AS a FROM e JOIN d p ON p.i = e.i JOIN d q ON q.i = e.j",
     "gated_message": f"""WITH {FEATURES_SQL}, n AS (SELECT clip_id * 100 + t AS graph_id, d AS i, v AS x FROM tok),
 g0 AS (SELECT a.graph_id, a.i, a.x AS xi, b.x AS xj, exp(1e0 / (1e0 + exp(-(0.3e0 * a.x - 0.2e0 * b.x)))) AS z FROM n a JOIN n b USING (graph_id)),
 s AS (SELECT *, z / sum(z) OVER (PARTITION BY graph_id, i) AS g FROM g0)
 SELECT graph_id, i, round(greatest(0e0, any_value(xi) * 1.5e0 + sum(g * xj * 0.8e0 / {DIM})), 7) + 0e0 AS x FROM s GROUP BY 1, 2""",
-    "modality_subsets": f"WITH {_SETS} SELECT row_number() OVER (ORDER BY size, places)::INT AS set_id, name, size FROM i",
-    "modality_singletons": f"WITH {_SETS} SELECT row_number() OVER (ORDER BY size, places)::INT AS set_id, name, size FROM i WHERE size IN (1, 8)",
-    "pending_modalities": f"WITH {LAYOUT_SQL}, {NAMES_SQL} SELECT names.modality_id, names.name FROM names ANTI JOIN lay USING (name)",
+    "modality_subsets": f"WITH {_SETS} {_READY}",
+    "modality_singletons": f"WITH {_SETS} {_READY} WHERE size IN (1, (SELECT count(*) FROM names))",
+    "pending_modalities": "WITH h AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'view' OR user_id % 3 > 0), c AS (SELECT DISTINCT user_id FROM h), t AS (SELECT DISTINCT event_type FROM events) SELECT c.user_id AS clip_id, t.event_type AS modality FROM c, t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.user_id = c.user_id AND h.event_type = t.event_type)",
     "key_difference": "SELECT n_name AS key, CASE WHEN n_nationkey <= 9 THEN 'missing' ELSE 'unexpected' END AS side FROM nation WHERE n_nationkey <= 9 OR n_nationkey >= 15",
-    "token_totals": f"WITH {LAYOUT_SQL} SELECT sum(slots)::BIGINT AS slots, sum(CASE name WHEN 'rppg' THEN 16 ELSE slots END)::BIGINT AS configured, sum(slots) FILTER (WHERE name IN ('rgb', 'rppg'))::BIGINT AS enabled FROM lay",
+    "token_totals": f"WITH {_TOKENS}, {LAYOUT_SQL}, m AS (SELECT DISTINCT clip_id, modality FROM k) SELECT clip_id, (SELECT sum(slots) FROM lay)::BIGINT AS slots, sum(slots)::BIGINT AS enabled FROM m JOIN lay ON name = modality GROUP BY 1",
 }

@@ -139,7 +139,7 @@ ORACLES = {
     "predict_threshold": f"WITH {PREDICTIONS_SQL} SELECT path, prediction, round(probability, 6) AS probability FROM predictions",
     "evaluation": f"WITH {PREDICTIONS_SQL} SELECT count(*) AS count, round(avg((prediction = label)::INT::DOUBLE), 6) AS accuracy, round(avg(greatest(logit, 0e0) - logit * label + ln(1e0 + exp(-abs(logit)))), 6) AS bce FROM predictions",
     "miss_lines": "WITH r AS (SELECT n_nationkey, CASE WHEN n_nationkey % 6 <> 0 THEN n_nationkey % 5 END AS m, n_nationkey % 7 AS c FROM nation) SELECT n_nationkey, CASE WHEN c <> 0 THEN round(m::DOUBLE / c * 100, 6) END AS percent, 'nation=' || coalesce(m::VARCHAR, 'None') || ' of ' || c || ' ' || CASE WHEN c = 0 OR m IS NULL THEN '(n/a)' ELSE '(' || printf('%.2f', m::DOUBLE / c * 100) || '%)' END AS line FROM r",
-    "timing_summary": f"WITH {TIMINGS_SQL} SELECT CASE WHEN grouping(modality) = 1 THEN 'total' ELSE modality END AS modality, count(*) AS count, round(sum(elapsed_seconds), 8) AS elapsed_seconds, round(sum(coalesce(load_seconds, 0e0)), 8) AS load_seconds, round(sum(extract_seconds), 8) AS extract_seconds, round(avg(elapsed_seconds), 8) AS mean_seconds, round(max(elapsed_seconds), 8) AS max_seconds FROM timings GROUP BY ROLLUP (modality)",
+    "timing_summary": f"WITH {TIMINGS_SQL} SELECT CASE WHEN grouping(modality) = 1 THEN 'total' ELSE modality END AS modality, count(*) AS count, round(sum(elapsed_seconds), 8) AS elapsed_seconds, round(sum(coalesce(load_seconds, 0e0)), 8) AS load_seconds, round(sum(extract_seconds), 8) AS extract_seconds, round(avg(elapsed_seconds), 8) AS mean_seconds, round(max(elapsed_seconds), 8) AS max_seconds, grouping(modality) = 1 AS grand_total FROM timings GROUP BY ROLLUP (modality)",
     "timing_allocation": f"WITH {TIMINGS_SQL}, t AS (SELECT clip_id, modality, sum(extract_seconds) AS extract_seconds FROM timings GROUP BY 1, 2), l AS (SELECT user_id AS clip_id, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'default' END AS modality, max(value) AS seconds FROM events WHERE event_type = 'click' GROUP BY 1) SELECT t.clip_id, t.modality, round(extract_seconds, 8) AS extract_seconds, round(coalesce(o.seconds, d.seconds, 0e0), 8) AS load_seconds FROM t LEFT JOIN l o ON o.clip_id = t.clip_id AND o.modality = t.modality LEFT JOIN l d ON d.clip_id = t.clip_id AND d.modality = 'default'",
     "batch_timing": "WITH b AS (SELECT event_id, user_id::VARCHAR || ':' || ((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 4)::VARCHAR AS batch_id FROM events) SELECT event_id, batch_id, count(*) OVER w AS batch_size, round(2e0 / count(*) OVER w, 6) AS elapsed_seconds FROM b WINDOW w AS (PARTITION BY batch_id)",
     "epoch_means": f"WITH {METRICS_SQL} SELECT epoch, round(train_loss, 3) AS train_loss, round(train_accuracy, 6) AS train_accuracy FROM m",

@@ -30,7 +30,7 @@ def test_both_spectra_agree_with_numpy(spark):
     n, bins = 8, 4
     x = np.random.default_rng(2).random((2, n, n))
     long = spark.createDataFrame([(f, i, j, float(x[f, i, j])) for f in range(2) for i in range(n) for j in range(n)], "frame_id int, y int, x int, v double")
-    wide = spark.createDataFrame([(f, x[f].ravel().tolist()) for f in range(2)], "frame_id int, pixels array<double>")
+    wide = spark.createDataFrame([(f, [(i, j, float(x[f, i, j])) for i in range(n) for j in range(n)]) for f in range(2)], "frame_id int, pixels array<struct<y int, x int, v double>>")
     a = signal.radial_spectrum(long, n, bins).orderBy("frame_id", "bin").toPandas()
     b = signal.radial_spectrum_arrow(wide, n, bins).orderBy("frame_id", "bin").toPandas()
     assert np.allclose(a["value"], b["value"])
