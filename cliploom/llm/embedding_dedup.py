@@ -38,6 +38,8 @@ COSINE, RECALL = 0.9, 0.97
 FIT_ROWS, FIT_ROUNDS = 20_000, 20
 #: Sample rows from which pairs at the threshold are found and made; how far above it those found may lie.
 EDGE_ROWS, EDGE = 2000, 0.03
+#: Bits of a substring at least, for as many vectors of a length as the second number; fewer vectors are one bucket.
+LEAST_BITS, FEW = 8, 64
 #: Leading bits of the code that travel with each entry (two longs), the share of pairs at the threshold within the radius, and tables at most.
 LEADING_BITS, WITHIN, MOST_TABLES = 128, 0.998, 256
 #: What an entry of a table costs, in comparisons of two codes.
@@ -105,20 +107,25 @@ def table_plan(rows: int, differ: float, recall: float = RECALL) -> tuple[int, i
         meet = (1 - differ) ** bits
         return 1 if meet >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
-    fits = [b for b in range(31) if tables(b) <= MOST_TABLES]
+    fits = [b for b in range(LEAST_BITS, 31) if tables(b) <= MOST_TABLES] or [LEAST_BITS]
     bits = min(fits, key=lambda b: tables(b) * (rows / 2**b + ENTRY_COST))
     return bits, tables(bits)
 
 
 def learn(sample: np.ndarray, rows: int, cosine: float, recall: float) -> Coder:
-    """The coder of one length from a sample of its unit vectors, for so many rows."""
+    """The coder of one length from a sample of its unit vectors, for so many rows.
+
+    Where codes can't be told to find enough, since so few vectors or components make
+    them, and a bucket would list all pairs anyway, all vectors are one bucket.
+    """
     edges = edge_pairs(sample, cosine)
     projection, thresholds = learn_codes(sample, LEADING_BITS)
     draft = Coder(projection, thresholds, 0, 0, 0)
     apart = [(draft.code(a) != draft.code(b)) for a, b in edges]
     bits, tables = table_plan(rows, max(float(x.mean()) for x in apart), recall)
-    if not bits:
-        return Coder(projection, thresholds, 0, 1, LEADING_BITS)
+    one = Coder(projection, thresholds, 0, 1, LEADING_BITS)
+    if rows < FEW:
+        return one
     most = tables + tables // 2 + 2  # bits of a code depend on each other, so tables may have to be added
     if bits * most > LEADING_BITS:
         projection, thresholds = learn_codes(sample, bits * most)
@@ -127,6 +134,8 @@ def learn(sample: np.ndarray, rows: int, cosine: float, recall: float) -> Coder:
     met = np.min([np.logical_or.accumulate(coder.keys(a) == coder.keys(b), axis=1).mean(axis=0) for a, b in codes], axis=0)
     enough = np.flatnonzero(met >= recall)
     radius = max(int(np.quantile((a[:, :LEADING_BITS] != b[:, :LEADING_BITS]).sum(axis=1), WITHIN)) for a, b in codes) + 1
+    if not len(enough) and rows <= CROWD:
+        return one
     return coder._replace(tables=int(enough[0]) + 1 if len(enough) else most, radius=radius)
 
 
@@ -260,18 +269,21 @@ def crowd_links(rows: DataFrame, cosine: float) -> DataFrame:
 
 
 def near_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
-    """(rep, links, root): for distinct vectors (rep, w, embedding), pieces of the weight of what each links to, and a smallest rep reached.
+    """(rep, links, root): for distinct vectors (rep, w, h1, h2, embedding), pieces of the weight of what each links to, and a smallest rep reached.
 
     Vectors of each length have codes and tables of their own, and meet only each
-    other. There is a row on the driver for each length.
+    other. Samples are taken and ordered by the vectors' hashes h1 and h2, so codes and
+    what they find don't depend on how rows are partitioned or named. There is a row,
+    a sample and a coder (about half a megabyte for 64 components, more with the square
+    of their number) on the driver for each length: lengths should be few.
     """
     lengths = {r["d"]: r["n"] for r in vectors.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     coders = {}
     for d, n in sorted(lengths.items()):
         part = int(min(1.0, FIT_ROWS / n) * (1 << 20)) + 1
-        sample = vectors.where((F.size("embedding") == d) & (F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < part)).orderBy("rep").select("embedding").toArrow().column(0).combine_chunks()
+        sample = vectors.where((F.size("embedding") == d) & (F.pmod("h1", F.lit(1 << 20)) < part)).orderBy("h1", "h2").select("embedding").toArrow().column(0).combine_chunks()
         if len(sample) < 2:
-            sample = vectors.where(F.size("embedding") == d).orderBy("rep").limit(FIT_ROWS).select("embedding").toArrow().column(0).combine_chunks()
+            sample = vectors.where(F.size("embedding") == d).orderBy("h1", "h2").limit(FIT_ROWS).select("embedding").toArrow().column(0).combine_chunks()
         coders[d] = learn(_unit(_matrix(sample)), n, cosine, recall)
     coded = materialize(coded_vectors(vectors, coders), "codes")
     entries = coded.select("d", "rep", "c0", "c1", F.posexplode("keys").alias("t", "key"))
@@ -300,7 +312,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """vec_id, n_links, component_id, kept for every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing; vectors of different lengths don't link with each other. Equal vectors are
+    nothing; vectors of different lengths don't link with each other. Ids are whole
+    numbers; others raise. Equal vectors are
     one class: they link with each other and share all other links, without being
     expanded into pairs. Rows with a null id count as vectors; their component is null
     only if no row in it has an id. Other columns of the input play no part; an empty
@@ -314,7 +327,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     keyed = materialize(rows.select("vec_id", "h1", "h2"), "vectors")
     classes = rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"), F.first("embedding").alias("embedding"))
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "distinct")
-    found = materialize(near_links(classes.select("rep", "w", "embedding"), cosine, recall), "near")
+    found = materialize(near_links(classes.select("rep", "w", "h1", "h2", "embedding"), cosine, recall), "near")
     total = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = materialize(connected_components(found.where("rep <> root"), "rep", "root").withColumnRenamed("id", "rep"), "groups")
     least = groups.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("group_least"))

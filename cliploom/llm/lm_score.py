@@ -157,7 +157,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     kind = Ids if size is not None else Hashes
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for the documents of a block, with what the head tells of them, and one for each bucket with bigrams of theirs."""
+        """A row for the documents of a block, in a bucket of its own, with what the head tells of them, and one for each bucket with bigrams of theirs."""
         ids, table, block = kind(words), tables.value, TaskContext.get().partitionId() << 32
 
         def packed(doc_ids: pa.Array, flags: np.ndarray, texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
             away = (first > ids.end) | (second > ids.end)
             cells = first[~away] * (ids.end + 1) + second[~away]
             sums = [np.bincount(row[~away], table[k][cells], len(n)) for k in range(2)]
-            out = [(-1 - (block + (block >> 32)) % LEAST_BUCKETS, block, doc_ids.to_pylist(), n.tobytes(), sums[0].tobytes(), sums[1].tobytes(), None, None, None)]
+            out = [(-1 - block, block, doc_ids.to_pylist(), n.tobytes(), sums[0].tobytes(), sums[1].tobytes(), None, None, None)]
             first, second, row = first[away], second[away], row[away]
             bucket = np.where(second > ids.end, second, first) % buckets
             order = np.lexsort((second, bucket))
@@ -180,7 +180,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
             for b in np.flatnonzero(np.diff(at)):
                 i, j = slice(at[b], at[b + 1]), slice(word_at[b], word_at[b + 1])
                 out.append((int(b), block, None, row[i].tobytes(), None, None, second[new[j]].tobytes(), runs[j].tobytes(), first[i].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.list_(doc_ids.type), *[pa.binary()] * 6), strict=True)], ["bucket", "block", "ids", "rows", "target", "background", "words", "runs", "contexts"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(doc_ids.type), *[pa.binary()] * 6), strict=True)], ["bucket", "block", "ids", "rows", "target", "background", "words", "runs", "contexts"])
 
         for batch in batches:
             flags, texts, start, size_ = batch.column(2).to_numpy(), [], 0, 0
@@ -237,7 +237,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
         return pa.table([pa.array(doc_ids, group.schema.field("ids").type.value_type), pa.array(n), *sums], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
     sums = f"block long, ids array<{id_type}>, rows binary, target binary, background binary"
-    cut = flagged.mapInArrow(blocks, f"bucket int, {sums}, words binary, runs binary, contexts binary")
+    cut = flagged.mapInArrow(blocks, f"bucket long, {sums}, words binary, runs binary, contexts binary")
     out = cut.groupBy("bucket").applyInArrow(priced, sums)
     out = out.groupBy("block").applyInArrow(summed, f"doc_id {id_type}, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -200,6 +200,33 @@ def test_links_at_the_threshold_are_found(spark):
     assert 0.9 * pairs <= found <= pairs
 
 
+def pairs_at_the_threshold(rng, n, d):
+    """n pairs at cosines of 0.90 to 0.92, as one matrix."""
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=(n, d))
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    c = rng.uniform(0.9001, 0.92, (n, 1))
+    return np.concatenate([x, c * x + np.sqrt(1 - c * c) * aside])
+
+
+@pytest.mark.parametrize("n", [200, 1000])
+def test_small_tables_use_codes_and_partitions_do_not_matter(spark, monkeypatch, n):
+    plans, learn = [], embedding_dedup.learn
+    monkeypatch.setattr(embedding_dedup, "learn", lambda *a: plans.append(learn(*a)) or plans[-1])
+    rows = [(i, v.tolist()) for i, v in enumerate(pairs_at_the_threshold(np.random.default_rng(35), n, 64))]
+    df, results = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (4, 7, 32) if n == 200 else (4, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(map(tuple, embedding_dedup.near_duplicates(df.repartition(parts)).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(r == results[0] for r in results)
+    assert sum(r[1] for r in results[0]) >= 0.9 * 2 * n
+    assert all(p.bits >= 8 and p.tables > 1 and p.radius < embedding_dedup.LEADING_BITS for p in plans)
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (11, [0.0, 1.0, 0.0]), (12, [0.0, 2.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (10, [3e38, 1e30])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("keys", F.lit(1)).withColumn("rep", F.lit("x"))
