@@ -13,7 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.functions import layers
@@ -167,23 +167,27 @@ class Chain:
 
         return x, mask, back
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Time (the slot's number) and modality id of each place."""
+        slots = [m.slots for m in self.modalities]
+        return np.concatenate([np.arange(n) for n in slots]), np.repeat([m.modality_id for m in self.modalities], slots)
+
     def forward(self, p: Parameters, found: Mapping[str, Ragged], clips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Back]:
-        """Logits, the class token's result, the mask, and the way back from the logits."""
+        """Logits, the fused tokens (the class token first), the mask, and the way back from the logits."""
         tokens, mask, back_bank = self.bank(p, found, clips)
-        time = np.concatenate([np.arange(m.slots) for m in self.modalities])
-        of = np.repeat([m.modality_id for m in self.modalities], [m.slots for m in self.modalities])
+        time, of = self.places()
         tokens = tokens + p["fusion.time"][time] + p["fusion.modality"][of]
         x = np.concatenate([np.broadcast_to(p["fusion.cls"], (clips, 1, self.dim)), tokens], 1)
         there = np.concatenate([np.ones((clips, 1), bool), mask], 1)
         stack = [lambda v, k=k: layers.encoder_layer(p, f"fusion.layer{k}", v, there, self.heads) for k in range(self.layers)]
         x, back_stack = layers.chained(*stack)(x)
-        cls, back_norm = layers.norm(p, "fusion.norm", x[:, 0])
-        logit, back_head = layers.linear(p, "head", cls)
+        fused, back_norm = layers.norm(p, "fusion.norm", x)
+        logit, back_head = layers.linear(p, "head", fused[:, 0])
 
         def back(d: np.ndarray, g: Gradients) -> None:
             dx = np.zeros_like(x)
-            dx[:, 0] = back_norm(back_head(d[:, None], g), g)
-            dx = back_stack(dx, g)
+            dx[:, 0] = back_head(d[:, None], g)
+            dx = back_stack(back_norm(dx, g), g)
             layers.add(g, "fusion.cls", dx[:, 0].sum(0))
             each = dx[:, 1:].sum(0)
             for name, index in (("fusion.time", time), ("fusion.modality", of)):
@@ -192,7 +196,7 @@ class Chain:
                 layers.add(g, name, into)
             back_bank(dx[:, 1:], g)
 
-        return logit[:, 0], cls, mask, back
+        return logit[:, 0], fused, mask, back
 
 
 def logits(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray], keep: Sequence[str] = ("clip_id",)) -> DataFrame:
@@ -209,14 +213,34 @@ def logits(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray], kee
         for b in batches(stream):
             kept = b.column(0)
             found = ragged(b.column(1), widths, lambda i: kept[i].as_py())
-            logit, cls, mask, _ = chain.forward(sent.value, found, b.num_rows)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(cls.ravel()), chain.dim).cast(pa.list_(pa.float64()))
+            logit, fused, mask, _ = chain.forward(sent.value, found, b.num_rows)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(fused[:, 0].ravel()), chain.dim).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(logit), flat, pa.array(mask.sum(1).astype(np.int32))], names)
 
     types = dict(clips.dtypes)
     return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", logit double, cls array<double>, places int")
 
 
-def example(spark: SparkSession) -> Chain:
-    """All eight modalities over features of eight numbers, with the usual slots."""
-    return Chain(tuple(modality(name, 8) for name, *_ in LAYOUT), dim=32, heads=4, layers=2)
+def fused_tokens(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray], keep: Sequence[str] = ("clip_id",)) -> DataFrame:
+    """keys, pos, modality_id, time_id, mask, token: what fusion makes of every place; the class token is at 0, of no modality.
+
+    Places whose modality a clip lacks are computed too, with a false mask: they see
+    the others and aren't seen.
+    """
+    sent, widths = clips.sparkSession.sparkContext.broadcast(dict(params)), chain.widths()
+    time, of = chain.places()
+    rows = clips.select(F.struct(*keep).alias("row"), "tokens")
+    n, names = len(time) + 1, [*keep, "pos", "modality_id", "time_id", "mask", "token"]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(stream):
+            kept = b.column(0)
+            _, fused, mask, _ = chain.forward(sent.value, ragged(b.column(1), widths, lambda i: kept[i].as_py()), b.num_rows)
+            each = [c.take(pa.array(np.repeat(np.arange(b.num_rows), n))) for c in kept.flatten()]
+            tile = lambda first, rest: pa.array([first, *rest.tolist()] * b.num_rows, pa.int32())
+            there = np.concatenate([np.ones((b.num_rows, 1), bool), mask], 1).ravel()
+            token = pa.FixedSizeListArray.from_arrays(pa.array(fused.ravel()), chain.dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*each, pa.array(np.tile(np.arange(n, dtype=np.int32), b.num_rows)), tile(None, of), tile(None, time), pa.array(there), token], names)
+
+    types = dict(clips.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", pos int, modality_id int, time_id int, mask boolean, token array<double>")

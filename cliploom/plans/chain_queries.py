@@ -47,6 +47,15 @@ def chain_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("clip_id", F.round("logit", 6).alias("logit"), F.round("probability", 6).alias("probability"), "prediction", "places")
 
 
+def fused_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip_id, pos, modality_id, time_id, mask, squares: what the chain's fusion makes of every place of every clip, its squares added up."""
+    spec = small_chain()
+    params, _ = parameters.load(parameters.initial(spark, spec.shapes()), spec.shapes())
+    rows = chain.fused_tokens(clips.packed(chain_features(spark, sf_dir)), spec, params)
+    squares = F.aggregate("token", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select("clip_id", "pos", "modality_id", "time_id", "mask", F.round(squares, 5).alias("squares"))
+
+
 def labelled_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed clips; a clip is fake if most of its embeddings have a label of 5 or more."""
     e = S.table(spark, sf_dir, "embeddings")
@@ -146,6 +155,6 @@ def _graph_sql() -> str:
     return "WITH " + ",\n".join(parts) + " SELECT clip_id, i AS slot, d::INT AS d, round(v, 5) + 0e0 AS v FROM x2"
 
 
-QUERIES = {f.__name__: f for f in (chain_logits, trained_chain, experiment_sets, vector_graph, unit_head)}
+QUERIES = {f.__name__: f for f in (chain_logits, fused_places, trained_chain, experiment_sets, vector_graph, unit_head)}
 #: The whole chain and its training have none: they are held against plain loops in tests/test_chain.py.
 ORACLES = {"vector_graph": _graph_sql()}

@@ -106,6 +106,34 @@ def test_chain_equals_plain_loops_on_the_whole_table(spark):
     assert np.std(list(expected.values())) > 1e-3
 
 
+def test_fused_tokens_of_all_places(spark):
+    """The class token is that of the logits; what a clip lacks is masked and changes nothing else."""
+    spec, rows = small(), some_rows(np.random.default_rng(11))
+    p = fresh(spec.shapes())
+    packed = clips.packed(spark.createDataFrame(rows, TOKENS))
+    cls = {r["clip_id"]: r["cls"] for r in chain.logits(packed, spec, p).collect()}
+    places = chain.fused_tokens(packed, spec, p).collect()
+    assert len(places) == 7 * 7
+    for r in places:
+        if r["pos"] == 0:
+            assert r["token"] == pytest.approx(cls[r["clip_id"]]) and r["mask"] and r["modality_id"] is None
+        else:
+            assert r["modality_id"] == [0, 0, 6, 6, 5, 5][r["pos"] - 1] and r["time_id"] == (r["pos"] - 1) % 2
+            assert r["mask"] == (r["modality_id"] != 6 or r["clip_id"] % 3 > 0)
+    noisy = p | {n: v + 1 for n, v in p.items() if n.startswith("fau.")}
+    other = {(r["clip_id"], r["pos"]): r["token"] for r in chain.fused_tokens(packed, spec, noisy).collect()}
+    for r in places:
+        if r["clip_id"] % 3 == 0:
+            assert r["token"] == pytest.approx(other[r["clip_id"], r["pos"]])
+
+
+def test_fused_places_of_the_whole_table(spark):
+    rows = chain_queries.fused_places(spark, DATA).collect()
+    assert len(rows) == 77 * len(clips_by_hand(DATA))
+    hidden = {(r["clip_id"] % 3 == 1, r["modality_id"] == 2) for r in rows if not r["mask"]}
+    assert hidden == {(True, True)}
+
+
 def small(**more):
     names = more.pop("names", ("rgb", "fau", "eye_gaze"))
     return chain.Chain(tuple(chain.modality(n, 3, slots=2) for n in names), **({"dim": 8, "heads": 2, "layers": 2} | more))

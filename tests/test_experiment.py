@@ -112,3 +112,27 @@ def test_paths_and_roots(tmp_path):
     (tmp_path / "list.yaml").write_text("[1]")
     with pytest.raises(ValueError, match="root"):
         config.load_yaml(f"{tmp_path}/list.yaml")
+
+
+def test_commands(spark, tmp_path, capsys):
+    from cliploom.__main__ import main
+
+    for f in ("real/a_1.mp4", "real/b_1.mp4", "real/c_1.mp4", "fake/x/a_clip_1.mp4", "fake/x/b_clip_1.mp4", "fake/y/c_swapped.mp4"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_bytes(b"x")
+    assert main(["manifest", f"{tmp_path}/real", f"{tmp_path}/fake", f"{tmp_path}/m"], spark) == 0
+    assert sorted(capsys.readouterr().out.split("\n"))[1:] == ["test: real=1 fake=1 total=2", "train: real=1 fake=1 total=2", "val: real=1 fake=1 total=2"]
+    frames(spark).write.parquet(f"{tmp_path}/features")
+    (tmp_path / "c.yaml").write_text("{modalities: [rgb, fau], dim: 8, fusion: {num_layers: 1, num_heads: 2, mlp_ratio: 2, max_time_steps: 32}}")
+    given = [f"{tmp_path}/c.yaml", f"{tmp_path}/features"]
+    assert main(["run", *given, f"{tmp_path}/runs", "--epochs", "2", "--modalities", "rgb"], spark) == 0
+    assert f"in {tmp_path}/runs/run_001" in capsys.readouterr().out
+    assert main(["predict", *given, f"{tmp_path}/runs/run_001/best", f"{tmp_path}/p", "--modalities", "rgb"], spark) == 0
+    key = lambda r: (r["path"], r["probability"])
+    read = lambda p: sorted(map(key, spark.read.option("header", True).csv(p).collect()))
+    assert read(f"{tmp_path}/p") == read(f"{tmp_path}/runs/run_001/predictions")
+    with pytest.raises(ValueError, match="missing"):
+        main(["predict", *given, f"{tmp_path}/runs/run_001/best", f"{tmp_path}/q"], spark)
+    spark.createDataFrame([("rgb", [1.0]), ("rgb", [1.0, 2.0])], "modality string, features array<double>").write.parquet(f"{tmp_path}/odd")
+    with pytest.raises(ValueError, match="several widths: rgb"):
+        main(["run", given[0], f"{tmp_path}/odd", f"{tmp_path}/runs"], spark)

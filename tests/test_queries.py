@@ -30,7 +30,7 @@ def test_same_as_sql(spark, db, name):
 
 
 def test_every_query_is_checked():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"chain_logits", "experiment_sets", "trained_chain", "trained_head", "unit_head"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"chain_logits", "experiment_sets", "fused_places", "trained_chain", "trained_head", "unit_head"}
 
 
 def test_entry(spark):
