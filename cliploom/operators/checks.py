@@ -1,4 +1,4 @@
-"""Constraints on clips, detections and fusion inputs, as tables of what breaks them."""
+"""Constraints on clips, detections and fusion inputs, as tables of what breaks them; :mod:`guards` raises instead. Empty tables break nothing."""
 
 from __future__ import annotations
 
@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def single_detections(frames: DataFrame, detections: DataFrame, width: int, fill: float) -> DataFrame:
-    """clip_id, frame_idx, vector: the detection of frames that have exactly one; others are filled."""
+    """clip_id, frame_idx, vector: the detection of frames that have exactly one; others, and those whose one vector is null, are filled. Repeated frames stay repeated; null keys match nothing."""
     one = detections.groupBy("clip_id", "frame_idx").agg(F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")).where("n = 1").drop("n")
     none = F.array_repeat(F.lit(float(fill)), width)
     return frames.select("clip_id", "frame_idx").join(one, ["clip_id", "frame_idx"], "left").withColumn("vector", F.coalesce("vector", none))
 
 
 def unequal_batches(clips: DataFrame) -> DataFrame:
-    """Batches whose clips differ in length, from (batch_id, n_frames)."""
+    """Batches whose clips differ in length, from (batch_id, n_frames); unknown lengths don't differ."""
     return clips.groupBy("batch_id").agg(F.min("n_frames").alias("shortest"), F.max("n_frames").alias("longest")).where("shortest <> longest")
 
 

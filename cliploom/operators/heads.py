@@ -1,4 +1,4 @@
-"""Scoring heads and landmark vectors."""
+"""Scoring heads and landmark vectors, row by row: nothing depends on other rows. Null arrays give null results, and so do null components in sums."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ def predict(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-12) -> Column:
-    """Of a with the positive part of b."""
+    """Of a with the positive part of b; 0 if either has no length. Vectors of unequal lengths give null."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
     da, db = F.transform(a, lambda x: x.cast("double")), F.transform(b, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
     norm = lambda x: F.greatest(F.sqrt(total(F.transform(x, lambda y: y * y))), F.lit(eps))

@@ -1,4 +1,8 @@
-"""Prediction, timing and training reports."""
+"""Prediction, timing and training reports.
+
+Repeated rows count each time, columns that aren't named are left alone or out, and an
+empty table gives no rows unless a docstring says otherwise.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from cliploom.functions import numeric, paths
 
 
 def seen_summary(predictions: DataFrame, split: str = "test") -> DataFrame:
-    """seen_in_train, count, misses, accuracy, miss_percent of one split."""
+    """seen_in_train, count, misses, accuracy, miss_percent of one split. A null label or prediction is no miss; null flags are a group of their own."""
     out = predictions.where(F.col("split") == split).groupBy("seen_in_train").agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("prediction") != F.col("label")).alias("misses"))
     accuracy = F.try_divide((F.col("count") - F.col("misses")).cast("double"), F.col("count"))
     return out.select("*", accuracy.alias("accuracy"), numeric.miss_rate_percent(F.col("misses"), F.col("count")).alias("miss_percent"))
@@ -38,18 +42,18 @@ def allocate_load(timings: DataFrame, loads: DataFrame) -> DataFrame:
 
 
 def batch_shares(rows: DataFrame, elapsed: str = "batch_elapsed_seconds") -> DataFrame:
-    """Each row of a batch bears an equal part of the batch's seconds."""
+    """Each row of a batch bears an equal part of the batch's seconds; rows without a batch are one batch. Null seconds stay null."""
     return rows.withColumn("batch_size", F.count(F.lit(1)).over(Window.partitionBy("batch_id"))).withColumn("elapsed_seconds", F.col(elapsed) / F.col("batch_size"))
 
 
 def epoch_means(batches: DataFrame) -> DataFrame:
-    """Loss and accuracy per epoch, weighted by batch size."""
+    """Loss and accuracy per epoch, weighted by batch size. A batch with a null value counts in the weights alone, and batches of size 0 alone give an error."""
     n = F.sum("batch_size")
     return batches.groupBy("epoch").agg((F.sum(F.col("loss") * F.col("batch_size")) / n).alias("train_loss"), (F.sum(F.col("accuracy") * F.col("batch_size")) / n).alias("train_accuracy"))
 
 
 def running_best(metrics: DataFrame, value: str = "train_accuracy") -> DataFrame:
-    """``is_best``: above every earlier epoch's value. Epochs are few; facts never come here."""
+    """``is_best``: above every earlier epoch's value; the first is, and a null value is if all before it are null. Epochs are few; facts never come here."""
     before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
     return metrics.withColumn("is_best", F.coalesce(F.col(value) > F.max(value).over(before), F.lit(True)))
 
@@ -63,12 +67,12 @@ def logged_epochs(metrics: DataFrame, epochs: int) -> DataFrame:
 
 
 def batch_ids(rows: DataFrame, batch_size: int, group: str, order: list[str]) -> DataFrame:
-    """Consecutive batches of each group's rows, the last one shorter."""
+    """Consecutive batches of each group's rows, the last one shorter; rows that tie in ``order`` go in no fixed order, nulls come first."""
     w = Window.partitionBy(group).orderBy(*order)
     return rows.withColumn("batch_id", F.floor((F.row_number().over(w) - 1) / batch_size).cast("int"))
 
 
 def evaluate(scored: DataFrame) -> DataFrame:
-    """One row: count, accuracy and mean binary cross entropy of logit against label; 0.5 counts as positive."""
+    """One row: count, accuracy and mean binary cross entropy of logit against label; 0.5 counts as positive. Rows with a null logit or label count in ``count`` alone; of an empty table the means are null."""
     hit = ((numeric.sigmoid(F.col("logit")) >= 0.5).cast("int") == F.col("label")).cast("double")
     return scored.agg(F.count(F.lit(1)).alias("count"), F.avg(hit).alias("accuracy"), F.avg(numeric.bce_with_logits(F.col("logit"), F.col("label"))).alias("bce"))

@@ -25,7 +25,7 @@ def pending(table: DataFrame) -> DataFrame:
 
 
 def offsets(table: DataFrame, slots: str = "slots") -> DataFrame:
-    """name, offset, slots: the layout's cumulative places."""
+    """name, modality_id, ord, offset, slots: the layout's cumulative places, from the table of modalities, which is of fixed size."""
     before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     return table.where("ord IS NOT NULL").select("name", "modality_id", "ord", F.coalesce(F.sum(slots).over(before), F.lit(0)).cast("int").alias("offset"), F.col(slots).alias("slots"))
 
@@ -50,7 +50,7 @@ def modality_sets(spark: SparkSession, names: Sequence[str], mode: str = "all")
 
 
 def key_difference(expected: DataFrame, found: DataFrame, key: str = "key") -> DataFrame:
-    """(key, side): missing from ``found``, or unexpected there."""
+    """(key, side): missing from ``found``, or unexpected there. Repeated keys count once, a null is a key like others, other columns play no part."""
     missing = expected.select(key).subtract(found.select(key)).withColumn("side", F.lit("missing"))
     return missing.unionByName(found.select(key).subtract(expected.select(key)).withColumn("side", F.lit("unexpected")))
 
