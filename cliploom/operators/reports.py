@@ -53,9 +53,9 @@ def epoch_means(batches: DataFrame) -> DataFrame:
 
 
 def running_best(metrics: DataFrame, value: str = "train_accuracy") -> DataFrame:
-    """``is_best``: above every earlier epoch's value; the first is, and a null value is if all before it are null. Epochs are few; facts never come here."""
+    """``is_best``: above every earlier epoch's value. The first value is, a null never. Epochs are few; facts never come here."""
     before = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    return metrics.withColumn("is_best", F.coalesce(F.col(value) > F.max(value).over(before), F.lit(True)))
+    return metrics.withColumn("is_best", F.coalesce(F.col(value) > F.max(value).over(before), F.col(value).isNotNull()))
 
 
 def next_run_index(names: DataFrame) -> DataFrame:

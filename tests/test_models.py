@@ -124,3 +124,23 @@ def test_whole_vectors_are_read(spark, tmp_path):
     h = np.float32(x).astype(float) @ table(20, 32, 0)
     want = (0.5 * h * (1 + np.vectorize(math.erf)(h / math.sqrt(2)))) @ table(32, 8, 1)
     assert all(got[0, i, d] == pytest.approx(want[i, d], abs=1e-6) for i in range(6) for d in range(8))
+
+
+def test_trained_head_is_the_maximum_of_the_likelihood(spark):
+    """Against Newton's method in plain numpy, on the whole table."""
+    from cliploom.plans import check_queries
+
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.c_[np.array([r["embedding"] for r in rows], float), np.ones(len(rows))]
+    y = np.array([r["label"] >= 5 for r in rows], float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-9 * np.eye(len(w)), x.T @ (y - p))
+    p = 1 / (1 + np.exp(-x @ w))
+    got = {r["vec_id"]: r for r in check_queries.trained_head(spark, data).collect()}
+    assert len(got) == len(rows)
+    for r, q in zip(rows, p, strict=True):
+        assert got[r["vec_id"]]["probability"] == pytest.approx(q, abs=5e-3)
+        assert got[r["vec_id"]]["prediction"] == (got[r["vec_id"]]["probability"] >= 0.5)
