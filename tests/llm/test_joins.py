@@ -80,6 +80,8 @@ def near_copies(rng, words, n, edits):
 def test_join_against_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(ngram_join, "CROWDED", crowded)
     monkeypatch.setattr(ngram_join, "CROWD_BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "USUAL", 40)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 30)
     rng, texts = random.Random(23), []
     passage = " ".join(f"p{i}" for i in range(25))
     for g in range(12):
