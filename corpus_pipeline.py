@@ -62,8 +62,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     shared = scratch.narrow(scratch.materialize(groups.where("group <> number").select("group").distinct(), "shared"))
     members = groups.join(shared, "group", "left_semi").join(rows.select("number", "row.doc_id"), "number")
     members = scratch.materialize(members.select("group", "number", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "number").alias("place")), "members")
-    first = members.groupBy("group").agg(F.min("place").alias("first"))
-    gone = members.join(first, "group").where("number <> first.number").select("number")
+    first = scratch.materialize(members.groupBy("group").agg(F.min("place").alias("first")).select("first.number"), "first")
+    gone = members.select("number").join(scratch.narrow(first), "number", "left_anti")
     return rows.join(scratch.narrow(scratch.materialize(gone, "gone")), "number", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
