@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -54,12 +55,12 @@ class Training:
     best: DataFrame
 
 
-def gradients(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray]) -> DataFrame:
-    """(part, name, block, gradient): each task's sums over its clips (tokens, label); the row without a name holds loss, hits and clips.
+def gradients(clips: DataFrame, chain: Chain, sent: Broadcast[Mapping[str, np.ndarray]]) -> DataFrame:
+    """(part, name, block, gradient): each task's sums over its clips (tokens, label), by the parameters sent; the row without a name holds loss, hits and clips.
 
     Rows whose label is null teach nothing.
     """
-    sent, widths = clips.sparkSession.sparkContext.broadcast(dict(params)), chain.widths()
+    widths = chain.widths()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, g, stats = sent.value, {}, np.zeros(3)
@@ -129,17 +130,17 @@ def train_chain(clips: DataFrame, chain: Chain, params: DataFrame, epochs: int,
         order = sorted(range(batches_per_epoch), key=lambda k: hashlib.md5(f"{epoch}:{seed}:{k}".encode()).hexdigest())
         totals = np.zeros(3)
         for k in order:
-            now, _ = load(state, shapes)
-            grads = keep(summed(gradients(stored.where(F.col("batch") == k), chain, now)), f"gradient{step}")
+            sent = spark.sparkContext.broadcast(load(state, shapes)[0])
+            grads = keep(summed(gradients(stored.where(F.col("batch") == k), chain, sent)), f"gradient{epoch}-{k}")
+            sent.destroy()
             stats = grads.where("name = ''").first()
-            if stats is None or not stats["gradient"][2]:
-                continue
-            step += 1
-            totals += stats["gradient"]
-            state = keep(stepped(state, grads, stats["gradient"][2], step, rate, decay), f"state{step}")
-            for old in (f"gradient{step - 1}", f"state{step - 1}"):
-                if old != kept:
-                    delete(spark, f"{folder}/{old}")
+            if stats is not None and stats["gradient"][2]:  # else the batch is empty
+                step += 1
+                totals += stats["gradient"]
+                state = keep(stepped(state, grads, stats["gradient"][2], step, rate, decay), f"state{step}")
+                if kept != f"state{step - 1}":
+                    delete(spark, f"{folder}/state{step - 1}")
+            delete(spark, f"{folder}/gradient{epoch}-{k}")
         if not totals[2]:
             raise ValueError("no labelled clips to learn from")
         metrics.append((epoch, float(totals[0] / totals[2]), float(totals[1] / totals[2])))

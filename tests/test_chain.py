@@ -289,6 +289,19 @@ def test_training_halves_the_loss_on_the_given_table(spark):
     assert rows[-1]["train_loss"] < 0.5 * rows[0]["train_loss"]
 
 
+def test_more_batches_than_clips(spark):
+    """Empty batches pass; clips without a label teach nothing; the best epoch is the first of the highest accuracy."""
+    spec = small(layers=1)
+    rows = some_rows(np.random.default_rng(12), 3)
+    rows += [(*r[:5], None) for r in some_rows(np.random.default_rng(13), 9) if r[0] > 2]
+    packed = clips.packed(spark.createDataFrame(rows, TOKENS), ("clip_id", "label"))
+    run = training.train_chain(packed, spec, parameters.from_arrays(spark, fresh(spec.shapes())), 3, 7, rate=0.01)
+    assert len(run.metrics) == 3 and all(0 <= a <= 1 and a * 3 == pytest.approx(round(a * 3)) for _, _, a in run.metrics)
+    assert {n: v.shape for n, v in parameters.load(run.best, spec.shapes())[0].items()} == spec.shapes()
+    same = training.train_chain(packed.repartition(3), spec, parameters.from_arrays(spark, fresh(spec.shapes())), 3, 7, rate=0.01)
+    assert [m[1] for m in same.metrics] == pytest.approx([m[1] for m in run.metrics])
+
+
 def test_training_without_labels_raises(spark):
     spec = small()
     empty = clips.packed(spark.createDataFrame([], TOKENS), ("clip_id", "label"))
