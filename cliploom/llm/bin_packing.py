@@ -160,7 +160,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     Every piece is placed once; within a sequence offsets run without gaps from 0.
     Pieces are dealt by a hash of their row in the written table, so that no source,
     document or repeated row fills a group; repeated rows and rows with a null id are
-    packed one by one. An empty table gives an empty result.
+    packed one by one, and ids of any size stay as they are. Columns of ``cut`` beside
+    those of pieces travel along. An empty table gives an empty result.
     """
     n = cut.count()
     groups = max(1, -(-n // group_pieces))

@@ -87,7 +87,7 @@ def _statistics(df: DataFrame) -> DataFrame:
 
 
 def ngram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(bucket, n): how often each bucket's 1-grams and 2-grams occur, over all rows."""
+    """(bucket, n): how often each bucket's 1-grams and 2-grams occur, over all rows, repeated ones too. Null and empty texts have none; other columns play no part."""
     df = docs.select(words(F.col(text_col)).alias("_w"))
     grams = F.flatten(F.transform("_w", lambda x, i: F.array(_unigram(x), _bigram(x, F.get(F.col("_w"), i + 1)))))
     return df.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -144,7 +144,7 @@ def score_documents(docs: DataFrame, target: DataFrame, text_col: str = "text",
 
 
 def keep_good(docs: DataFrame, target: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns, whatever their names.
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names; repeated rows and null ids one by one.
 
     The filter reads a row number beside the verdict. That has no influence on it but
     holds the filter above the projections: pushed below them, the nested array
@@ -155,7 +155,7 @@ def keep_good(docs: DataFrame, target: DataFrame, text_col: str = "text", thresh
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """The trusted rows of ``docs``; their bounded list of ids goes to every task, the texts stay where they are."""
+    """The trusted rows of ``docs``, every row of a trusted id; their bounded list of ids goes to every task, the texts stay where they are. Rows without an id are never trusted; all columns are kept."""
     return docs.join(F.broadcast(materialize(trusted_ids(labels, rows), "trusted")), "doc_id", "left_semi")
 
 
