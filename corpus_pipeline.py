@@ -38,7 +38,12 @@ def _owned(stage: Callable) -> Callable:
 
 @_owned
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the quality rules reject. The trusted rows are those that ``labels`` calls good."""
+    """Drop what the quality rules reject. The trusted rows are those that ``labels`` calls good.
+
+    Rows without words, and with null texts, go: they fail the base rule. Repeated rows
+    and rows without ids are judged one by one; other columns are kept, whatever their
+    names; an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, trusted_documents(docs, labels))
 
@@ -69,7 +74,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_owned
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask secrets, but for widely copied examples; n_chars follows the text."""
+    """Mask secrets, but for widely copied examples; n_chars follows the text.
+
+    Every row stays, repeated ones too. A null text stays null, with its n_chars; a null
+    source or language is an owner like others; other columns are left alone.
+    """
     repo = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     out = masked(docs, owner=F.col("source"), repo=repo)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -92,7 +101,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_owned
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack; a row for each piece with its sequence and offset."""
+    """Tokenise and pack; a row for each piece with its sequence and offset.
+
+    Null and empty texts are one piece with the end id alone. Repeated rows and rows
+    without ids are packed one by one; other columns end here.
+    """
     return pack(scratch.materialize(pieces(docs), "pieces"))
 
 
