@@ -264,6 +264,17 @@ def test_url_parts_and_rules(spark, url, host, path, rule):
     assert tuple(r) == (host, path, rule)
 
 
+def test_rules_act_as_the_contract_says(spark):
+    """The action of each of the five rules, and of the longest where two fit."""
+    urls = {"http://a.com/en/x": "block", "http://example.com/en/7": "allow", "http://a.net/de/x": "allow", "http://www.net/de/8": "allow", "http://example.net/de/8": "block", "http://example.net/de/9": "allow", "http://b.org/es/": "block"}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    action = url_filter.match_rules(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))["action"]
+    assert {r["url"]: r["a"] for r in df.select("url", action.alias("a")).collect()} == urls
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    label = F.when(F.col("action") == "block", 1.0).otherwise(0.0)
+    assert [r["verdict"] for r in url_filter.classify(pages, label).orderBy("page_id").collect()] == list(urls.values())
+
+
 def test_every_page_is_judged(spark):
     """Host, path, rule and verdict of all pages against plain Python."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()
