@@ -4,6 +4,7 @@ import collections
 import gzip
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -97,6 +98,19 @@ def test_join_against_brute_force(spark, monkeypatch, crowded):
     assert got == {i: (group[i], size[i]) for i in texts}
 
 
+def test_shuffles_end_with_the_write(spark):
+    """The shuffle files of a scratch table don't wait for the driver to collect garbage, and the session's setting stays as it was."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(disk.getAllFiles().mkString("\n").split("\n"))
+    before, setting = files(), spark.conf.get(scratch.SHORT_SHUFFLES, None)
+    table = scratch.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.time() + 20
+    while (left := {f for f in files() - before if "shuffle_" in f}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and table.count() == 7
+    assert spark.conf.get(scratch.SHORT_SHUFFLES, None) == setting
+
+
 def test_join_of_the_corpus(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.op7_ngram_join(spark, DATA).collect()}
