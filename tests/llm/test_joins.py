@@ -98,6 +98,27 @@ def test_join_against_brute_force(spark, monkeypatch, crowded):
     assert got == {i: (group[i], size[i]) for i in texts}
 
 
+def test_verified_sets_travel_once(spark, monkeypatch):
+    """The pairs of a cluster are dealt together, so each of its sets goes to one group of rows."""
+    made, kept = {}, ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, label="table": made.setdefault(label, kept(df, label)))
+    rows = [(c * 100 + i, 20, list(range(c * 1000, c * 1000 + 19)) + [10**6 + c * 100 + i]) for c in range(60) for i in range(5)]
+    sets = spark.createDataFrame(rows, "rep long, n long, tokens array<long>")
+    pairs = spark.createDataFrame([(c * 100 + i, c * 100 + j, 20, 20) for c in range(60) for i in range(5) for j in range(i)], "a long, b long, m long, n long")
+    assert ngram_join.verified(pairs, sets, 75).count() == 600
+    dealt = made["dealt"]
+    ends = dealt.select("x", "y", "a").union(dealt.select("x", "y", "b")).distinct()
+    assert ends.count() == len(rows)
+
+
+def test_sole_shingles_of_all_passes(spark):
+    """Passes share the counting and give the same numbers."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(60)}" for _ in range(200))) for i in range(40)] * 2, "doc_id long, text string")
+    once, more = (dict(ngram_join.sole_counts(df, 2, passes=n).collect()) for n in (1, 3))
+    assert once == more and sum(once.values()) > 100
+
+
 def test_shuffles_end_with_the_write(spark):
     """The shuffle files of a scratch table don't wait for the driver to collect garbage, and the session's setting stays as it was."""
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
