@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from cliploom.functions import layers
 from cliploom.functions.layers import Back, Gradients, Parameters
 
-from .clips import Ragged, batches, ragged
+from .clips import STEP, Ragged, batches, ragged
 from .subsets import LAYOUT, MODALITIES
 
 Shapes = dict[str, tuple[int, ...]]
+#: What the fusion of one numpy call may hold.
+CALL_BYTES = 32 << 20
 
 
 class Branch(Protocol):
@@ -143,6 +145,12 @@ class Chain:
                 out |= {f"{name}.{part}.weight": (dim,), f"{name}.{part}.bias": (dim,)}
         return out | {"fusion.norm.weight": (dim,), "fusion.norm.bias": (dim,)} | _linear_shapes("head", dim, 1)
 
+    def step(self) -> int:
+        """Clips of one numpy call: as many as keep what the fusion's layers hold for the way back within CALL_BYTES, and STEP at most."""
+        places, hidden = 1 + sum(m.slots for m in self.modalities), int(self.dim * self.ratio)
+        held = 8 * self.layers * places * (4 * self.heads * places + 12 * self.dim + 4 * hidden)
+        return max(1, min(STEP, CALL_BYTES // held))
+
     def widths(self) -> dict[str, int]:
         return {m.name: m.width for m in self.modalities}
 
@@ -198,6 +206,10 @@ class Chain:
 
         return logit[:, 0], fused, mask, back
 
+    def infer(self, p: Parameters, found: Mapping[str, Ragged], clips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Logits, the fused tokens and the mask, without the way back and all that it holds."""
+        return self.forward(p, found, clips)[:3]
+
 
 def logits(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray], keep: Sequence[str] = ("clip_id",)) -> DataFrame:
     """keep, logit, cls, places: the chain on every row of :func:`cliploom.operators.clips.packed`, where its tokens stand; no shuffle.
@@ -210,10 +222,10 @@ def logits(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray], kee
     names = [*keep, "logit", "cls", "places"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(stream):
+        for b in batches(stream, chain.step()):
             kept = b.column(0)
             found = ragged(b.column(1), widths, lambda i: kept[i].as_py())
-            logit, fused, mask, _ = chain.forward(sent.value, found, b.num_rows)
+            logit, fused, mask = chain.infer(sent.value, found, b.num_rows)
             flat = pa.FixedSizeListArray.from_arrays(pa.array(fused[:, 0].ravel()), chain.dim).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*kept.flatten(), pa.array(logit), flat, pa.array(mask.sum(1).astype(np.int32))], names)
 
@@ -233,9 +245,9 @@ def fused_tokens(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray
     n, names = len(time) + 1, [*keep, "pos", "modality_id", "time_id", "mask", "token"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(stream):
+        for b in batches(stream, chain.step()):
             kept = b.column(0)
-            _, fused, mask, _ = chain.forward(sent.value, ragged(b.column(1), widths, lambda i: kept[i].as_py()), b.num_rows)
+            _, fused, mask = chain.infer(sent.value, ragged(b.column(1), widths, lambda i: kept[i].as_py()), b.num_rows)
             each = [c.take(pa.array(np.repeat(np.arange(b.num_rows), n))) for c in kept.flatten()]
             tile = lambda first, rest: pa.array([first, *rest.tolist()] * b.num_rows, pa.int32())
             there = np.concatenate([np.ones((b.num_rows, 1), bool), mask], 1).ravel()

@@ -1,6 +1,7 @@
 """Layers against finite differences, the chain against plain loops, training, and the parameter store."""
 
 import math
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -392,3 +393,19 @@ def test_gated_message_keeps_odd_rows(spark):
     assert got[2] is None and got[3] == [] and got[4] == pytest.approx([0.5 * 1.5 + 0.5 * 0.8])
     gate = soft(np.array([1 / (1 + math.exp(-(0.3 * 1 - 0.2 * x))) for x in (1.0, -2.0)]))
     assert got[1][0] == pytest.approx(1.5 + 0.8 * (gate @ [1.0, -2.0]) / 2)
+
+def test_calls_of_the_chain_are_bounded():
+    """A call of as many clips as a chain takes at once holds little, and scoring keeps nothing of the way back."""
+    spec, rng = chain_queries.small_chain(), np.random.default_rng(3)
+    p = {n: rng.normal(size=s) for n, s in spec.shapes().items()}
+    sizes = []
+    for run in (spec.infer, spec.forward):
+        tracemalloc.start()
+        kept = run(p, {}, spec.step())
+        sizes.append(tracemalloc.get_traced_memory())
+        tracemalloc.stop()
+        assert len(kept[0]) == spec.step()
+    (left, peak), (held, _) = sizes
+    assert peak < 2 * chain.CALL_BYTES and left < held / 4
+    assert chain.Chain((chain.modality("rgb", 8, slots=1),), dim=4, heads=1, layers=1).step() == clips.STEP
+    assert chain.Chain(tuple(chain.modality(m, 8, slots=400) for m in ("rgb", "fau")), dim=512, max_time_steps=400).step() == 1
