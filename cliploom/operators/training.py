@@ -64,11 +64,12 @@ def gradients(clips: DataFrame, chain: Chain, sent: Broadcast[Mapping[str, np.nd
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, g, stats = sent.value, {}, np.zeros(3)
-        for b in batches(stream):
+        for b in batches(stream, chain.step()):
             label = np.asarray(b.column(1).to_numpy(zero_copy_only=False), float)
             logit, _, _, back = chain.forward(p, ragged(b.column(0), widths), b.num_rows)
             loss, slope = cross_entropy(logit, label)
             back(slope, g)
+            del back  # it holds all of the call, which the next must not find there
             stats += [loss.sum(), ((logit >= 0) == (label > 0)).sum(), len(label)]
         rows = [("", 0, stats)] + [(n, k, flat[k * BLOCK : (k + 1) * BLOCK]) for n, flat in ((n, np.ravel(x)) for n, x in g.items()) for k in range(-(-flat.size // BLOCK))]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tolist() for r in rows], pa.list_(pa.float64()))], ["name", "block", "gradient"])
