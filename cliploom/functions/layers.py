@@ -170,14 +170,18 @@ def _plus(layer: Callable[[np.ndarray], tuple[np.ndarray, Back]]) -> Callable[[n
     return run
 
 
-def encoder_layer(p: Parameters, name: str, x: np.ndarray, mask: np.ndarray, heads: int) -> tuple[np.ndarray, Back]:
-    """A transformer layer that normalises behind each of its two halves."""
-    return chained(
+def encoder_parts(p: Parameters, name: str, mask: np.ndarray, heads: int) -> list[Callable[[np.ndarray], tuple[np.ndarray, Back]]]:
+    """A transformer layer that normalises behind each of its two halves, as what to do one after the other."""
+    return [
         _plus(lambda v: attention(p, f"{name}.attention", v, mask, heads)),
         lambda v: norm(p, f"{name}.norm1", v),
         _plus(lambda v: mlp(p, f"{name}.mlp", v)),
         lambda v: norm(p, f"{name}.norm2", v),
-    )(x)
+    ]
+
+
+def encoder_layer(p: Parameters, name: str, x: np.ndarray, mask: np.ndarray, heads: int) -> tuple[np.ndarray, Back]:
+    return chained(*encoder_parts(p, name, mask, heads))(x)
 
 
 def cross_entropy(logit: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ its batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -154,8 +154,11 @@ class Chain:
     def widths(self) -> dict[str, int]:
         return {m.name: m.width for m in self.modalities}
 
-    def bank(self, p: Parameters, found: Mapping[str, Ragged], clips: int) -> tuple[np.ndarray, np.ndarray, Back]:
-        """(clips, places, dim), mask and the way back. Places of modalities that aren't enabled are left out: masked, they reach nothing."""
+    def bank(self, p: Parameters, found: Mapping[str, Ragged], clips: int, keep: bool = True) -> tuple[np.ndarray, np.ndarray, Back]:
+        """(clips, places, dim), mask and the way back. Places of modalities that aren't enabled are left out: masked, they reach nothing.
+
+        Without ``keep`` a branch's way back goes before the next branch begins, and the way back is none.
+        """
         places = sum(m.slots for m in self.modalities)
         x, mask, backs, at = np.zeros((clips, places, self.dim)), np.zeros((clips, places), bool), [], 0
         for m in self.modalities:
@@ -166,7 +169,9 @@ class Chain:
                     raise ValueError(f"{m.name} must give {m.slots} tokens of {self.dim}, not {tokens.shape[1:]}")
                 x[who, at : at + m.slots] = tokens
                 mask[who, at : at + m.slots] = True
-                backs.append((slice(at, at + m.slots), who, back))
+                if keep:
+                    backs.append((slice(at, at + m.slots), who, back))
+                del tokens, back
             at += m.slots
 
         def back(dx: np.ndarray, g: Gradients) -> None:
@@ -180,15 +185,22 @@ class Chain:
         slots = [m.slots for m in self.modalities]
         return np.concatenate([np.arange(n) for n in slots]), np.repeat([m.modality_id for m in self.modalities], slots)
 
+    def placed(self, p: Parameters, tokens: np.ndarray) -> np.ndarray:
+        """The class token, then the bank's tokens with codes of time and modality."""
+        time, of = self.places()
+        tokens = tokens + p["fusion.time"][time] + p["fusion.modality"][of]
+        return np.concatenate([np.broadcast_to(p["fusion.cls"], (len(tokens), 1, self.dim)), tokens], 1)
+
+    def parts(self, p: Parameters, mask: np.ndarray) -> list[Callable[[np.ndarray], tuple[np.ndarray, Back]]]:
+        """What the fusion's layers do, one after the other."""
+        there = np.concatenate([np.ones((len(mask), 1), bool), mask], 1)
+        return [part for k in range(self.layers) for part in layers.encoder_parts(p, f"fusion.layer{k}", there, self.heads)]
+
     def forward(self, p: Parameters, found: Mapping[str, Ragged], clips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Back]:
         """Logits, the fused tokens (the class token first), the mask, and the way back from the logits."""
         tokens, mask, back_bank = self.bank(p, found, clips)
-        time, of = self.places()
-        tokens = tokens + p["fusion.time"][time] + p["fusion.modality"][of]
-        x = np.concatenate([np.broadcast_to(p["fusion.cls"], (clips, 1, self.dim)), tokens], 1)
-        there = np.concatenate([np.ones((clips, 1), bool), mask], 1)
-        stack = [lambda v, k=k: layers.encoder_layer(p, f"fusion.layer{k}", v, there, self.heads) for k in range(self.layers)]
-        x, back_stack = layers.chained(*stack)(x)
+        (time, of), x = self.places(), self.placed(p, tokens)
+        x, back_stack = layers.chained(*self.parts(p, mask))(x)
         fused, back_norm = layers.norm(p, "fusion.norm", x)
         logit, back_head = layers.linear(p, "head", fused[:, 0])
 
@@ -207,8 +219,13 @@ class Chain:
         return logit[:, 0], fused, mask, back
 
     def infer(self, p: Parameters, found: Mapping[str, Ragged], clips: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logits, the fused tokens and the mask, without the way back and all that it holds."""
-        return self.forward(p, found, clips)[:3]
+        """Logits, the fused tokens and the mask. The way back of each part goes before the next begins, so a call holds one part's, whatever the layers."""
+        tokens, mask, _ = self.bank(p, found, clips, keep=False)
+        x = self.placed(p, tokens)
+        for part in self.parts(p, mask):
+            x = part(x)[0]
+        fused = layers.norm(p, "fusion.norm", x)[0]
+        return layers.linear(p, "head", fused[:, 0])[0][:, 0], fused, mask
 
 
 def logits(clips: DataFrame, chain: Chain, params: Mapping[str, np.ndarray], keep: Sequence[str] = ("clip_id",)) -> DataFrame:

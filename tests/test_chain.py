@@ -409,3 +409,22 @@ def test_calls_of_the_chain_are_bounded():
     assert peak < 2 * chain.CALL_BYTES and left < held / 4
     assert chain.Chain((chain.modality("rgb", 8, slots=1),), dim=4, heads=1, layers=1).step() == clips.STEP
     assert chain.Chain(tuple(chain.modality(m, 8, slots=400) for m in ("rgb", "fau")), dim=512, max_time_steps=400).step() == 1
+
+
+def test_scoring_holds_one_part_whatever_the_layers():
+    """Eight layers hold little more than one, and give what the forward pass gives."""
+    rng, peaks = np.random.default_rng(4), {}
+    for deep in (1, 8):
+        spec = chain.Chain(chain_queries.small_chain().modalities, dim=32, heads=4, layers=deep)
+        p = {n: 0.2 * rng.normal(size=s) for n, s in spec.shapes().items()}
+        found = {m.name: clips.Ragged(np.arange(4), rng.normal(size=(4, 12, 4, 8)), rng.random((4, 12, 4)) < 0.9) for m in spec.modalities}
+        for name, run in (("infer", spec.infer), ("forward", spec.forward)):
+            tracemalloc.start()
+            out = run(p, found, 4)
+            peaks[name, deep] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            if name == "infer":
+                scored = out
+            else:
+                assert all(np.array_equal(a, b) for a, b in zip(scored, out))
+    assert peaks["infer", 8] < 1.2 * peaks["infer", 1] < peaks["forward", 8] / 2
