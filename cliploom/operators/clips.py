@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 STEP = 256
 
 
-def packed(features: DataFrame, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
+def packed(features: DataFrame, keys: Sequence[str] = ("clip_id",), names: Sequence[str] | None = None) -> DataFrame:
     """keys, tokens: from (keys, modality, t, element, features), a clip's tokens in that order. One shuffle by clip.
 
     A clip has a bounded number of frames, so it is one row. Null features are left
-    out; a token that stands there twice stays twice.
+    out; a token that stands there twice stays twice. With ``names``, only tokens of
+    these modalities are gathered; clips that have none of them stay, without tokens.
     """
     token = F.struct("modality", "t", "element", F.transform("features", lambda x: x.cast("double")).alias("features"))
-    return features.where("features IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list(token)).alias("tokens"))
+    kept = token if names is None else F.when(F.col("modality").isin(list(names)), token)
+    return features.where("features IS NOT NULL").groupBy(*keys).agg(F.sort_array(F.collect_list(kept)).alias("tokens"))
+
+
+def only(packed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """:func:`packed` clips, all of them, with the tokens of these modalities."""
+    return packed.withColumn("tokens", F.filter("tokens", lambda x: x["modality"].isin(list(names))))
 
 
 @dataclass

@@ -55,16 +55,17 @@ def run(features: DataFrame, spec: chain.Chain, root: str, epochs: int, mode: st
     """Train and judge ``spec`` for each set of its modalities (by ``mode``, or as given), and write what came out.
 
     ``features``: path, class_name, label, split, modality, t, element, features; the
-    split ``test`` is judged, all others train. Features are packed by clip once, for all
-    sets, as one written table; a set reads what it needs of it. Each set starts from the
-    same parameters as far as it has them. Its folder holds metrics, predictions, the
+    split ``test`` is judged, all others train. Features of the chain's modalities are
+    packed by clip once, for all sets, as one written table; of a clip's tokens only those
+    of a set's own modalities go to its Python workers. Each set starts from the same
+    parameters as far as it has them. Its folder holds metrics, predictions, the
     parameters of the best epoch and a summary; with one set, that is the run's folder.
     """
     spark = features.sparkSession
-    packed = written(clips.packed(features, KEYS), "packed")
+    names = [m.name for m in spec.modalities]
+    packed = written(clips.packed(features, KEYS, names), "packed")
     train = packed.where("split <> 'test'")
     both = manifest.overlaps(train, packed.where("split = 'test'")).count()
-    names = [m.name for m in spec.modalities]
     chosen = [list(s) for s in sets] if sets is not None else [r["name"].split("__") for r in subsets.modality_sets(spark, names, mode).orderBy("set_id").collect()]
     folder, out = next_folder(spark, root), []
     for members in chosen:
@@ -73,12 +74,12 @@ def run(features: DataFrame, spec: chain.Chain, root: str, epochs: int, mode: st
         name = "__".join(members)
         own = replace(spec, modalities=tuple(m for m in spec.modalities if m.name in members))
         place = folder if len(chosen) == 1 else f"{folder}/modality_permutations/{name}"
-        fresh = parameters.initial(spark, own.shapes(), seed)
-        taught = training.train_chain(train.select(F.xxhash64(*KEYS).alias("clip"), "tokens", "label"), own, fresh, epochs, batches_per_epoch, rate, seed=seed)
+        fresh, read = parameters.initial(spark, own.shapes(), seed), clips.only(packed, members)
+        taught = training.train_chain(read.where("split <> 'test'").select(F.xxhash64(*KEYS).alias("clip"), "tokens", "label"), own, fresh, epochs, batches_per_epoch, rate, seed=seed)
         metrics = spark.createDataFrame(taught.metrics, "epoch int, train_loss double, train_accuracy double")
         parameters.write(taught.best, f"{place}/best")
         tables.write_metrics(metrics, f"{place}/metrics")
-        rows = written(predictions(packed, own, parameters.read(spark, f"{place}/best"), train), "predictions")
+        rows = written(predictions(read, own, parameters.read(spark, f"{place}/best"), train), "predictions")
         tables.write_predictions(rows, f"{place}/predictions")
         row = report(rows, both, epochs=epochs, lr=rate, modality_set=name, output_dir=place, final_train_loss=taught.metrics[-1][1])
         tables.write_summary(row, f"{place}/summary")

@@ -67,6 +67,23 @@ def test_experiment_query_counts_every_clip(spark):
         assert r["predict_seen_count"] + r["predict_unseen_count"] == r["predict_count"]
 
 
+def test_a_set_sends_its_own_tokens_only(spark, tmp_path, monkeypatch):
+    """Training and scoring get no tokens of other modalities, and all clips, those without any token of the set too."""
+    sent = []
+    for module, name in ((experiment.training, "train_chain"), (experiment.chain, "logits")):
+        monkeypatch.setattr(module, name, lambda rows, spec, *a, f=getattr(module, name), **k: sent.append((rows, {m.name for m in spec.modalities})) or f(rows, spec, *a, **k))
+    rows = frames(spark)
+    rows = rows.where("NOT (modality = 'rgb' AND path LIKE '%/5/%')").unionByName(rows.where("modality = 'fau'").selectExpr("path", "class_name", "label", "split", "'depth' AS modality", "t", "element", "features"))
+    results = experiment.run(rows, SPEC, f"{tmp_path}/runs", 1, sets=[("rgb",), ("rgb", "fau")])
+    assert len(sent) == 4
+    for df, names in sent:
+        got = df.select("tokens.modality").collect()
+        assert {m for r in got for m in r["modality"]} == names and sum(not r["modality"] for r in got) == (len(names) == 1)
+    for r in results:
+        row = r.report.first()
+        assert (row["train_count"], row["predict_count"]) == (8, 4)
+
+
 YAML = """
 modalities: [stft, " rgb ", fau]
 dim: 8
