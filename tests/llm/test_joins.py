@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import os
 import random
 import re
 import time
@@ -111,6 +112,27 @@ def test_verified_sets_travel_once(spark, monkeypatch):
     assert ends.count() == len(rows)
 
 
+def test_join_of_near_copies_stays_small_on_disk(spark, monkeypatch):
+    """Where every set meets others, scratch tables hold no more at once than the texts and a half; few rows fit a broadcast."""
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 100)
+    folder, peak, kept = scratch.scratch_dir(spark).removeprefix("file://"), [], ngram_join.materialize
+    held = lambda: sum(os.path.getsize(f"{top}/{x}") for top, _, names in os.walk(folder) for x in names)
+
+    def watched(df, label="table"):
+        table = kept(df, label)
+        peak.append(held())
+        return table
+
+    monkeypatch.setattr(ngram_join, "materialize", watched)
+    rng = random.Random(41)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(900)] for _ in range(40)]
+    texts = {g * 10 + i: " ".join([*w, f"copy{i}"]) for g, w in enumerate(words) for i in range(10)}
+    before = held()
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i // 10 * 10 for i in texts}
+    assert max(peak) - before < 1.5 * sum(map(len, texts.values()))
+
+
 def test_sole_shingles_of_all_passes(spark):
     """Passes share the counting and give the same numbers."""
     rng = random.Random(5)
